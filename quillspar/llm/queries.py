@@ -47,9 +47,15 @@ from d left join h on h.doc_id = d.doc_id left join t on t.doc_id = d.doc_id
 """
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .omh import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontamination": op2_decontamination, "op3_packing": op3_packing}
+    return {"op1_order_minhash": op1_order_minhash, "op2_decontamination": op2_decontamination, "op3_packing": op3_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL}
+    return {"op1_order_minhash": op1_order_minhash, "op2_decontamination": OP2_SQL}
