@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .shared import table
+from .textops import crc32_text
 
 
 def word_tokenizer() -> str:
@@ -53,8 +55,17 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs.where(F.pmod(crc32_text("doc_id"), F.lit(3)) != 1))
+    found = identify(docs, model)
+    return found.select("doc_id", (F.pmod(crc32_text("doc_id"), F.lit(3)) == 1).alias("held_out"), F.col("best").alias("lang_pred"), "score", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_order_minhash": op1_order_minhash, "op2_decontamination": op2_decontamination, "op3_packing": op3_packing}
+    return {"op1_order_minhash": op1_order_minhash, "op2_decontamination": op2_decontamination, "op3_packing": op3_packing, "op8_compression_langid": op8_compression_langid}
 
 
 def oracle_sql() -> dict[str, str]:
