@@ -13,8 +13,11 @@ bounded cache before the tokenizer is asked.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,7 +31,7 @@ from . import textops
 MAX_LENGTH = 4096
 END_ID = 2
 #: Chunks whose ids a worker remembers; it starts afresh beyond them.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 500_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 
@@ -37,6 +40,7 @@ class ChunkEncoder:
     """Token ids of whole columns of text."""
 
     def __init__(self, tokenizer_path: str, cache_chunks: int = CACHE_CHUNKS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -51,7 +55,7 @@ class ChunkEncoder:
     def _learn(self, values: list[int], chunks: list[str]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
         length = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(length.sum()))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum()))
         self.slot.update(zip(values, range(len(self.start), len(self.start) + len(found)), strict=True))
         self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
@@ -77,6 +81,12 @@ class ChunkEncoder:
         return ids, np.diff(before[words.first])
 
 
+@lru_cache(1)
+def encoder(tokenizer_path: str) -> ChunkEncoder:
+    """A worker's own, kept from task to task."""
+    return ChunkEncoder(tokenizer_path)
+
+
 def pieces(n: int, longest: int) -> list[int]:
     """Lengths, longest first; they sum to n and are powers of two."""
     out = [longest] * (n // longest)
@@ -100,11 +110,11 @@ def power_of_two_pieces(docs: DataFrame, tokenizer_path: str, *, max_length: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = ChunkEncoder(tokenizer_path)
+        tool = encoder(tokenizer_path)
         sequence = TaskContext.get().partitionId() << 40
         for batch in textops.slices(batches):
             raw, at = textops.utf8(batch.column(1))
-            flat, count = encoder.encode(raw, at)
+            flat, count = tool.encode(raw, at)
             first = np.concatenate([[0], np.cumsum(count)])
             cut = [pieces(int(n) + 1, max_length) for n in count]
             rows = np.fromiter(map(len, cut), np.int64, len(cut))

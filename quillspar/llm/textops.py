@@ -19,7 +19,7 @@ _MASK = (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 #: Bytes handled at once; a longer single text is handled alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = (2 << 20) - 64
 
 _pow = np.ones(1, U64)
 _inv = np.ones(1, U64)
