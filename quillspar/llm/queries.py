@@ -64,8 +64,48 @@ def op8_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.pmod(crc32_text("doc_id"), F.lit(3)) == 1).alias("held_out"), F.col("best").alias("lang_pred"), "score", "rejected")
 
 
+def op4_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import REJECT_FROM, learn, toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.pmod(crc32_text("doc_id"), F.lit(3)) == 1
+    model = learn(docs, labels.where(~held_out))
+    return toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= REJECT_FROM).cast("int").alias("predicted"), "n_words", "log_ratio")
+
+
+def op6_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import perspectives
+
+    return perspectives(table(spark, sf_dir, "conversations"))
+
+
+OP6_SQL = """
+with t as (select conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') as speaker, replace(coalesce(text, ''), '<|', '< |') as body from conversations),
+p as (select distinct conv_id as c, speaker as perspective from t where speaker <> 'system'),
+v as (select conv_id, perspective, turn, speaker, body,
+        case when speaker = 'system' then 'system' when speaker = perspective then 'assistant' else 'user' end as chat_role
+      from t join p on t.conv_id is not distinct from p.c),
+h as (select *, case when chat_role = 'user' then '<|user name=' || speaker || '|>' || chr(10) else '<|' || chat_role || '|>' || chr(10) end as head from v),
+s as (select *, length(head) + length(body) + 8 as size from h),
+o as (select *, row_number() over w as seq, cast(sum(size) over (w rows unbounded preceding) as bigint) as char_end from s
+      window w as (partition by conv_id, perspective order by turn nulls first, speaker, body))
+select conv_id, perspective, seq, turn, speaker, chat_role, head || body || '<|end|>' || chr(10) as segment, char_end - size as char_start, char_end,
+    case when chat_role = 'assistant' then char_end - size + length(head) else 0 end as mask_start,
+    case when chat_role = 'assistant' then char_end - 1 else 0 end as mask_end
+from o
+"""
+
+
+def op9_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import BASE, joined, spans
+
+    found = spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.base and s.kind = '{kind}')) as bigint)").alias(f"n_{kind}") for kind in BASE]
+    return found.select("doc_id", *counts, F.sha2(F.expr(joined(True)), 256).alias("base_sha256"), F.expr(joined()).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_order_minhash": op1_order_minhash, "op2_decontamination": op2_decontamination, "op3_packing": op3_packing, "op8_compression_langid": op8_compression_langid}
+    return {"op1_order_minhash": op1_order_minhash, "op2_decontamination": op2_decontamination, "op3_packing": op3_packing, "op4_kneser_ney_toxicity": op4_kneser_ney_toxicity, "op6_perspective_rotation": op6_perspective_rotation, "op8_compression_langid": op8_compression_langid, "op9_weak_supervision_pii": op9_weak_supervision_pii}
 
 
 def oracle_sql() -> dict[str, str]:
