@@ -30,12 +30,51 @@ from . import textops
 #: Longest piece, and the id that closes each document.
 MAX_LENGTH = 4096
 END_ID = 2
+#: Marks that the tokenizer takes as tokens of its own before anything else.
+OWN_MARKS = (b"<|startoftext|>", b"<|endoftext|>")
 #: Chunks whose ids a worker remembers; it starts afresh beyond them.
 CACHE_CHUNKS = 500_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 
 
+class Pieces(textops.Words):
+    """Blank-separated runs, cut again where a letter meets an ASCII mark or digit.
+
+    The tokenizer always ends a token there, unless an apostrophe takes part.
+    Letters are a-z, put in lower case, and those of two bytes led by C3; what
+    stands next to any other byte past 7F is left whole, and so is a text with
+    one of the tokenizer's own marks.
+    """
+
+    def __init__(self, raw: np.ndarray, at: np.ndarray):
+        data = raw.tobytes()
+        marked = any(m in data for m in OWN_MARKS)
+        super().__init__(raw if marked else textops.lower(raw), at, textops.SPACED)
+        if marked or not len(raw):
+            return
+        kind = _KIND[self.raw]
+        led = np.flatnonzero(raw[:-1] == 0xC3) + 1
+        kind[led] = np.where((raw[led] == 0x97) | (raw[led] == 0xB7), 3, 1)
+        kind[led - 1] = kind[led]
+        meet = np.flatnonzero((kind[1:] + kind[:-1] == 3) & (kind[1:] * kind[:-1] == 2)) + 1
+        for bounds in ("start", "end"):
+            flag = np.zeros(len(raw) + 1, bool)
+            flag[getattr(self, bounds)] = True
+            flag[meet] = True
+            setattr(self, bounds, np.flatnonzero(flag))
+        self.first = np.searchsorted(self.start, at)
+
+
+#: 0 blank, 1 letter, 2 other ASCII, 3 apostrophe and unknown bytes.
+_KIND = np.full(256, 2, np.int8)
+_KIND[~textops.SPACED] = 0
+_KIND[0x61:0x7B] = 1
+_KIND[0x27] = 3
+_KIND[0x80:] = 3
+_KIND[[0x1C, 0x1D, 0x1E, 0x1F]] = 3
+
+
 class ChunkEncoder:
     """Token ids of whole columns of text."""
 
@@ -63,7 +102,8 @@ class ChunkEncoder:
 
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has."""
-        words = textops.Words(raw, at, textops.SPACED)
+        words = Pieces(raw, at)
+        raw = words.raw
         codes, distinct = pd.factorize(words.values())
         if len(self.slot) + len(distinct) > self.limit:
             self._reset()
@@ -112,7 +152,7 @@ def power_of_two_pieces(docs: DataFrame, tokenizer_path: str, *, max_length: int
 
         tool = encoder(tokenizer_path)
         sequence = TaskContext.get().partitionId() << 40
-        for batch in textops.slices(batches):
+        for batch in textops.slices(batches, limit=4 << 20):
             raw, at = textops.utf8(batch.column(1))
             flat, count = tool.encode(raw, at)
             first = np.concatenate([[0], np.cumsum(count)])

@@ -29,7 +29,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base and its inverse, each raised to 0..n-1 modulo 2**64."""
     global _pow, _inv
     if len(_pow) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = -(-n >> 16) << 16
         grown = []
         for base in (_BASE, _INVERSE):
             out = np.ones(1, U64)
@@ -37,7 +37,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             while len(out) < size:
                 out = np.concatenate([out, out * U64(step)])
                 step = step * step & _MASK
-            grown.append(out)
+            grown.append(out[:size].copy())
         _pow, _inv = grown
     return _pow[:n], _inv[:n]
 
