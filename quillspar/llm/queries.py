@@ -104,8 +104,14 @@ def op9_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(F.expr(joined(True)), 256).alias("base_sha256"), F.expr(joined()).alias("spans"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_order_minhash": op1_order_minhash, "op2_decontamination": op2_decontamination, "op3_packing": op3_packing, "op4_kneser_ney_toxicity": op4_kneser_ney_toxicity, "op6_perspective_rotation": op6_perspective_rotation, "op8_compression_langid": op8_compression_langid, "op9_weak_supervision_pii": op9_weak_supervision_pii}
+    return {"op1_order_minhash": op1_order_minhash, "op2_decontamination": op2_decontamination, "op3_packing": op3_packing, "op4_kneser_ney_toxicity": op4_kneser_ney_toxicity, "op6_perspective_rotation": op6_perspective_rotation, "op8_compression_langid": op8_compression_langid, "op9_weak_supervision_pii": op9_weak_supervision_pii, "op10_jaccard_join": op10_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -69,8 +69,8 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in pieces of about ``limit`` bytes of ``column``."""
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces of about ``limit`` bytes of ``column`` and at most ``rows`` rows."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -78,7 +78,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
         start = 0
         while start < batch.num_rows:
             end = int(np.searchsorted(at, at[start] + limit, "right")) - 1
-            end = min(max(end, start + 1), batch.num_rows)
+            end = min(max(end, start + 1), start + rows, batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
 
