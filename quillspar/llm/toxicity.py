@@ -3,7 +3,9 @@
 A toxic and an ordinary bigram model are learned from labelled texts. Each backs
 off from discounted bigram counts to its own continuation counts (how many words
 a word follows in that class) and from there to the continuation counts of both
-classes together, so an expression that is rare in both weighs the same in both.
+classes together. How much backs off is estimated on both classes together too,
+so an expression that is rare in both, or unknown, weighs the same in both.
+Ratios of words and of bigrams count as far as they exceed a quiet zone.
 The mean log-likelihood ratio of a text's words is put on the scale of a
 probability by a monotone calibration on out-of-fold ratios.
 """
@@ -25,8 +27,13 @@ from .textops import U64
 #: Labelled texts of each class that are learned from, at most.
 SAMPLE_ROWS = 6000
 DISCOUNT = 0.75
-#: A bigram is kept if its class has it so often.
-BIGRAM_COUNT = 2
+#: A bigram is kept if both classes together have it so often.
+BIGRAM_COUNT = 4
+#: Shared counts that each count of a class is put on, of a word and of a bigram.
+PULL = 1.0
+PAIR_PULL = 10.0
+#: Nats of a ratio that say nothing: what chance and the mix of languages bring about.
+QUIET = 2.0
 FOLDS = 4
 REJECT_FROM = 0.7
 
@@ -58,17 +65,20 @@ def _lookup(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, table[i] == x
 
 
+def _loud(ratio: np.ndarray) -> np.ndarray:
+    """What of a log ratio lies beyond the quiet zone."""
+    return np.sign(ratio) * np.maximum(np.abs(ratio) - QUIET, 0)
+
+
 @dataclass
 class KneserNeyPair:
     """Two class models over one vocabulary; arrays have a row for each class (ordinary, toxic)."""
 
     words: np.ndarray
-    lower: np.ndarray  # 2 x words: continuation probability with the shared backoff in it
+    lower: np.ndarray  # 2 x words: log continuation probability with the shared backoff in it
     unseen: np.ndarray  # 2: the same for a word of neither class
-    total: np.ndarray  # 2 x words: times the word is a context
-    spare: np.ndarray  # 2 x words: mass a context leaves to the lower order
     pairs: np.ndarray
-    pair_mass: np.ndarray  # 2 x pairs: discounted probability
+    factor: np.ndarray  # 2 x pairs: what the word before adds to the log
     knots: np.ndarray
     levels: np.ndarray
 
@@ -77,44 +87,26 @@ class KneserNeyPair:
         """classes: (word, word before) values of the ordinary and the toxic texts."""
         words = np.unique(np.concatenate([w for w, _ in classes] + [np.zeros(0, U64)]))
         size, d = len(words), DISCOUNT
-        distinct = []
-        for w, h in classes:
-            key = pd.DataFrame({"h": h, "w": w}).groupby(["h", "w"], sort=False).size().reset_index(name="n")
-            distinct.append((key["h"].to_numpy(), key["w"].to_numpy(), key["n"].to_numpy(np.float64)))
-        shared = np.zeros(size)
-        own = np.zeros((2, size))
-        for c, (_, w, _) in enumerate(distinct):
-            got, n = _counts(w)
-            own[c, np.searchsorted(words, got)] = n
-        both = pd.DataFrame({"h": np.concatenate([x[0] for x in distinct]), "w": np.concatenate([x[1] for x in distinct])}).drop_duplicates()
-        got, n = _counts(both["w"].to_numpy())
-        shared[np.searchsorted(words, got)] = n
-        mass = max(shared.sum(), 1.0)
-        base = np.maximum(shared - d, 0) / mass
-        left = d * size / mass / (size + 1)
-        base, base_unseen = base + left, max(left, 1e-12)
-        lower, unseen = np.zeros((2, size)), np.zeros(2)
-        total, spare = np.zeros((2, size)), np.ones((2, size))
-        pairs, masses = [], []
-        for c, (h, w, n) in enumerate(distinct):
-            mass = max(own[c].sum(), 1.0)
-            gamma = d * np.count_nonzero(own[c]) / mass if own[c].any() else 1.0
-            lower[c] = np.maximum(own[c] - d, 0) / mass + gamma * base
-            unseen[c] = gamma * base_unseen
-            i, known = _lookup(words, h)
-            i, kept_n = i[known], n[known]
-            total[c] = np.bincount(i, kept_n, size)
-            strong = kept_n >= BIGRAM_COUNT
-            taken = np.bincount(i[strong], kept_n[strong] - d, size)
-            seen = total[c] > 0
-            spare[c, seen] = 1 - taken[seen] / total[c, seen]
-            pairs.append(textops.mix(h[known][strong] * _PAIR + w[known][strong]))
-            masses.append((kept_n[strong] - d) / total[c, i[strong]])
-        every = np.unique(np.concatenate(pairs))
-        pair_mass = np.zeros((2, len(every)))
-        for c in range(2):
-            pair_mass[c, np.searchsorted(every, pairs[c])] = masses[c]
-        return cls(words, lower, unseen, total, spare, every, pair_mass, np.zeros(1), np.zeros(1))
+        distinct = [pd.DataFrame({"h": h, "w": w}).groupby(["h", "w"], sort=False).size().reset_index(name="n") for w, h in classes]
+        every = pd.concat([x.assign(c=c) for c, x in enumerate(distinct)]).pivot_table(index=["h", "w"], columns="c", values="n", fill_value=0).reindex(columns=[0, 1], fill_value=0).reset_index()
+        h, w, n = every["h"].to_numpy(U64), every["w"].to_numpy(U64), every[[0, 1]].to_numpy(np.float64).T
+        word = np.searchsorted(words, w)
+        # words: a class's continuation counts, over PULL shared ones
+        own = np.stack([np.bincount(word, n[c] > 0, size) for c in (0, 1)])
+        both = np.bincount(word, minlength=size).astype(float)
+        mass = max(both.sum(), 1.0)
+        left = d * size / mass if size else 1.0
+        base, unseen = (np.maximum(both - d, 0) / mass + left / (size + 1)), left / (size + 1)
+        expected = own.sum(1, keepdims=True) * base
+        lower = base * (own + PULL) / (expected + PULL)
+        # bigrams: a class's counts over PULL of what its words alone lead to expect
+        context, known = _lookup(words, h)
+        strong = known & (n.sum(0) >= BIGRAM_COUNT)
+        total = np.stack([np.bincount(context[known], n[c][known], size) for c in (0, 1)])
+        factor = (n[:, strong] + PAIR_PULL) / (total[:, context[strong]] * lower[:, word[strong]] + PAIR_PULL)
+        pairs = textops.mix(h[strong] * _PAIR + w[strong])
+        order = np.argsort(pairs)
+        return cls(words, np.log(lower), np.full(2, np.log(unseen)), pairs[order], np.log(factor[:, order]), np.zeros(1), np.zeros(1))
 
     def log_ratios(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Mean log-likelihood ratio of each text (0 without words) and its number of words."""
@@ -122,17 +114,10 @@ class KneserNeyPair:
         codes, distinct = pd.factorize(values)
         i, known = _lookup(self.words, distinct)
         lower = np.where(known, self.lower[:, i] if len(self.words) else 0.0, self.unseen[:, None])
-        spare = np.where(known, self.spare[:, i] if len(self.words) else 0.0, 1.0)
-        at = np.zeros(len(values), np.int64)
-        at[1:] = codes[:-1]
-        head = before == 0
         j, paired = _lookup(self.pairs, textops.mix(before * _PAIR + values))
-        log = []
-        for c in range(2):
-            p = np.where(head, 1.0, spare[c][at]) * lower[c][codes]
-            p[paired] += self.pair_mass[c, j[paired]]
-            log.append(np.log(np.maximum(p, 1e-300)))
-        ratio = np.concatenate([[0.0], np.cumsum(log[1] - log[0])])
+        each = _loud(lower[1] - lower[0])[codes]
+        each[paired] += _loud(self.factor[1] - self.factor[0])[j[paired]]
+        ratio = np.concatenate([[0.0], np.cumsum(each)])
         count = np.diff(first)
         return (ratio[first[1:]] - ratio[first[:-1]]) / np.maximum(count, 1), count
 
