@@ -2,7 +2,7 @@
 
 Each language has a zstandard raw-content dictionary made of its own texts. A
 text is compressed with every dictionary, block by block so that what it repeats
-itself counts little, and the smallest total names the language. A narrow margin
+itself counts little, in lower case as the dictionaries are, and the smallest total names the language. A narrow margin
 is a rejection.
 """
 
@@ -22,7 +22,7 @@ from . import textops
 #: The sample a dictionary is made of: so many texts of a language, so many bytes of each.
 SAMPLE_TEXTS = 64
 SAMPLE_BYTES = 1024
-LEVEL = 3
+LEVEL = 9
 BLOCK_BYTES = 4096
 #: Bytes that halve the odds of a language against the best.
 HALF_ODDS = 2.0
@@ -64,7 +64,7 @@ def learn(labelled: DataFrame, *, sample_texts: int = SAMPLE_TEXTS, sample_bytes
     drawn = rows.join(share, "lang").where(unit < F.col("share")).select("lang", "draw", "text")
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
     texts: dict[str, list[bytes]] = {}
-    for row in drawn.withColumn("nth", nth).where(F.col("nth") <= sample_texts).select("lang", F.encode("text", "UTF-8").substr(1, sample_bytes).alias("text"), "nth").orderBy("lang", "nth").collect():
+    for row in drawn.withColumn("nth", nth).where(F.col("nth") <= sample_texts).select("lang", F.encode(F.lower("text"), "UTF-8").substr(1, sample_bytes).alias("text"), "nth").orderBy("lang", "nth").collect():
         piece = bytes(row["text"])
         if piece not in texts.setdefault(row["lang"], []):
             texts[row["lang"]].append(piece)
@@ -89,7 +89,7 @@ def identify(docs: DataFrame, model: LanguageDictionaries, *, reject_below: floa
                 if not tools or not text or not any(map(str.isalpha, text)):
                     best.append(UNKNOWN), score.append(0.0), sizes.append([])
                     continue
-                data = text.encode()
+                data = text.lower().encode()
                 blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
                 size = np.array([sum(len(tool.compress(b)) for b in blocks) for _, tool in tools])
                 best.append(names[int(size.argmin())])

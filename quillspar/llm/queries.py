@@ -110,8 +110,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_order_minhash": op1_order_minhash, "op2_decontamination": op2_decontamination, "op3_packing": op3_packing, "op4_kneser_ney_toxicity": op4_kneser_ney_toxicity, "op6_perspective_rotation": op6_perspective_rotation, "op8_compression_langid": op8_compression_langid, "op9_weak_supervision_pii": op9_weak_supervision_pii, "op10_jaccard_join": op10_jaccard_join}
+    return {"op1_order_minhash": op1_order_minhash, "op2_decontamination": op2_decontamination, "op3_packing": op3_packing, "op4_kneser_ney_toxicity": op4_kneser_ney_toxicity, "op6_perspective_rotation": op6_perspective_rotation, "op7_repeated_bytes": op7_repeated_bytes, "op8_compression_langid": op8_compression_langid, "op9_weak_supervision_pii": op9_weak_supervision_pii, "op10_jaccard_join": op10_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
