@@ -116,8 +116,17 @@ def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_trie import build, score
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(crc32_text("doc_id"), F.lit(7)) == 2
+    trie = build(docs.where(~held_out))
+    return score(docs, trie).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_order_minhash": op1_order_minhash, "op2_decontamination": op2_decontamination, "op3_packing": op3_packing, "op4_kneser_ney_toxicity": op4_kneser_ney_toxicity, "op6_perspective_rotation": op6_perspective_rotation, "op7_repeated_bytes": op7_repeated_bytes, "op8_compression_langid": op8_compression_langid, "op9_weak_supervision_pii": op9_weak_supervision_pii, "op10_jaccard_join": op10_jaccard_join}
+    return {"op1_order_minhash": op1_order_minhash, "op2_decontamination": op2_decontamination, "op3_packing": op3_packing, "op4_kneser_ney_toxicity": op4_kneser_ney_toxicity, "op5_ngram_trie": op5_ngram_trie, "op6_perspective_rotation": op6_perspective_rotation, "op7_repeated_bytes": op7_repeated_bytes, "op8_compression_langid": op8_compression_langid, "op9_weak_supervision_pii": op9_weak_supervision_pii, "op10_jaccard_join": op10_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
