@@ -12,6 +12,7 @@ probability by a monotone calibration on out-of-fold ratios.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -167,23 +168,34 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS)
         return none
     unit = (F.xxhash64("doc_id").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
     drawn = marked.where(unit < share[F.col("toxic")]).orderBy(F.xxhash64("doc_id")).limit(3 * sample_rows)
-    known = spark.createDataFrame(drawn.toPandas(), "doc_id long, toxic int")  # bounded
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(known), "doc_id")
-    got = rows.select("doc_id", "toxic", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    toxic, texts, ids = got["toxic"].to_numpy(), got["text"].combine_chunks(), got["doc_id"].to_numpy()
-    if len(set(toxic.tolist())) < 2:
-        return none
-    # copies of a text stay in one fold
-    fold = (textops.span_values(*(lambda raw, at: (raw, at[:-1], at[1:]))(*textops.utf8(texts))) % U64(FOLDS)).astype(np.int64)
-    ratio = np.zeros(len(ids))
-    for k in range(FOLDS):
-        out = fold == k
-        if out.any() and not out.all():
-            ratio[out] = KneserNeyPair.fit(_corpora(texts.filter(pa.array(~out)), toxic[~out])).log_ratios(texts.filter(pa.array(out)))[0]
-    model = KneserNeyPair.fit(_corpora(texts, toxic))
-    drawn_of = {c: max(1, int((toxic == c).sum())) for c in (0, 1)}
-    model.knots, model.levels = monotone(ratio, toxic.astype(float), np.where(toxic == 1, counts[1] / drawn_of[1], counts[0] / drawn_of[0]))
-    return model
+    known = spark.createDataFrame([tuple(r) for r in drawn.collect()], "doc_id long, toxic int")  # bounded
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(known), "doc_id")
+    # the sample is bounded, so one task can fit it; the driver gets the model alone
+    got = rows.select("doc_id", "toxic", "text").repartition(1).mapInArrow(_fitted(counts), "model binary").collect()
+    return pickle.loads(got[0][0]) if got else none
+
+
+def _fitted(counts: dict[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(list(batches), pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("text", pa.string())])).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        toxic, texts = got["toxic"].to_numpy(), got["text"].combine_chunks()
+        if len(set(toxic.tolist())) < 2:
+            return
+        # copies of a text stay in one fold
+        raw, at = textops.utf8(texts)
+        fold = (textops.span_values(raw, at[:-1], at[1:]) % U64(FOLDS)).astype(np.int64)
+        ratio = np.zeros(len(toxic))
+        for k in range(FOLDS):
+            out = fold == k
+            if out.any() and not out.all():
+                ratio[out] = KneserNeyPair.fit(_corpora(texts.filter(pa.array(~out)), toxic[~out])).log_ratios(texts.filter(pa.array(out)))[0]
+        model = KneserNeyPair.fit(_corpora(texts, toxic))
+        drawn = {c: max(1, int((toxic == c).sum())) for c in (0, 1)}
+        model.knots, model.levels = monotone(ratio, toxic.astype(float), np.where(toxic == 1, counts[1] / drawn[1], counts[0] / drawn[0]))
+        model.lower, model.factor = model.lower.astype(np.float32), model.factor.astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    return run
 
 
 def toxicity(docs: DataFrame, model: KneserNeyPair) -> DataFrame:
