@@ -3,13 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ("tape_plans",)
+
+
+def plans() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
+    found: dict = {}
+    for name in MODULES:
+        found |= import_module(f"quillspar.plans.{name}").PLANS
+    return found
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for name, (query, _) in plans().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in plans().items() if sql}
