@@ -20,12 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
+from .shared import settle
 
 #: Words of a window, and of the k-grams that are kept.
 WINDOW = 13
 GRAM = 5
 #: Bytes of benchmark text that are broadcast at once.
 BLOCK_BYTES = 16 << 20
+#: Ids that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Hit pairs extended at once.
 PAIRS = 1 << 20
 
@@ -176,6 +179,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     )
 
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of ``docs`` that are not contaminated, all columns as they were."""
+    rows = settle(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("id")), "decontam-rows")
+    found = contamination(rows.select(F.col("id").alias("doc_id"), F.col("row.text").alias("text")), benchmark, block_bytes=block_bytes)
+    bad = settle(digest(found).where("contaminated").select(F.col("doc_id").alias("id")), "decontam-bad")
+    return rows.join(F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad, "id", "left_anti").select("row.*")
+
+
 def merged_spans(column: str) -> Column:
     """Disjoint spans covering the same words."""
     return F.expr(f"""

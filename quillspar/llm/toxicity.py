@@ -212,3 +212,15 @@ def toxicity(docs: DataFrame, model: KneserNeyPair) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(ratio)), pa.array(count.astype(np.int64)), pa.array(ratio)], names=["doc_id", "score", "n_words", "log_ratio"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+
+
+def without_toxic(docs: DataFrame, model: KneserNeyPair, *, reject_from: float = REJECT_FROM) -> DataFrame:
+    """Rows of ``docs`` that score below ``reject_from``, all columns as they were. One pass, no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textops.slices(batches):
+            ratio, _ = shared.value.log_ratios(batch.column(batch.schema.get_field_index("text")))
+            yield batch.filter(pa.array(shared.value.score(ratio) < reject_from))
+
+    return docs.mapInArrow(run, docs.schema)
