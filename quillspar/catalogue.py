@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("tape_plans", "read_plans", "coverage_plans")
+MODULES = ("tape_plans", "read_plans", "coverage_plans", "replay_plans")
 
 
 def plans() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
