@@ -33,7 +33,7 @@ END_ID = 2
 #: Marks that the tokenizer takes as tokens of its own before anything else.
 OWN_MARKS = (b"<|startoftext|>", b"<|endoftext|>")
 #: Chunks whose ids a worker remembers; it starts afresh beyond them.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 300_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 
@@ -152,7 +152,7 @@ def power_of_two_pieces(docs: DataFrame, tokenizer_path: str, *, max_length: int
 
         tool = encoder(tokenizer_path)
         sequence = TaskContext.get().partitionId() << 40
-        for batch in textops.slices(batches, limit=4 << 20):
+        for batch in textops.slices(batches, limit=3 << 20):
             raw, at = textops.utf8(batch.column(1))
             flat, count = tool.encode(raw, at)
             first = np.concatenate([[0], np.cumsum(count)])

@@ -13,6 +13,7 @@ probability by a monotone calibration on out-of-fold ratios.
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,19 +45,18 @@ _PAIR = U64(0x9E3779B97F4A7C15)
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word values, the value before each (0 at a text's start) and the words' bounds."""
-    raw, at = textops.utf8(texts)
-    words = textops.Words(textops.lower(raw), at, textops.ALNUM)
-    values = words.values()
+    parts, firsts = [np.zeros(0, U64)], [np.zeros(1, np.int64)]
+    for batch in textops.slices([pa.RecordBatch.from_arrays([texts], names=["text"])]):
+        raw, at = textops.utf8(batch.column(0))
+        words = textops.Words(textops.lower(raw), at, textops.ALNUM)
+        parts.append(words.values())
+        firsts.append(words.first[1:] + firsts[-1][-1])
+    values, first = np.concatenate(parts), np.concatenate(firsts)
     before = np.zeros(len(values), U64)
     before[1:] = values[:-1]
-    begin = words.first[:-1]
+    begin = first[:-1]
     before[begin[begin < len(values)]] = 0
-    return values, before, words.first
-
-
-def _counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    got, n = np.unique(x, return_counts=True)
-    return got, n.astype(np.float64)
+    return values, before, first
 
 
 def _lookup(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,8 +182,7 @@ def _fitted(counts: dict[int, int]):
         if len(set(toxic.tolist())) < 2:
             return
         # copies of a text stay in one fold
-        raw, at = textops.utf8(texts)
-        fold = (textops.span_values(raw, at[:-1], at[1:]) % U64(FOLDS)).astype(np.int64)
+        fold = np.array([zlib.crc32(t.encode()) % FOLDS for t in texts.to_pylist()])
         ratio = np.zeros(len(toxic))
         for k in range(FOLDS):
             out = fold == k
