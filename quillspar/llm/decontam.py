@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .shared import settle
+from .shared import settle, small_batches
 
 #: Words of a window, and of the k-grams that are kept.
 WINDOW = 13
@@ -160,7 +160,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    rows = docs.select(F.lit(0).cast("long").alias("row") if blocks == 1 else F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = small_batches(docs).select(F.lit(0).cast("long").alias("row") if blocks == 1 else F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = []
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textops
+from .shared import small_batches
 
 #: The sample a dictionary is made of: so many texts of a language, so many bytes of each.
 SAMPLE_TEXTS = 64
@@ -103,4 +104,4 @@ def identify(docs: DataFrame, model: LanguageDictionaries, *, reject_below: floa
                 ], names=["doc_id", "lang", "best", "score", "rejected", "bytes"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import textops
 from .elias_fano import EliasFano
-from .shared import fresh, mounted, shared_uri
+from .shared import fresh, mounted, shared_uri, small_batches
 from .textops import U64
 
 #: Times a word, and a pair, must occur to be a node of the trie.
@@ -293,7 +293,7 @@ def build(corpus: DataFrame, *, node_count: int = NODE_COUNT, pair_count: int =
     folder = mounted(fresh(spark, "trie"))
     os.makedirs(folder)
     bits = max(0, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length() - 1)
-    texts = corpus.select(F.col("text").cast("string").alias("text"))
+    texts = small_batches(corpus).select(F.col("text").cast("string").alias("text"))
     words = texts.mapInArrow(_count_words(bits), "shard int, value long, n long").repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("value")
     rows = sorted(words.mapInArrow(_write_words(folder, node_count), "shard long, words long, tokens long, nodes long, n1 long, n2 long, n3 long, n4 long").collect())  # a row for each shard
     some = [sum(r[f"n{k}"] for r in rows) for k in (1, 2, 3, 4)]
@@ -350,4 +350,4 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
     A null text is empty: its end is its one token. Whole texts are scored, rows
     each for itself; other columns are ignored.
     """
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(_score(trie), SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(_score(trie), SCHEMA)

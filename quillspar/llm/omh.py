@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
+from .shared import small_batches
 from .textops import U64
 
 #: Words of a k-mer, k-mers of a tuple, entries of a signature (a power of two).
@@ -120,7 +121,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in textops.slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), hexed(signatures(*textops.utf8(batch.column(1))))], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint string")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
 def _bucket(bounds: list[int], low: int, high: int) -> Column:
@@ -169,7 +170,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     range copied to the range before it, so every task streams through its rows.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0] or []
     bounds = sorted(set(cuts)) if parts > 1 else []

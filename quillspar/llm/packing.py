@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
+from .shared import small_batches
 
 #: Longest piece, and the id that closes each document.
 MAX_LENGTH = 4096
@@ -177,4 +178,4 @@ def power_of_two_pieces(docs: DataFrame, tokenizer_path: str, *, max_length: int
             sequence += len(row)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))

@@ -129,5 +129,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_order_minhash": op1_order_minhash, "op2_decontamination": op2_decontamination, "op3_packing": op3_packing, "op4_kneser_ney_toxicity": op4_kneser_ney_toxicity, "op5_ngram_trie": op5_ngram_trie, "op6_perspective_rotation": op6_perspective_rotation, "op7_repeated_bytes": op7_repeated_bytes, "op8_compression_langid": op8_compression_langid, "op9_weak_supervision_pii": op9_weak_supervision_pii, "op10_jaccard_join": op10_jaccard_join}
 
 
+OP10_SQL = rf"""
+with recursive w as (select doc_id, regexp_extract_all({_ASCII_LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, list_distinct(case when len(w) >= 4 then [array_to_string(list_slice(w, i, i + 3), ' ') for i in range(1, len(w) - 2)]
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from w),
+e as (select doc_id, unnest(s) as g from s),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as both_have from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join s x on x.doc_id = a join s y on y.doc_id = b where 100 * both_have >= 85 * (len(x.s) + len(y.s) - both_have)),
+ways as (select a, b from l union all select b, a from l),
+reach as (select doc_id as a, doc_id as b from documents union select reach.a, ways.b from reach join ways on reach.b = ways.a),
+least as (select a, min(b) as component_id from reach group by 1)
+select s.doc_id, cast(len(s) as bigint) as n_shingles, component_id from s join least on least.a = s.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_order_minhash": op1_order_minhash, "op2_decontamination": OP2_SQL}
+    return {"op2_decontamination": OP2_SQL, "op6_perspective_rotation": OP6_SQL, "op10_jaccard_join": OP10_SQL}

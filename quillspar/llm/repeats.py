@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .shared import settle
+from .shared import settle, small_batches
 from .textops import U64
 
 LENGTH = 200
@@ -205,7 +205,7 @@ def without_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     unique = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
     rows = docs.select(F.col("doc_id").alias("row"), "doc_id", "text") if unique else settle(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "repeats-rows")
     runs = rows.select("row", "text").mapInArrow(_runs(length, gram), "anchor long, string long, row long, low long, high long")

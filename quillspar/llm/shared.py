@@ -23,6 +23,23 @@ def shared_uri(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes and rows that go to a Python worker at once; held several times over on both sides.
+BATCH_BYTES = 4 << 20
+BATCH_ROWS = 4000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, for whose texts the session sends batches of bounded bytes to Python.
+
+    Settings that the cluster names itself stay.
+    """
+    named = df.sparkSession.sparkContext.getConf()
+    for key, value in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        if not named.contains(f"spark.sql.execution.arrow.{key}"):
+            df.sparkSession.conf.set(f"spark.sql.execution.arrow.{key}", value)
+    return df
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_uri(spark)}/{name}-{uuid.uuid4().hex}"
 

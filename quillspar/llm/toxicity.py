@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
+from .shared import small_batches
 from .textops import U64
 
 #: Labelled texts of each class that are learned from, at most.
@@ -169,7 +170,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS)
     unit = (F.xxhash64("doc_id").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
     drawn = marked.where(unit < share[F.col("toxic")]).orderBy(F.xxhash64("doc_id")).limit(3 * sample_rows)
     known = spark.createDataFrame([tuple(r) for r in drawn.collect()], "doc_id long, toxic int")  # bounded
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(known), "doc_id")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(known), "doc_id")
     # the sample is bounded, so one task can fit it; the driver gets the model alone
     got = rows.select("doc_id", "toxic", "text").repartition(1).mapInArrow(_fitted(counts), "model binary").collect()
     return pickle.loads(got[0][0]) if got else none
@@ -210,7 +211,7 @@ def toxicity(docs: DataFrame, model: KneserNeyPair) -> DataFrame:
             ratio, count = shared.value.log_ratios(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(ratio)), pa.array(count.astype(np.int64)), pa.array(ratio)], names=["doc_id", "score", "n_words", "log_ratio"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
 def without_toxic(docs: DataFrame, model: KneserNeyPair, *, reject_from: float = REJECT_FROM) -> DataFrame:
@@ -222,4 +223,4 @@ def without_toxic(docs: DataFrame, model: KneserNeyPair, *, reject_from: float =
             ratio, _ = shared.value.log_ratios(batch.column(batch.schema.get_field_index("text")))
             yield batch.filter(pa.array(shared.value.score(ratio) < reject_from))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
