@@ -2,13 +2,18 @@
 
 A byte goes if a string of LENGTH bytes that covers it starts anywhere else too.
 
-The texts are parsed at content-defined anchors: of all k-grams of a window of
-LENGTH bytes the one of the smallest hash is its anchor, so equal windows have
-equal anchors at equal places, and the windows of one anchor are a run. A run's
-windows are settled together when the whole string under it occurs again. Where
-only the anchor does, at the edges of what repeats, the windows are refined
-further: a suffix's block at the full depth is named by the bytes from the
-anchor's left on, and blocks of two or more starts repeat.
+The texts are parsed at content-defined anchors first: of all k-grams of a window
+of LENGTH bytes the one of the smallest hash is its anchor, so equal windows have
+equal anchors at equal places, and the windows of one anchor are a run. A run
+whose anchor occurs nowhere else can't repeat, and one whose whole string occurs
+again repeats whole. What is left, the strings at the edges of what repeats, is
+brought together by anchor and decided by Burrows-Wheeler transforms: each shard
+of strings gets its own, they are merged by interleave refinement, and starts
+whose common prefix with a neighbour reaches LENGTH repeat. The symbols are words
+of eight bytes in all eight phases, so LENGTH bytes take LENGTH / 8 passes.
+
+An anchor with more strings than one task should hold (``GROUP_RUNS``) is split
+by content instead: its windows are named by their hash and dealt out by name.
 """
 
 from __future__ import annotations
@@ -17,11 +22,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import textops
+from . import bwt, textops
 from .shared import settle, small_batches
 from .textops import U64
 
@@ -29,6 +35,11 @@ LENGTH = 200
 GRAM = 80
 #: A longer text is parsed in parts that overlap.
 PART_BYTES = 8 << 20
+#: Runs of an anchor that one task brings together; bytes of a shard, and of shards merged at once.
+GROUP_RUNS = 4096
+SHARD_BYTES = 128 << 10
+MERGE_BYTES = 512 << 10
+WORD = 8
 _PLACE = 24  # bits of a place in a part
 BROADCAST_CELLS = 1_000_000
 
@@ -129,7 +140,79 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compared = (near_before & ~same_before) | (near_after & ~same_after)
         keep = np.flatnonzero((repeats | compared)[skip : skip + rows]) + skip
         taken = whole.take(pa.array(keep))
-        yield pa.RecordBatch.from_arrays([*taken.columns[2:5], pa.array(repeats[keep]), pa.array(compared[keep])], names=["row", "low", "high", "repeats", "compared"])
+        yield pa.RecordBatch.from_arrays([taken.column(0), *taken.columns[2:5], pa.array(repeats[keep]), pa.array(compared[keep])], names=["anchor", "row", "low", "high", "repeats", "compared"])
+
+
+def _strings(length: int):
+    """The string under each run, with its anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textops.slices(batches):
+            raw, at = textops.utf8(batch.column(batch.schema.get_field_index("text")))
+            runs = batch.column(batch.schema.get_field_index("runs"))
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(runs.offsets.to_numpy()))
+            flat = runs.flatten()
+            anchor, low, high = (flat.field(i).to_numpy() for i in range(3))
+            begin, end = low + at[owner], high + at[owner] + length
+            data = raw.tobytes()
+            for a in range(0, len(low), 4096):
+                cut = slice(a, a + 4096)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor[cut]), batch.column(0).take(pa.array(owner[cut])), pa.array(low[cut]), pa.array([data[x:y] for x, y in zip(begin[cut].tolist(), end[cut].tolist(), strict=True)], pa.binary())],
+                    names=["anchor", "row", "low", "string"],
+                )
+
+    return run
+
+
+def _decided(length: int):
+    """Of strings sorted by anchor, the starts that repeat: merged transforms of some anchors at a time."""
+
+    def decide(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        data = [r[2] for r in rows]
+        first = np.cumsum([0, *map(len, data)])
+        width = WORD if length % WORD == 0 else 1
+        values, byte = bwt.in_words(np.frombuffer(b"".join(data), np.uint8), first, width)
+        symbols = pd.factorize(values)[0].astype(np.int64) + 1
+        symbols[byte < 0] = 0
+        ends = np.flatnonzero(byte < 0) + 1
+        cuts = ends[np.searchsorted(ends, np.arange(SHARD_BYTES, len(symbols), SHARD_BYTES))]
+        bounds = np.unique(np.concatenate([[0], cuts, [len(symbols)]]))
+        shards = [symbols[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        at = np.sort(np.concatenate([byte[b + found] for b, found in zip(bounds[:-1], bwt.repeated(shards, length // width), strict=True)]))
+        owner = np.searchsorted(first, at, "right") - 1
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])
+        last = np.append(new[1:], True) if len(at) else new
+        row, low = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        shift = low[owner] - first[owner]
+        return pa.RecordBatch.from_arrays([pa.array(row[owner[new]]), pa.array((at + shift)[new]), pa.array((at + shift)[last])], names=["row", "low", "high"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, group, size, last = [], [], 0, None
+
+        def close():
+            nonlocal group
+            if len(group) > 1:  # an anchor alone repeats nothing
+                rows.extend(group)
+            group = []
+
+        for batch in batches:
+            for anchor, row, low, string in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+                if anchor != last:
+                    close()
+                    last = anchor
+                    if size >= MERGE_BYTES:
+                        if rows:
+                            yield decide(rows)
+                        rows, size = [], 0
+                group.append((row, low, string))
+                size += len(string)
+        close()
+        if rows:
+            yield decide(rows)
+
+    return run
 
 
 def _windows(length: int, gram: int):
@@ -143,7 +226,7 @@ def _windows(length: int, gram: int):
             runs = batch.column(batch.schema.get_field_index("runs"))
             owner = np.repeat(np.arange(batch.num_rows), np.diff(runs.offsets.to_numpy()))
             flat = runs.flatten()
-            low, high = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            low, high = flat.field(1).to_numpy(), flat.field(2).to_numpy()
             size = high - low + 1
             for a in range(0, len(low), 4096):
                 n = size[a : a + 4096]
@@ -195,7 +278,7 @@ def _kept(length: int):
     return run
 
 
-def without_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, group_runs: int = GROUP_RUNS, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of ``docs`` (doc_id, text).
 
     A null text is empty; a text shorter than ``length`` loses nothing. Repeated
@@ -209,13 +292,22 @@ def without_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
     unique = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
     rows = docs.select(F.col("doc_id").alias("row"), "doc_id", "text") if unique else settle(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "repeats-rows")
     runs = rows.select("row", "text").mapInArrow(_runs(length, gram), "anchor long, string long, row long, low long, high long")
-    marks = settle(runs.repartition(parts, "anchor").sortWithinPartitions("anchor", "string").mapInArrow(_settled, "row long, low long, high long, repeats boolean, compared boolean"), "repeats-marks")
-    compared = marks.where("compared").groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
-    cells = marks.where("compared").count()
-    side = F.broadcast(compared) if cells <= BROADCAST_CELLS else compared
-    windows = rows.select("row", "text").join(side, "row").select("row", "text", "runs").mapInArrow(_windows(length, gram), "name long, row long, low long")
-    again = windows.repartition(parts, "name").sortWithinPartitions("name").mapInArrow(_again, "row long, low long")
-    every = marks.where("repeats").select("row", "low", "high").unionByName(again.select("row", "low", F.col("low").alias("high")))
+    marks = settle(runs.repartition(parts, "anchor").sortWithinPartitions("anchor", "string").mapInArrow(_settled, "anchor long, row long, low long, high long, repeats boolean, compared boolean"), "repeats-marks")
+    compared = marks.where("compared")
+    sizes = compared.groupBy("anchor").agg(F.count("*").alias("runs")).where(F.col("runs") > group_runs).select("anchor", F.lit(True).alias("hot"))
+    compared = settle(compared.join(sizes, "anchor", "left").select("anchor", "row", "low", "high", F.coalesce("hot", F.lit(False)).alias("hot")), "repeats-compared")
+
+    def beside(which: DataFrame) -> DataFrame:
+        side = which.groupBy("row").agg(F.collect_list(F.struct("anchor", "low", "high")).alias("runs"))
+        return rows.select("row", "text").join(F.broadcast(side) if which.count() <= BROADCAST_CELLS else side, "row").select("row", "text", "runs")
+
+    strings = beside(compared.where("not hot")).mapInArrow(_strings(length), "anchor long, row long, low long, string binary")
+    decided = strings.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_decided(length), "row long, low long, high long")
+    every = marks.where("repeats").select("row", "low", "high").unionByName(decided)
+    if not compared.where("hot").isEmpty():
+        windows = beside(compared.where("hot")).mapInArrow(_windows(length, gram), "name long, row long, low long")
+        again = windows.repartition(parts, "name").sortWithinPartitions("name").mapInArrow(_again, "row long, low long")
+        every = every.unionByName(again.select("row", "low", F.col("low").alias("high")))
     gone = every.groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
     none = F.expr("cast(array() as array<struct<low:bigint,high:bigint>>)")
     found = rows.join(gone, "row", "left").select("row", "doc_id", "text", F.coalesce("runs", none).alias("runs"))

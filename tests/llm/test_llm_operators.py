@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from twins import connect, differences
 
-from quillspar.llm import chat, components, decontam, elias_fano, jaccard, langid, ngram_trie, omh, packing, pii, queries, repeats, textops, toxicity
+from quillspar.llm import bwt, chat, components, decontam, elias_fano, jaccard, langid, ngram_trie, omh, packing, pii, queries, repeats, textops, toxicity
 
 
 def low(text):
@@ -269,21 +269,37 @@ def brute_repeats(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("gram", [12, 30])
-def test_repeats(spark, odd, none, gram):
+@pytest.mark.parametrize("gram, group", [(12, 4096), (30, 3), (30, 4096)])
+def test_repeats(spark, odd, none, gram, group):
     rng = random.Random(3)
     base = ["".join(rng.choice("ab é") for _ in range(rng.randint(5, 120))) for _ in range(40)]
     rows = [(200 + i, "".join(rng.choice(base) for _ in range(rng.randint(0, 5)))) for i in range(60)] + [(200 + 60 + i, "".join(rng.choice("abcd") for _ in range(150))) for i in range(40)]
     docs = spark.createDataFrame(rows, SCHEMA).unionByName(odd.select("doc_id", "text"))
     want = brute_repeats([(r.doc_id, (r.text or "").encode()) for r in docs.collect()], 40)
-    got = repeats.without_repeats(docs, length=40, gram=gram).collect()
+    got = repeats.without_repeats(docs, length=40, gram=gram, group_runs=group).collect()
     assert sorted(repr((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got) == want
     only = spark.createDataFrame(rows, SCHEMA)
     want = brute_repeats([(d, t.encode()) for d, t in rows], 40)
-    assert sorted(repr((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in repeats.without_repeats(only, length=40, gram=gram).collect()) == want
+    assert sorted(repr((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in repeats.without_repeats(only, length=40, gram=gram, group_runs=group).collect()) == want
     assert repeats.without_repeats(none).count() == 0
 
 
+def test_merged_transforms():
+    rng = random.Random(1)
+    for _ in range(40):
+        depth = rng.choice([1, 3, 8])
+        base = [bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 20))) for _ in range(5)]
+        shards = [[b"".join(rng.choice(base) for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(1, 6))] for _ in range(rng.randint(1, 4))]
+        counts = Counter(t[i : i + depth] for s in shards for t in s for i in range(len(t) - depth + 1))
+        found = bwt.repeated([np.array([x for t in s for x in (*t, 0)]) for s in shards], depth)
+        for shard, got in zip(shards, found):
+            want, at = [], 0
+            for t in shard:
+                want += [at + i for i in range(len(t) - depth + 1) if counts[t[i : i + depth]] > 1]
+                at += len(t) + 1
+            assert got.tolist() == want
+
+
 def test_a_long_text_in_parts(monkeypatch):
     rng = random.Random(8)
     text = "".join(rng.choice("ab") for _ in range(700))
