@@ -60,13 +60,5 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(spark: SparkSession, *uris: str) -> None:
-    """Delete tables of the shared folder that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for uri in uris:
-        path = jvm.org.apache.hadoop.fs.Path(uri)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -174,7 +174,6 @@ def grams(values: np.ndarray, first: np.ndarray, k: int, seed: int = 0) -> tuple
         cut = first[1:-1] - j
         cut = cut[(cut >= 0) & (cut < len(whole))]
         whole[cut] = False
-    # a text shorter than k words also voids starts before its own beginning
     index = np.flatnonzero(whole)
     return mix(out[index] ^ U64((k * 0xA24BAED4963EE407 + seed) & _MASK)), index
 
@@ -184,10 +183,6 @@ def texts(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
     return [data[a:b].decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist())]
 
 
-def string_array(raw: np.ndarray, at: np.ndarray) -> pa.Array:
-    return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(raw.tobytes()))
-
-
 def crc32_text(column: str):
     """crc32 of an id written as text, as the contracts' folds use it."""
     from pyspark.sql import functions as F
