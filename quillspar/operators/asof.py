@@ -1,27 +1,28 @@
 """As-of joins without a range join: one shuffle on the key and one sort.
 
 Both sides are stacked, ordered by time in each key, and the last (or next) right
-row is carried along. A hot key is one partition of the window, so keys may be
-split by blocks of time first (``block``): the carry over earlier blocks comes
-from the blocks' own last rows, which is a small table.
+row is carried along. A hot key would be one partition of that window, so its time
+may be cut in blocks (``block``): what is carried into a block comes from the
+blocks before it, of which there is one row each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, values: Sequence[str], *, forward: bool = False, strict: bool = False, tie: Sequence[str] = (), max_lag: int | None = None, lag_unit: str = "SECOND") -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, values: Sequence[str], *, forward: bool = False, strict: bool = False, tie: Sequence[str] = (), max_lag: int | None = None, lag_unit: str = "SECOND", block: Callable[[Column], Column] | None = None) -> DataFrame:
     """``left`` with the latest right ``values`` at or before its time (or the first at or after).
 
     ``strict`` leaves out rows of the same time. Of right rows at one time the
     highest by ``tie`` counts (the lowest if forward). Rows without a match, or
     with one further off than ``max_lag``, get nulls. The match's time is
-    ``{time}_matched``.
+    ``{time}_matched``. ``block`` maps a time to its block and does not fall
+    as time goes on.
     """
     payload = F.struct(F.col(time).alias("_t"), *values)
     none = F.lit(None)
@@ -32,10 +33,22 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, valu
     last = (0 if forward else 1) if not strict else (1 if forward else 0)
     place = F.when(F.col("_left") == 1, last).otherwise(1 - last)
     order = [F.asc("_at"), place.asc(), *[F.asc(f"_tie_{t}") for t in tie]]
-    w = Window.partitionBy(*keys).orderBy(*order)
+    rows = a.unionByName(b).withColumn("_block", F.lit(0) if block is None else block(F.col("_at")))
+    w = Window.partitionBy(*keys, "_block").orderBy(*order)
     w = w.rowsBetween(0, Window.unboundedFollowing) if forward else w.rowsBetween(Window.unboundedPreceding, 0)
-    carry = (F.first if forward else F.last)("_hit", ignorenulls=True).over(w)
-    out = a.unionByName(b).withColumn("_got", carry).where("_left = 1")
+    pick = F.first if forward else F.last
+    out = rows.withColumn("_got", pick("_hit", ignorenulls=True).over(w)).where("_left = 1")
+    if block is not None:
+        version = F.struct("_at", *[f"_tie_{t}" for t in tie])
+        best = (F.min_by if forward else F.max_by)("_hit", F.when(F.col("_left") == 0, version))
+        blocks = rows.groupBy(*keys, "_block").agg(best.alias("_best"))
+        ahead = Window.partitionBy(*keys).orderBy("_block")
+        ahead = ahead.rowsBetween(1, Window.unboundedFollowing) if forward else ahead.rowsBetween(Window.unboundedPreceding, -1)
+        carried = blocks.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_block").alias("_b"), pick("_best", ignorenulls=True).over(ahead).alias("_carried"))
+        same = F.col("_block") == F.col("_b")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        out = out.join(carried, same, "left").withColumn("_got", F.coalesce("_got", "_carried"))
     got = out.select("_row.*", *[F.col(f"_got.{v}").alias(v) for v in values], F.col("_got._t").alias(f"{time}_matched"))
     if max_lag is None:
         return got

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numeric import wilson
+from .prefix import ntile, running_before
 
 MONEY = "decimal(38,10)"
 
@@ -107,15 +108,14 @@ def confusion(rows: DataFrame, predicted: Column, actual: Column) -> DataFrame:
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """Rank-sum area under the curve with ties at their mean rank, from one row a distinct score."""
     per = rows.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_below", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    per = running_before(per, score, "_n", "_below")
     got = per.agg(F.sum("_p").alias("positives"), F.sum("_n").alias("negatives"), F.sum(2 * F.col("_p") * F.col("_below") + F.col("_p") * F.col("_n")).alias("_twice"))
     return got.select("positives", "negatives", (F.col("_twice") / (2 * F.col("positives") * F.col("negatives"))).alias("auc"))
 
 
 def reliability(rows: DataFrame, score: str, label: str, bins: int, order: Sequence[str]) -> DataFrame:
     """Equal-count bins by score: size, hits and mean score as exact decimals."""
-    binned = rows.withColumn("bin", F.ntile(bins).over(Window.orderBy(score, *order)))
+    binned = ntile(rows, score, order, bins)
     return binned.groupBy("bin").agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("hits"), F.sum(F.col(score).cast("decimal(18,8)")).cast("decimal(38,8)").alias("score_sum"))
 
 

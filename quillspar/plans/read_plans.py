@@ -79,7 +79,7 @@ def _eligibility(s, d):
 
 
 PLANS = {
-    "asof_backward": plan(lambda s, d: A.asof(*_asof(s, d), ["asset_id"], "ts", ["price_event", "price"]), _asof_sql("l.ts >= r.ts")),
+    "asof_backward": plan(lambda s, d: A.asof(*_asof(s, d), ["asset_id"], "ts", ["price_event", "price"], block=lambda t: F.date_trunc("day", t)), _asof_sql("l.ts >= r.ts")),
     "asof_forward": plan(lambda s, d: A.asof(*_asof(s, d), ["asset_id"], "ts", ["price_event", "price"], forward=True), _asof_sql("l.ts <= r.ts")),
     "asof_max_lag": plan(
         lambda s, d: A.asof(*_asof(s, d), ["asset_id"], "ts", ["price_event", "price"], max_lag=86400),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspar.functions import numeric
-from quillspar.operators import asof, book, features, intervals, ledger, replay, series
+from quillspar.operators import asof, book, features, intervals, ledger, prefix, replay, series
 
 
 def rows(df, *columns):
@@ -16,11 +16,12 @@ def rows(df, *columns):
 
 @pytest.mark.parametrize("forward", [False, True])
 @pytest.mark.parametrize("strict", [False, True])
-def test_asof_brute(spark, forward, strict):
+@pytest.mark.parametrize("block", [None, lambda t: F.floor(t / 7)])
+def test_asof_brute(spark, forward, strict, block):
     rng = random.Random(3)
     left = [(i, rng.randrange(3), rng.randrange(40)) for i in range(60)]
     right = [(rng.randrange(3), t, t * 10) for t in rng.sample(range(40), 25)]
-    got = asof.asof(spark.createDataFrame(left, "id int, k int, t int"), spark.createDataFrame(right, "k int, t int, v int"), ["k"], "t", ["v"], forward=forward, strict=strict)
+    got = asof.asof(spark.createDataFrame(left, "id int, k int, t int"), spark.createDataFrame(right, "k int, t int, v int"), ["k"], "t", ["v"], forward=forward, strict=strict, block=block)
 
     def best(k, t):
         ok = [x for x in right if x[0] == k and ((x[1] > t or (x[1] == t and not strict)) if forward else (x[1] < t or (x[1] == t and not strict)))]
@@ -183,6 +184,20 @@ def test_prior_and_strata(spark):
     assert [(r.k, r.c, r.depth) for r in sorted(features.strata_lookup(asked, table, ["k", "c"], "value", 5).collect())] == [("a", 1, 2), ("a", 2, 1), ("z", 1, 0)]
 
 
+def test_global_orders(spark):
+    rng = random.Random(9)
+    data = [(i, rng.choice([None, *range(20)]), rng.randrange(5)) for i in range(203)]
+    df = spark.createDataFrame(data, "i int, s int, v long")
+    order = sorted(data, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    got = {r.i: r.row_number for r in prefix.row_numbers(df, "s", ["i"], buckets=7).collect()}
+    assert [got[r[0]] for r in order] == list(range(1, 204))
+    bins = {r.i: r.bin for r in prefix.ntile(df, "s", ["i"], 10).collect()}
+    assert [bins[r[0]] for r in order] == [b for b in range(1, 11) for _ in range(21 if b <= 3 else 20)]
+    known = df.where("s is not null")
+    before = {r.i: r.before for r in prefix.running_before(known, "s", "v", buckets=5).collect()}
+    assert all(before[i] == sum(x[2] for x in data if x[1] is not None and x[1] < s) for i, s, _ in data if s is not None)
+
+
 def test_empty_inputs(spark):
     orders, trades = tape(spark, n=3)
     none = trades.where("false")
