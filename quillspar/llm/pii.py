@@ -109,8 +109,8 @@ def _found(rows: DataFrame, kind: str, present: Column) -> DataFrame:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``proposed`` of spans, their votes and features."""
-    rows = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    """Each row of ``docs`` as ``_row``, with a column ``proposed`` of spans, their votes and features."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     rows = rows.withColumn("_number", F.col("_text").rlike("[0-9]"))
     has = {"email": F.contains("_text", F.lit("@")), "phone": F.contains("_text", F.lit("+")) & F.col("_number")}
     for kind in PATTERNS:
@@ -128,7 +128,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     none = f"cast(array() as array<{_SPAN}>)"
     whole = ", ".join(f"coalesce({p}, {none})" for p in parts)
     found = " or ".join(f"_{kind} is not null" for kind in PATTERNS)
-    return rows.withColumn("proposed", F.expr(f"if({found}, concat({whole}), {none})")).drop("_text", "_number", *[f"_{kind}" for kind in PATTERNS])
+    return rows.withColumn("proposed", F.expr(f"if({found}, concat({whole}), {none})")).select("_row", "proposed")
 
 
 @dataclass
@@ -191,8 +191,9 @@ def spans(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     Places are code points, ends exclusive. Base spans stay whatever the
     classifier says; another span is added if its probability is high enough and
     it overlaps no base span. A null text has none; repeated rows are judged each
-    for itself; other columns are kept, ``text`` as it was. A table without spans
-    teaches a model that accepts nothing beyond the base.
+    for itself; other columns are kept, ``text`` as it was, but for one named
+    ``spans``, which makes way. A table without spans teaches a model that accepts
+    nothing beyond the base.
     """
     rows = candidates(docs)
     model = model or learn(rows)
@@ -200,7 +201,9 @@ def spans(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     base = "filter(proposed, s -> s.base)"
     added = f"filter(filter(proposed, s -> not s.base and {model.probability()} >= {ACCEPT_FROM}), s -> not exists(_base, b -> b.start < s.end and s.start < b.end))"
     flat = f"transform(array_sort(transform(concat(_base, {added}), s -> named_struct('start', s.start, 'nth', {order}, 'end', s.end, 'kind', s.kind, 'base', s.base))), s -> named_struct('kind', s.kind, 'start', s.start, 'end', s.end, 'base', s.base))"
-    return rows.withColumn("_base", F.expr(base)).withColumn("spans", F.expr(f"if(size(proposed) = 0, cast(array() as array<struct<kind:string,start:int,end:int,base:boolean>>), {flat})")).drop("proposed", "_base")
+    none = "cast(array() as array<struct<kind:string,start:int,end:int,base:boolean>>)"
+    found = rows.withColumn("_base", F.expr(base)).select("_row", F.expr(f"if(size(proposed) = 0, {none}, {flat})").alias("_spans"))
+    return found.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != "spans"], F.col("_spans").alias("spans"))
 
 
 def joined(only_base: bool = False) -> str:

@@ -359,6 +359,13 @@ def test_personal_data(spark, odd, none):
     assert pii.spans(none).count() == 0
 
 
+def test_personal_data_with_clashing_names(spark):
+    names = ["_text", "_number", "_email", "_row", "_m", "proposed", "spans", "_base", "a.b"]
+    df = spark.createDataFrame([(1, "mail x@y.org", *names)], ", ".join(["doc_id long", "text string", *[f"`{n}` string" for n in names]]))
+    got = pii.masked(pii.spans(df)).collect()[0]
+    assert got.text == "mail [EMAIL]" and got["_email"] == "_email" and got["a.b"] == "a.b" and len(got.spans) == 1
+
+
 def test_secrets_are_added(spark):
     rows = [(i, f'words before token = "{hashlib.sha1(str(i).encode()).hexdigest()}" and after') for i in range(50)]
     got = pii.spans(spark.createDataFrame(rows, SCHEMA)).select(F.expr(pii.joined()).alias("s")).collect()
