@@ -142,3 +142,73 @@ def combined_fill(l2: DataFrame, tape: DataFrame) -> DataFrame:
     rows = l2.select("order_index", F.col("filled").alias("_a"), "price", "rebate").join(tape.select("order_index", F.col("filled").alias("_b")), "order_index", "left")
     size = F.least(F.col("_a"), F.coalesce(F.col("_b"), F.lit(0.0)))
     return rows.select("order_index", size.alias("filled"), F.when(size > 0, F.col("price")).alias("price"), F.when(F.col("_a") > 0, F.col("rebate") * size / F.col("_a")).otherwise(0.0).alias("rebate"))
+
+
+class ResidualBook:
+    """YES-side levels of both outcomes of a condition, less what own orders took.
+
+    A NO level is seen as its YES mirror; what both outcomes show at a price counts
+    once. Only a share of it (``haircut``) can be taken. What was taken stays taken
+    until the level grows again: growth gives back as much, up to what was taken. A
+    snapshot of an outcome begins a new epoch for its levels and clears what was
+    taken there.
+    """
+
+    def __init__(self, haircut: float = 1.0):
+        self.haircut, self.epoch = haircut, 0
+        self.shown: dict[tuple[str, str, float], float] = {}
+        self.taken: dict[tuple[str, float], float] = {}
+
+    @staticmethod
+    def mirrored(outcome: str, side: str, price: float) -> tuple[str, float]:
+        return (side, price) if outcome == "YES" else ("ASK" if side == "BID" else "BID", round(1 - price, 10))
+
+    def fused(self, side: str, price: float) -> float:
+        return max((size for (_, s, p), size in self.shown.items() if s == side and p == price), default=0.0)
+
+    def snapshot(self, outcome: str) -> None:
+        self.epoch += 1
+        for key in [k for k in self.shown if k[0] == outcome]:
+            del self.shown[key]
+            self.taken.pop(key[1:], None)
+
+    def delta(self, outcome: str, side: str, price: float, size: float) -> None:
+        side, price = self.mirrored(outcome, side, price)
+        before = self.fused(side, price)
+        if size > 0:
+            self.shown[outcome, side, price] = size
+        else:
+            self.shown.pop((outcome, side, price), None)
+        grown = max(0.0, self.fused(side, price) - before)
+        if (side, price) in self.taken:
+            self.taken[side, price] = max(0.0, self.taken[side, price] - grown)
+
+    def take(self, side: str, limit: float, size: float) -> tuple[float, float]:
+        """Filled size and cost of a taker, best price first; what it takes is gone for the next."""
+        meets = "ASK" if side == "BUY" else "BID"
+        prices = {p for _, s, p in self.shown if s == meets and ((p <= limit) if side == "BUY" else (p >= limit))}
+        filled = cost = 0.0
+        for price in sorted(prices, reverse=side != "BUY"):
+            got = min(size - filled, max(0.0, self.haircut * self.fused(meets, price) - self.taken.get((meets, price), 0.0)))
+            if got > 0:
+                self.taken[meets, price] = self.taken.get((meets, price), 0.0) + got
+                filled, cost = filled + got, cost + got * price
+        return filled, cost
+
+
+def residual_fills(events: DataFrame, haircut: float) -> DataFrame:
+    """Takers against each condition's residual book: condition_id, seq, kind (book, delta, take), outcome, side, price, size, order_id."""
+
+    def fold(key, rows: pd.DataFrame) -> pd.DataFrame:
+        book, out = ResidualBook(haircut), []
+        for e in rows.sort_values("seq", kind="stable").to_dict("records"):
+            if e["kind"] == "take":
+                filled, cost = book.take(e["side"], e["price"], e["size"])
+                out.append((key[0], e["order_id"], filled, cost, book.epoch))
+                continue
+            if e["kind"] == "book":
+                book.snapshot(e["outcome"])
+            book.delta(e["outcome"], e["side"], e["price"], e["size"])
+        return pd.DataFrame(out, columns=["condition_id", "order_id", "filled", "cost", "epoch"])
+
+    return events.groupBy("condition_id").applyInPandas(fold, "condition_id long, order_id long, filled double, cost double, epoch long")

@@ -173,6 +173,53 @@ def test_fifo_and_fusion(spark):
     assert rows(book.fused_levels(levels), "side", "price", "size", "sources") == [("ASK", D("0.6"), 8.0, 2)]
 
 
+def test_residual_book():
+    b = book.ResidualBook(haircut=0.5)
+    b.delta("YES", "ASK", 0.6, 10.0)
+    b.delta("NO", "BID", 0.4, 16.0)  # the mirror of a YES ask at 0.6
+    assert b.fused("ASK", 0.6) == 16.0
+    assert b.take("BUY", 0.7, 5.0) == (5.0, 3.0) and b.take("BUY", 0.7, 9.0) == (3.0, pytest.approx(1.8))
+    assert b.take("BUY", 0.7, 1.0) == (0.0, 0.0)
+    b.delta("NO", "BID", 0.4, 18.0)  # grown by two
+    assert b.take("BUY", 0.7, 9.0)[0] == 3.0
+    b.snapshot("NO")
+    assert b.fused("ASK", 0.6) == 10.0 and b.take("BUY", 0.5, 9.0) == (0.0, 0.0) and b.take("BUY", 0.6, 9.0)[0] == 5.0
+
+
+def test_sessions_on_two_clocks():
+    from quillspar.operators import session
+
+    e = lambda ts, seq, kind, **x: {"ts": ts, "seq": seq, "kind": kind, "order_id": -1, "side": "", "price": 0.0, "size": 0.0, "ttl": 0, **x}
+    events = [
+        e(0, 1, "submit", order_id=1, side="BUY", price=0.5, size=4.0, ttl=100), e(1, 2, "trade", side="SELL", price=0.4, size=9.0), e(2, 3, "trade", side="SELL", price=0.5, size=1.0),
+        e(3, 4, "cancel", order_id=1), e(4, 5, "trade", side="SELL", price=0.5, size=1.0), e(9, 6, "trade", side="SELL", price=0.5, size=9.0), e(0, 7, "submit", order_id=2, side="BUY", price=0.3, size=1.0, ttl=3),
+    ]
+    got = {r["order_id"]: (r["filled"], r["status"]) for r in session.session_fold(events, 2)}
+    assert got == {1: (1.0, "CANCELLED"), 2: (0.0, "EXPIRED")}
+    assert session.shard_plan({"a": 5, "b": 4, "c": 3}, 2) == {"a": 0, "b": 1, "c": 1}
+    assert session.shard_plan({"a": 5, "b": 4}, 2, {"a": 1, "b": 0}, moves=0) == {"a": 1, "b": 0}
+
+
+def test_catalog_resumes_and_prunes(spark, tmp_path):
+    from quillspar.sources.catalog import TradeCatalog
+    from quillspar.sources.sinks import ParquetTable, Receipts
+
+    rows = [(i, i, f"2024-01-{1 + i // 10:02d} 00:00:00") for i in range(100)]
+    t = spark.createDataFrame(rows, "trade_id long, block long, at string").withColumn("block_time", F.col("at").cast("timestamp_ntz")).drop("at")
+    c = TradeCatalog(spark, f"file://{tmp_path}/c")
+    assert c.build(t.where("block < 50")) == 5 and c.build(t) == 5 and c.build(t) == 0
+    assert len(c.files("block", 41, 52)) == 2 and c.window("block", 41, 52).count() == 12 and c.window("block", 900, 901).count() == 0
+    table = ParquetTable(spark, f"file://{tmp_path}/t", ["k"])
+    one = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
+    assert table.upsert_changed(one) == 2 and table.upsert_changed(one) == 0
+    assert table.upsert_changed(spark.createDataFrame([(2, "b"), (3, "c")], "k int, v string")) == 2 and table.read().count() == 3
+    receipts = Receipts(spark, f"file://{tmp_path}/r")
+    assert receipts.run("x", lambda: one, lambda df: True) and not receipts.run("x", lambda: one, lambda df: True)
+    assert not receipts.run("y", lambda: one, lambda df: False)
+    receipts.revoke("x")
+    assert not receipts.done("x")
+
+
 def test_prior_and_strata(spark):
     data = [("a", 1, 1), ("a", 1, 0), ("a", 2, 1), ("b", 1, 0)]
     got = {(r.k, r.c): r.rate for r in features.hierarchical_prior(spark.createDataFrame(data, "k string, c int, y int"), ["k", "c"], "y", 2.0).collect()}
