@@ -6,6 +6,7 @@ in order; a key's events are sorted by the shuffle and read once.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -94,12 +95,14 @@ def fifo_fold(orders: Iterable[dict], flow: Iterable[dict]) -> Iterator[dict]:
 
     ``flow`` rows carry x, size (traded) and cancel (taken off ahead of us).
     """
-    book = [dict(o, ahead=o["queue_ahead"], left=o["size"]) for o in sorted(orders, key=lambda o: (o["arrival"], o["order_index"]))]
+    waiting = deque(dict(o, ahead=o["queue_ahead"], left=o["size"]) for o in sorted(orders, key=lambda o: (o["arrival"], o["order_index"])))
+    book: list[dict] = []
     for f in sorted(flow, key=lambda f: (f["x"], f["flow_id"])):
         size = f["size"]
+        while waiting and waiting[0]["arrival"] <= f["x"]:
+            book.append(waiting.popleft())
+        book = [o for o in book if o["left"] > 0 and f["x"] <= o["deadline"]]
         for o in book:
-            if not o["arrival"] <= f["x"] <= o["deadline"] or o["left"] <= 0:
-                continue
             o["ahead"] = max(0.0, o["ahead"] - f["cancel"])
             eaten = min(o["ahead"], size)
             o["ahead"] -= eaten

@@ -11,9 +11,11 @@ long tapes are folded in the executors' memory one market and asset at a time.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,12 +134,13 @@ def shared_fold(orders: list[dict], trades: list[dict], rate: Decimal, buffer: D
     used: dict = {}
     window: dict = {}
     trades = sorted(trades, key=lambda t: (t["block"], t["trade_id"]))
+    blocks = [t["block"] for t in trades]
     for order in sorted(orders, key=lambda o: o["order_index"]):
         buy, left, taken = order["side"] == "BUY", order["size"], []
-        for t in trades:
-            if left <= 0 or t["block"] > order["deadline"]:
+        for t in trades[bisect_left(blocks, order["arrival"]) : bisect_right(blocks, order["deadline"])]:
+            if left <= 0:
                 break
-            if t["block"] < order["arrival"] or t["side"] != order["side"]:
+            if t["side"] != order["side"]:
                 continue
             price = min(Decimal(1), max(Decimal(0), t["price"] + (buffer if buy else -buffer)))
             if any((p > order["limit_price"]) if buy else (p < order["limit_price"]) for p in (t["price"], price)):
@@ -221,23 +224,29 @@ def poisson_paths(orders: DataFrame, paths: int) -> DataFrame:
     Every order draws from its own generator, seeded by its index, so results do
     not depend on how orders are spread.
     """
-    import math
-
     def simulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = []
-            for r in rows.itertuples():
-                state, filled = (int(r.order_index) * 0x9E3779B97F4A7C15 + 1) & ((1 << 64) - 1) or 1, []
-                for _ in range(paths):
-                    limit, product, hits = math.exp(-min(700.0, r.intensity * r.horizon)), 1.0, -1
-                    while product > limit:
-                        state = xorshift64(state)
-                        product *= (state >> 11) / (1 << 53)
-                        hits += 1
-                    filled.append(min(r.size, hits * r.clip))
-                filled.sort()
-                out.append((r.order_index, *[filled[min(paths - 1, int(q * (paths - 1) + 0.5))] for q in (0.1, 0.5, 0.9)]))
-            yield pd.DataFrame(out, columns=["order_index", "q10", "q50", "q90"])
+            state = rows["order_index"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
+            state[state == 0] = 1
+            limit = np.exp(-np.minimum(700.0, rows["intensity"] * rows["horizon"])).to_numpy()
+            filled = np.zeros((paths, len(rows)))
+            for path in range(paths):
+                product, hits = np.ones(len(rows)), np.full(len(rows), -1)
+                open_ = np.flatnonzero(product > limit)
+                while len(open_):
+                    # the three shifts of xorshift64, on all open orders at once
+                    x = state[open_]
+                    x ^= x << np.uint64(13)
+                    x ^= x >> np.uint64(7)
+                    x ^= x << np.uint64(17)
+                    state[open_] = x
+                    product[open_] *= (x >> np.uint64(11)) / float(1 << 53)
+                    hits[open_] += 1
+                    open_ = open_[product[open_] > limit[open_]]
+                filled[path] = np.minimum(rows["size"], np.maximum(hits, 0) * rows["clip"])
+            filled.sort(axis=0)
+            at = [min(paths - 1, int(q * (paths - 1) + 0.5)) for q in (0.1, 0.5, 0.9)]
+            yield pd.DataFrame({"order_index": rows["order_index"], "q10": filled[at[0]], "q50": filled[at[1]], "q90": filled[at[2]]})
 
     return orders.select("order_index", "intensity", "horizon", "clip", "size").mapInPandas(simulate, "order_index long, q10 double, q50 double, q90 double")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,9 +43,11 @@ def limit_replay(orders: DataFrame, trades: DataFrame, *, rate: float = 0.25, de
     """``limit_fold`` for every order of each market and asset; whole-or-nothing orders drop partial fills."""
 
     def fold(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out, tape = [], b.to_dict("records")
+        out, tape = [], sorted(b.to_dict("records"), key=lambda t: (t["block"], t["trade_id"]))
+        blocks = [t["block"] for t in tape]
         for order in a.to_dict("records"):
-            fills = list(limit_fold(order, tape, rate=rate, decay=decay, queue_factor=queue_factor))
+            seen = tape[bisect_left(blocks, order["arrival"]) : bisect_right(blocks, order["deadline"])]
+            fills = list(limit_fold(order, seen, rate=rate, decay=decay, queue_factor=queue_factor))
             if order["tif"] != "FOK" or sum(f["qty"] for f in fills) >= order["size"] - 1e-9:
                 out.extend(fills)
         return pd.DataFrame(out, columns=["order_index", "trade_id", "qty"])
@@ -64,12 +68,16 @@ def session_fold(events: Iterable[dict], latency: int) -> Iterator[dict]:
     """
     queue = sorted(((e["ts"] + (latency if e["kind"] in ("submit", "cancel") else 0), PRIORITY[e["kind"]], e["seq"]), e) for e in events)
     live: dict[int, dict] = {}
+    ends: list[tuple[int, int]] = []
     done: list[dict] = []
     for (ts, _, _), e in queue:
-        for o in [o for o in live.values() if ts > o["expires"]]:
-            done.append(dict(live.pop(o["order_id"]), status="EXPIRED"))
+        while ends and ts > ends[0][0]:
+            _, order_id = heappop(ends)
+            if order_id in live:
+                done.append(dict(live.pop(order_id), status="EXPIRED"))
         if e["kind"] == "submit":
-            live[e["order_id"]] = {"order_id": e["order_id"], "side": e["side"], "price": e["price"], "size": e["size"], "filled": 0.0, "arrival": ts, "expires": ts + e["ttl"]}
+            live[e["order_id"]] = {"order_id": e["order_id"], "side": e["side"], "price": e["price"], "size": e["size"], "filled": 0.0, "arrival": ts}
+            heappush(ends, (ts + e["ttl"], e["order_id"]))
         elif e["kind"] == "cancel" and e["order_id"] in live:
             done.append(dict(live.pop(e["order_id"]), status="CANCELLED"))
         elif e["kind"] == "trade":

@@ -51,7 +51,7 @@ canon as (select * exclude (rn) from (select *, row_number() over (partition by
 
 def replay_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders against the tape: arrival and deadline in blocks, limits around the middle, four kinds of time in force."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0")
+    o = table(spark, sf_dir, "orders")
     users = 15
     asset = F.col("o_custkey") % users
     limit = F.when(F.col("o_orderkey") % 2 == 0, F.lit("0.30")).otherwise(F.lit("0.05")).cast(PRICE)
@@ -64,7 +64,7 @@ def replay_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORDERS = """ords as (select o_orderkey as order_index, (o_custkey % 15) % 4 as market_id, o_custkey % 15 as asset_id, case when o_orderkey % 2 = 0 then 'BUY' else 'SELL' end as side,
     cast(case when o_orderkey % 2 = 0 then 0.30 else 0.05 end as decimal(11,10)) as limit_price, cast(o_custkey % 40 + 1 as decimal(26,10)) as size, o_orderkey % 700 as arrival, o_orderkey % 700 + 20 + o_custkey % 200 as deadline,
-    case when o_orderpriority like '1%' then 'FOK' when o_orderpriority like '2%' then 'IOC' else 'GTC' end as tif, cast(o_custkey % 90 as decimal(26,10)) as queue_ahead from orders where o_orderkey % 5 = 0)"""
+    case when o_orderpriority like '1%' then 'FOK' when o_orderpriority like '2%' then 'IOC' else 'GTC' end as tif, cast(o_custkey % 90 as decimal(26,10)) as queue_ahead from orders)"""
 
 
 def plan(query, sql: str | None, exact: str = ""):

@@ -129,7 +129,7 @@ PLANS = {
         """with a as (select o_orderkey as order_index, (o_custkey % 30)::double as f from orders), b as (select l_orderkey, max(l_quantity) as g from lineitem group by 1), c as (select order_index, f, least(f, coalesce(g, 0.0)) as size from a left join b on l_orderkey = order_index)
            select order_index, size as filled, case when size > 0 then 0.5::double end as price, case when f > 0 then 1.0::double * size / f else 0.0::double end as rebate from c""",
     ),
-    "portfolio_limits": plan(lambda s, d: X.portfolio_limits(table(s, d, "orders").where("o_orderkey % 9 = 0").select(F.date_format("o_orderdate", "yyyy-MM").alias("day"), F.col("o_orderkey").alias("signal"), F.col("o_totalprice").alias("cost")), "day", ["signal"], "cost", 2e6), None),
+    "portfolio_limits": plan(lambda s, d: X.portfolio_limits(table(s, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("day"), F.col("o_orderkey").alias("signal"), F.col("o_totalprice").alias("cost")), "day", ["signal"], "cost", 2e6), None),
     "top_candidates_daily": plan(
         lambda s, d: X.ranked(table(s, d, "orders").select(F.col("o_orderdate").alias("day"), "o_orderkey", "o_totalprice"), ["day"], [F.desc("o_totalprice"), F.asc("o_orderkey")]).where("place <= 2"),
         "select o_orderdate as day, o_orderkey, o_totalprice, place from (select *, cast(row_number() over (partition by o_orderdate order by o_totalprice desc, o_orderkey) as integer) as place from orders) where place <= 2",
@@ -147,7 +147,7 @@ PLANS = {
         "select event_id, cast(row_number() over (partition by user_id order by date_trunc('day', ts), case event_type when 'purchase' then 0 when 'error' then 1 else 2 end, event_id) as integer) as place from events",
     ),
     "order_state_attach": plan(
-        lambda s, d: (lambda o, e: o.join(e, o.o_custkey == e.user_id, "left").groupBy("o_orderkey").agg(F.max_by("event_type", "event_id").alias("last_state"), F.count("event_id").alias("n_events"), F.max_by(F.when(F.col("value") > 100, F.col("value")), F.when(F.col("value") > 100, F.col("event_id"))).alias("last_large")))(table(s, d, "orders").where("o_orderkey % 8 = 0").select("o_orderkey", "o_custkey"), table(s, d, "events").where("user_id > 50")),
-        "select o_orderkey, max_by(event_type, event_id) as last_state, count(event_id) as n_events, max_by(value, event_id) filter (where value > 100) as last_large from orders left join (select * from events where user_id > 50) on o_custkey = user_id where o_orderkey % 8 = 0 group by 1",
+        lambda s, d: (lambda o, e: o.join(e, o.o_custkey == e.user_id, "left").groupBy("o_orderkey").agg(F.max_by("event_type", "event_id").alias("last_state"), F.count("event_id").alias("n_events"), F.max_by(F.when(F.col("value") > 100, F.col("value")), F.when(F.col("value") > 100, F.col("event_id"))).alias("last_large")))(table(s, d, "orders").select("o_orderkey", "o_custkey"), table(s, d, "events")),
+        "select o_orderkey, max_by(event_type, event_id) as last_state, count(event_id) as n_events, max_by(value, event_id) filter (where value > 100) as last_large from orders left join events on o_custkey = user_id group by 1",
     ),
 }

@@ -159,7 +159,7 @@ PLANS = {
         "select cast(json_extract_string(props, '$.k') as bigint) as k, count(*) as n, list_sort(list_distinct(list(event_id % 5))) as classes from events group by 1",
     ),
     "roll_spread": plan(lambda s, d: S.roll_spread(table(s, d, "events").select("user_id", "event_id", F.floor("value").alias("value")), ["user_id"], "event_id", "value").select("user_id", "n_pairs", F.round("roll_spread", 6).cast("decimal(18,4)").cast("double").alias("roll_spread")), None),
-    "locf_correlation": plan(lambda s, d: S.locf_correlation(_points(s, d).where("asset_id < 12"), "asset_id", "x", "value", 50, 10), None),
+    "locf_correlation": plan(lambda s, d: S.locf_correlation(table(s, d, "events").select(F.col("event_type").alias("outcome"), F.col("event_id").alias("x"), "value"), "outcome", "x", "value", 50, 10), None),
     "ewma": plan(lambda s, d: S.ewma(_points(s, d), ["asset_id"], "x", "value", 0.35), None),
     "rolling_three": plan(
         lambda s, d: S.rolling_sum(_points(s, d).withColumn("value", F.col("value").cast("decimal(10,2)")), ["asset_id"], ["x"], "value", 3),
@@ -170,8 +170,8 @@ PLANS = {
         f"with {_POINTS} select *, max(value) over w as peak, max(value) over w - value as drawdown from points window w as (partition by asset_id order by x rows unbounded preceding)",
     ),
     "markout": plan(
-        lambda s, d: S.markout(tape(s, d).where("trade_id % 4 = 0").select("trade_id", "asset_id", "side", F.col("block").alias("x"), "price"), tape(s, d).select("asset_id", F.col("block").alias("x"), "price"), ["asset_id"], "x", "price", 100).select("trade_id", "later_price", F.col("markout").cast("decimal(12,10)").alias("markout")),
-        f"""with {TAPE}, l as (select *, block + 100 as t from tape where trade_id % 4 = 0) select l.trade_id, r.price as later_price, cast(case when l.side = 'BUY' then r.price - l.price else l.price - r.price end as decimal(12,10)) as markout
+        lambda s, d: S.markout(tape(s, d).select("trade_id", "asset_id", "side", F.col("block").alias("x"), "price"), tape(s, d).select("asset_id", F.col("block").alias("x"), "price"), ["asset_id"], "x", "price", 100).select("trade_id", "later_price", F.col("markout").cast("decimal(12,10)").alias("markout")),
+        f"""with {TAPE}, l as (select *, block + 100 as t from tape) select l.trade_id, r.price as later_price, cast(case when l.side = 'BUY' then r.price - l.price else l.price - r.price end as decimal(12,10)) as markout
             from l asof left join tape r on l.asset_id = r.asset_id and l.t <= r.block""", "later_price markout",
     ),
     "gap_flags": plan(

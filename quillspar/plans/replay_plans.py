@@ -64,12 +64,12 @@ def _levels(s, d):
 
 
 def _takers(s, d):
-    o = table(s, d, "orders").where("o_orderkey % 7 = 0")
+    o = table(s, d, "orders")
     return o.select(F.col("o_orderkey").alias("order_index"), (F.col("o_custkey") % 50).alias("book_id"), F.when(F.col("o_orderkey") % 2 == 0, "BUY").otherwise("SELL").alias("side"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("0.40")).otherwise(F.lit("0.70")).cast(PRICE).alias("limit_price"), (F.col("o_custkey") % 3000 + 1).cast(SIZE).alias("size"))
 
 
 _WALK = """lv as (select l_partkey % 50 as book_id, case when l_linenumber % 2 = 0 then 'BUY' else 'SELL' end as side, cast(cast(l_partkey % 89 + 10 as decimal(5,0)) * cast(0.01 as decimal(3,2)) as decimal(11,10)) as price, sum(cast(l_quantity as decimal(26,10))) as size from lineitem group by 1, 2, 3),
-    tk as (select o_orderkey as order_index, o_custkey % 50 as book_id, case when o_orderkey % 2 = 0 then 'BUY' else 'SELL' end as side, cast(case when o_orderkey % 2 = 0 then 0.40 else 0.70 end as decimal(11,10)) as limit_price, cast(o_custkey % 3000 + 1 as decimal(26,10)) as size from orders where o_orderkey % 7 = 0),
+    tk as (select o_orderkey as order_index, o_custkey % 50 as book_id, case when o_orderkey % 2 = 0 then 'BUY' else 'SELL' end as side, cast(case when o_orderkey % 2 = 0 then 0.40 else 0.70 end as decimal(11,10)) as limit_price, cast(o_custkey % 3000 + 1 as decimal(26,10)) as size from orders),
     mt as (select tk.*, lv.price as lp, lv.size as ls from tk join lv on lv.book_id = tk.book_id and lv.side = tk.side where case when tk.side = 'BUY' then lv.price <= limit_price else lv.price >= limit_price end),
     cm as (select *, coalesce(sum(ls) over (partition by order_index order by case when side = 'BUY' then lp else -lp end rows between unbounded preceding and 1 preceding), 0) as before from mt),
     fl as (select *, cast(greatest(0, least(ls, size - before)) as decimal(38,10)) as qty from cm),

@@ -46,8 +46,8 @@ def _sweep(s, d):
 
 
 def _incidents(s, d):
-    e = table(s, d, "events").where("event_type = 'error' and event_id % 5 = 0").select(F.lit(1).alias("k"), F.col("event_id").alias("start"), (F.col("event_id") + 3).alias("end"))
-    runs = replay_orders(s, d).where("order_index % 100 = 0").select(F.lit(1).alias("k"), F.col("order_index").alias("run"), F.col("arrival").alias("start"), F.col("deadline").alias("end"))
+    e = table(s, d, "events").where("event_type = 'error'").select(F.lit(1).alias("k"), F.col("event_id").alias("start"), (F.col("event_id") + 3).alias("end"))
+    runs = replay_orders(s, d).select(F.lit(1).alias("k"), F.col("order_index").alias("run"), F.col("arrival").alias("start"), F.col("deadline").alias("end"))
     met = I.overlap(runs, e, ["k"], 50)
     return met.groupBy("run").agg(F.count("*").alias("incidents"), F.sum(F.col("clip_end") - F.col("clip_start")).alias("blocks"))
 
@@ -96,7 +96,7 @@ PLANS = {
     ),
     "incident_overlap": plan(
         _incidents,
-        f"with {ORDERS}, e as (select event_id as s, event_id + 3 as t from events where event_type = 'error' and event_id % 5 = 0) select order_index as run, count(*) as incidents, cast(sum(least(deadline, t) - greatest(arrival, s)) as bigint) as blocks from ords join e on arrival < t and s < deadline where order_index % 100 = 0 group by 1",
+        f"with {ORDERS}, e as (select event_id as s, event_id + 3 as t from events where event_type = 'error') select order_index as run, count(*) as incidents, cast(sum(least(deadline, t) - greatest(arrival, s)) as bigint) as blocks from ords join e on arrival < t and s < deadline group by 1",
     ),
     "order_lifecycle": plan(
         _lifecycle,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import tape as T
+from ..operators.prefix import row_numbers
 from .adapters import FILLS, TAPE, plan, raw_fills, table, tape
 
 _BAR = """min_by(price, (block_time, trade_id)) as open, max(price) as high, min(price) as low, max_by(price, (block_time, trade_id)) as close,
@@ -130,11 +131,11 @@ PLANS = {
         "select l_partkey, l_suppkey, l_shipdate, l_orderkey, l_linenumber from (select *, row_number() over (partition by l_partkey order by l_shipdate desc, l_orderkey desc, l_linenumber desc, l_suppkey desc) as rn from lineitem) where rn = 1",
     ),
     "total_order": (
-        lambda s, d: _prints(s, d).select("trade_id", "block_number", "tx_hash", F.array_min("source_log_indexes").alias("first_log")).orderBy("block_number", "tx_hash", "first_log", "trade_id").limit(500).select("trade_id", "first_log"),
+        lambda s, d: _prints(s, d).select("trade_id", "block_number", "tx_hash", F.array_min("source_log_indexes").alias("first_log")).transform(lambda p: row_numbers(p, "block_number", ["tx_hash", "first_log", "trade_id"], "seq")).select("trade_id", "first_log", F.col("seq").cast("long").alias("seq")),
         f"""with {_JUDGED}, p as (select tx_hash, block_number, min(log_index) as first_log,
             sha256('trade|' || tx_hash || '|' || market_id || '|' || token_id || '|' || aggressor_side || '|' || passive_side || '|' || block_number || '|' || cast(price as varchar)) as trade_id
             from judged where reject_reason is null group by tx_hash, market_id, token_id, aggressor_side, passive_side, price, block_number)
-            select trade_id, first_log from (select *, row_number() over (order by block_number, tx_hash, first_log, trade_id) as seq from p) where seq <= 500""",
+            select trade_id, first_log, row_number() over (order by block_number, tx_hash, first_log, trade_id) as seq from p""",
     ),
 }
 
