@@ -186,13 +186,13 @@ def depth_walk(levels: DataFrame, orders: DataFrame) -> DataFrame:
     Levels: book_id, side, price, size (the side a taker of ``side`` meets).
     Orders: order_index, book_id, side, limit_price, size.
     """
-    met = orders.join(levels.select("book_id", "side", F.col("price").alias("level_price"), F.col("size").alias("level_size")), ["book_id", "side"])
-    met = met.where(within_limit(F.col("side"), F.col("level_price"), F.col("limit_price")))
-    best = F.when(F.col("side") == "BUY", F.col("level_price")).otherwise(-F.col("level_price"))
-    w = Window.partitionBy("order_index").orderBy(best, "level_size").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("level_size").over(w), F.lit(0).cast("decimal(38,10)")).cast("decimal(38,10)")
-    left = (F.col("size").cast("decimal(38,10)") - before).cast("decimal(38,10)")
-    fills = met.withColumn("qty", F.greatest(F.lit(0).cast("decimal(38,10)"), F.least(F.col("level_size").cast("decimal(38,10)"), left))).where("qty > 0")
+    best = F.when(F.col("side") == "BUY", F.col("price")).otherwise(-F.col("price"))
+    w = Window.partitionBy("book_id", "side").orderBy(best, "size").rowsBetween(Window.unboundedPreceding, -1)
+    # what lies before a level is the same for every order: the limit only cuts the walk short
+    walk = levels.select("book_id", "side", F.col("price").alias("level_price"), F.col("size").alias("level_size"), F.coalesce(F.sum("size").over(w), F.lit(0).cast("decimal(38,10)")).cast("decimal(38,10)").alias("_before"))
+    met = orders.join(walk, ["book_id", "side"]).where((F.col("_before") < F.col("size")) & within_limit(F.col("side"), F.col("level_price"), F.col("limit_price")))
+    left = (F.col("size").cast("decimal(38,10)") - F.col("_before")).cast("decimal(38,10)")
+    fills = met.withColumn("qty", F.least(F.col("level_size").cast("decimal(38,10)"), left))
     got = fills.groupBy("order_index").agg(F.sum("qty").cast("decimal(38,10)").alias("filled"), F.count("*").alias("n_levels"), F.sum(F.col("qty").cast("decimal(26,10)") * F.col("level_price")).alias("_cost"))
     return orders.select("order_index", "size").join(got, "order_index", "left").select(
         "order_index", F.coalesce("filled", F.lit(0).cast("decimal(38,10)")).alias("filled"), F.coalesce("n_levels", F.lit(0).cast("long")).alias("n_levels"),
