@@ -34,7 +34,7 @@ END_ID = 2
 #: Marks that the tokenizer takes as tokens of its own before anything else.
 OWN_MARKS = (b"<|startoftext|>", b"<|endoftext|>")
 #: Chunks whose ids a worker remembers; it starts afresh beyond them.
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 600_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 
@@ -93,7 +93,7 @@ class ChunkEncoder:
         self.pool = np.zeros(0, np.uint32)
 
     def _learn(self, values: list[int], chunks: list[str]) -> None:
-        found = [e.ids for i in range(0, len(chunks), 4096) for e in self.tokenizer.encode_batch_fast(chunks[i : i + 4096], add_special_tokens=False)]
+        found = [e.ids for i in range(0, len(chunks), 16384) for e in self.tokenizer.encode_batch_fast(chunks[i : i + 16384], add_special_tokens=False)]
         length = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum()))
         self.slot.update(zip(values, range(len(self.start), len(self.start) + len(found)), strict=True))
@@ -128,6 +128,9 @@ def encoder(tokenizer_path: str) -> ChunkEncoder:
     return ChunkEncoder(tokenizer_path)
 
 
+textops.LEFT.append(encoder.cache_clear)
+
+
 def pieces(n: int, longest: int) -> list[int]:
     """Lengths, longest first; they sum to n and are powers of two."""
     out = [longest] * (n // longest)
@@ -153,7 +156,7 @@ def power_of_two_pieces(docs: DataFrame, tokenizer_path: str, *, max_length: int
 
         tool = encoder(tokenizer_path)
         sequence = TaskContext.get().partitionId() << 40
-        for batch in textops.slices(batches, limit=1 << 20):
+        for batch in textops.slices(batches, limit=4 << 20, keep=True):
             raw, at = textops.utf8(batch.column(1))
             flat, count = tool.encode(raw, at)
             first = np.concatenate([[0], np.cumsum(count)])

@@ -8,7 +8,7 @@ prefix sum over the column, so no per-word Python object is ever made.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -71,8 +71,17 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
-    """The same rows in pieces of about ``limit`` bytes of ``column`` and at most ``rows`` rows."""
+#: How to drop what tasks keep in a worker for their like.
+LEFT: list[Callable[[], None]] = []
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES, rows: int = 1 << 30, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces of about ``limit`` bytes of ``column`` and at most ``rows`` rows.
+
+    What other operators' tasks left in this worker goes first, unless ``keep``.
+    """
+    for forget in () if keep else LEFT:
+        forget()
     for batch in batches:
         if batch.num_rows == 0:
             continue
