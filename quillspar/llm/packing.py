@@ -88,35 +88,48 @@ class ChunkEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.values, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # by value
+        self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.uint32)
 
-    def _learn(self, values: list[int], chunks: list[str]) -> None:
-        found = [e.ids for i in range(0, len(chunks), 16384) for e in self.tokenizer.encode_batch_fast(chunks[i : i + 16384], add_special_tokens=False)]
-        length = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum()))
-        self.slot.update(zip(values, range(len(self.start), len(self.start) + len(found)), strict=True))
-        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(length) - length])
+    def _learn(self, values: np.ndarray, chunks: list[str]) -> None:
+        lengths, parts = [], [self.pool]
+        for i in range(0, len(chunks), 4096):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks[i : i + 4096], add_special_tokens=False)]
+            lengths.extend(map(len, found))
+            parts.append(np.fromiter(chain.from_iterable(found), np.uint32))
+        length = np.array(lengths, np.int32)
+        every = np.concatenate([self.values, values])
+        slots = np.concatenate([self.slots, np.arange(len(self.start), len(self.start) + len(values), dtype=np.int32)])
+        order = np.argsort(every)
+        self.values, self.slots = every[order], slots[order]
+        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(length, dtype=np.int32) - length])
         self.length = np.concatenate([self.length, length])
-        self.pool = np.concatenate([self.pool, flat])
+        self.pool = np.concatenate(parts)
+
+    def _slots(self, values: np.ndarray) -> np.ndarray:
+        """Where the ids of each value are, -1 where they aren't known."""
+        if not len(self.values):
+            return np.full(len(values), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.values, values), len(self.values) - 1)
+        return np.where(self.values[at] == values, self.slots[at], -1).astype(np.int64)
 
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has."""
         words = Pieces(raw, at)
         raw = words.raw
         codes, distinct = pd.factorize(words.values())
-        if len(self.slot) + len(distinct) > self.limit:
+        if len(self.values) + len(distinct) > self.limit:
             self._reset()
-        slots = np.fromiter((self.slot.get(v, -1) for v in distinct.tolist()), np.int64, len(distinct))
+        slots = self._slots(distinct)
         new = np.flatnonzero(slots < 0)
         if len(new):
             one = np.zeros(len(distinct), np.int64)
             one[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            self._learn(distinct[new].tolist(), textops.texts(raw, words.start[one[new]], words.end[one[new]]))
-            slots[new] = np.arange(len(self.start) - len(new), len(self.start))
+            slots[new] = np.arange(len(self.start), len(self.start) + len(new))
+            self._learn(distinct[new], textops.texts(raw, words.start[one[new]], words.end[one[new]]))
         slots = slots[codes]
-        length = self.length[slots]
+        length = self.length[slots].astype(np.int64)
         before = np.concatenate([[0], np.cumsum(length)])
         ids = self.pool[np.repeat(self.start[slots] - before[:-1], length) + np.arange(before[-1])]
         return ids, np.diff(before[words.first])
@@ -156,7 +169,7 @@ def power_of_two_pieces(docs: DataFrame, tokenizer_path: str, *, max_length: int
 
         tool = encoder(tokenizer_path)
         sequence = TaskContext.get().partitionId() << 40
-        for batch in textops.slices(batches, limit=4 << 20, keep=True):
+        for batch in textops.slices(batches, keep=True):
             raw, at = textops.utf8(batch.column(1))
             flat, count = tool.encode(raw, at)
             first = np.concatenate([[0], np.cumsum(count)])
