@@ -1,13 +1,16 @@
-"""Toxicity by class-conditional Kneser-Ney models.
-
-A toxic and an ordinary bigram model are learned from labelled texts. Each backs
-off from discounted bigram counts to its own continuation counts (how many words
-a word follows in that class) and from there to the continuation counts of both
-classes together. How much backs off is estimated on both classes together too,
-so an expression that is rare in both, or unknown, weighs the same in both.
-Ratios of words and of bigrams count as far as they exceed a quiet zone.
-The mean log-likelihood ratio of a text's words is put on the scale of a
-probability by a monotone calibration on out-of-fold ratios.
+"""Toxicity by two smoothed bigram models, one of each class, in the place of Kneser-Ney models.
+
+Learned from labelled texts. Only the base, the continuation counts (how many
+words a word follows) of both classes together, is discounted as Kneser and Ney
+do. A class's word is the base times (own + PULL) / (expected + PULL) of its
+continuation counts, its bigram a factor (n + PAIR_PULL) / (expected + PAIR_PULL)
+on that: neither is a distribution that sums to one, and their ratio is a score,
+not a likelihood ratio. An expression that is rare in both classes, or unknown,
+weighs the same in both. Ratios of words and of bigrams count as far as they
+exceed a quiet zone, so cues that are weak or rare in the sample say nothing.
+The mean of a text's ratios is put on the scale of a probability by a monotone
+calibration on out-of-fold ratios. README has the held-out figures of this and of
+discounted, interpolated models.
 """
 
 from __future__ import annotations
