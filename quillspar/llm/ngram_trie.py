@@ -1,7 +1,7 @@
 """Language-model scoring with a compact n-gram trie.
 
-The corpus is counted exactly: every word, and every pair whose words are frequent
-enough to be nodes. The trie's first level holds the words, its second the words
+The corpus is counted exactly: every word and every pair, and each is a node. Two
+levels are built; longer n-grams are not counted. The trie's first level holds the words, its second the words
 that follow each. Successors of a node are a monotone run of the level, its bounds
 a monotone sequence of pointers; both are Elias-Fano coded, and a pair is looked
 up by successor search inside its context's run. Probabilities are smoothed with
@@ -30,8 +30,8 @@ from .shared import fresh, mounted, shared_uri, small_batches
 from .textops import U64
 
 #: Times a word, and a pair, must occur to be a node of the trie.
-NODE_COUNT = 8
-PAIR_COUNT = 2
+NODE_COUNT = 1
+PAIR_COUNT = 1
 #: Log10 units of a byte of probability.
 STEP = 0.05
 #: Words that are counted or scored together.

@@ -223,6 +223,12 @@ def test_language_model(spark, odd, none):
     assert ngram_trie.score(none, trie).count() == 0
 
 
+def test_rare_pairs_are_nodes(spark):
+    trie = ngram_trie.build(spark.createDataFrame([(i, "common words fill the rest") for i in range(20)] + [(20, "start rare1 rare2 stop"), (21, "start rare2 stop"), (22, "start rare1 stop")], SCHEMA))
+    got = {r.doc_id: r.score for r in ngram_trie.score(spark.createDataFrame([(1, "fill rare1 rare2 fill"), (2, "fill rare2 rare1 fill")], SCHEMA), trie).collect()}
+    assert got[1] > got[2] + 0.5
+
+
 # ---- 6 chat
 
 
