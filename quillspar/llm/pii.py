@@ -212,8 +212,8 @@ def joined(only_base: bool = False) -> str:
 
 
 def masked(found: DataFrame) -> DataFrame:
-    """``text`` with every span replaced by its kind in brackets; of overlapping spans the first."""
+    """``text`` with every span replaced by its kind in brackets; of overlapping spans the later from where the earlier ends."""
     cut = """aggregate(spans, named_struct('at', 0, 'parts', cast(array() as array<string>)),
-        (a, s) -> if(s.start < a.at, a, named_struct('at', s.end, 'parts', concat(a.parts, array(substr(text, a.at + 1, s.start - a.at), concat('[', upper(s.kind), ']'))))),
+        (a, s) -> if(s.end <= a.at, a, named_struct('at', s.end, 'parts', concat(a.parts, array(substr(text, a.at + 1, greatest(s.start - a.at, 0)), concat('[', upper(s.kind), ']'))))),
         a -> concat(array_join(a.parts, ''), substr(text, a.at + 1)))"""
     return found.withColumn("text", F.expr(f"if(size(spans) = 0, text, {cut})"))

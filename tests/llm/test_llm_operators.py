@@ -372,6 +372,11 @@ def test_personal_data_with_clashing_names(spark):
     assert got.text == "mail [EMAIL]" and got["_email"] == "_email" and got["a.b"] == "a.b" and len(got.spans) == 1
 
 
+def test_tails_of_overlapping_spans_are_masked(spark):
+    got = pii.masked(pii.spans(spark.createDataFrame([(1, "pay 4111 1111 1111 1111a@x.com now"), (2, "+1 415 555 0123.bob@x.com")], SCHEMA)))
+    assert {r.doc_id: r.text for r in got.collect()} == {1: "pay [CARD][EMAIL] now", 2: "[PHONE][EMAIL]"}
+
+
 def test_secrets_are_added(spark):
     rows = [(i, f'words before token = "{hashlib.sha1(str(i).encode()).hexdigest()}" and after') for i in range(50)]
     got = pii.spans(spark.createDataFrame(rows, SCHEMA)).select(F.expr(pii.joined()).alias("s")).collect()
