@@ -54,7 +54,8 @@ def learn(labelled: DataFrame, *, sample_texts: int = SAMPLE_TEXTS, sample_bytes
     Rows without lang or text teach nothing. The texts are drawn by a hash of id
     and text, so the draw is the same on every run and for every layout; the
     sample is bounded by its two parameters and drawn without gathering a
-    language in one task.
+    language in one task. Of a longer text the bytes from a hashed offset count, so
+    that a shared header is not all that a dictionary holds.
     """
     rows = labelled.where("lang is not null and text is not null and text <> ''").select("lang", "text", F.xxhash64("doc_id", F.octet_length("text")).alias("draw"))
     counts = rows.groupBy("lang").count().collect()  # a row for each language
@@ -65,7 +66,9 @@ def learn(labelled: DataFrame, *, sample_texts: int = SAMPLE_TEXTS, sample_bytes
     drawn = rows.join(share, "lang").where(unit < F.col("share")).select("lang", "draw", "text")
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
     texts: dict[str, list[bytes]] = {}
-    for row in drawn.withColumn("nth", nth).where(F.col("nth") <= sample_texts).select("lang", F.encode(F.lower("text"), "UTF-8").substr(1, sample_bytes).alias("text"), "nth").orderBy("lang", "nth").collect():
+    content = F.encode(F.lower("text"), "UTF-8")
+    offset = F.pmod(F.xxhash64("draw"), F.greatest(F.octet_length(content) - sample_bytes, F.lit(0)) + 1).cast("int")
+    for row in drawn.withColumn("nth", nth).where(F.col("nth") <= sample_texts).select("lang", content.substr(offset + 1, F.lit(sample_bytes)).alias("text"), "nth").orderBy("lang", "nth").collect():
         piece = bytes(row["text"])
         if piece not in texts.setdefault(row["lang"], []):
             texts[row["lang"]].append(piece)

@@ -331,6 +331,14 @@ def test_language(spark, odd, none):
     assert {r.best for r in langid.identify(odd, langid.learn(none.withColumn("lang", F.lit("en")))).collect()} == {"und"}
 
 
+def test_languages_behind_a_shared_header(spark):
+    header = "permission is hereby granted free of charge to any person " * 20
+    body = {"de": "der hund und die katze laufen durch den wald nach hause ", "en": "the dog and the cat are running through the woods to home "}
+    model = langid.learn(spark.createDataFrame([(i, header + body[lang] * 60, lang) for i in range(40) for lang in body], "doc_id long, text string, lang string"))
+    got = langid.identify(spark.createDataFrame([(i, text * 3) for i, text in enumerate(body.values())], SCHEMA), model)
+    assert [r.best for r in got.orderBy("doc_id").collect()] == list(body)
+
+
 # ---- 9 personal data
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
