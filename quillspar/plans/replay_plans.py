@@ -129,7 +129,7 @@ PLANS = {
            p as (select *, least(100.0::double, 100 * available / rq) * 0.5::double as probability from b), f as (select *, least(rq, available, rq * probability / 100) as f from p) select o_orderkey, available, probability, case when f >= 1.0 then f else 0.0::double end as filled from f""",
     ),
     "touch_survival": plan(lambda s, d: R.touch_survival(replay_orders(s, d), _trades(s, d), bucket=BUCKET, lookback=200), None),
-    "poisson_monte_carlo": plan(lambda s, d: R.poisson_paths(replay_orders(s, d).select("order_index", (F.col("order_index") % 13 / 100.0).alias("intensity"), (F.col("deadline") - F.col("arrival")).cast("double").alias("horizon"), F.lit(2.0).alias("clip"), F.col("size").cast("double").alias("size")), 32), None),
+    "poisson_monte_carlo": plan(lambda s, d: R.poisson_paths(replay_orders(s, d).select("order_index", (F.col("order_index") % 13 / 100.0).alias("intensity"), (F.col("deadline") - F.col("arrival")).cast("double").alias("horizon"), F.lit(2.0).alias("clip"), F.col("size").cast("double").alias("size")), 250), None),
     "formula_slippage": plan(
         lambda s, d: replay_orders(s, d).select("order_index", F.greatest(F.lit(0).cast("decimal(12,10)"), F.least(F.lit(1).cast("decimal(12,10)"), F.when(F.col("side") == "BUY", F.col("limit_price") + F.lit("0.0150").cast("decimal(5,4)")).otherwise(F.col("limit_price") - F.lit("0.0150").cast("decimal(5,4)")).cast("decimal(12,10)"))).cast(PRICE).alias("expected_price")),
         f"with {ORDERS} select order_index, cast(greatest(0, least(1, case when side = 'BUY' then limit_price + 0.0150 else limit_price - 0.0150 end)) as decimal(11,10)) as expected_price from ords", "expected_price",

@@ -251,3 +251,12 @@ def test_empty_inputs(spark):
     assert replay.private_fills(orders, none, rate="0.5", bucket=10).count() == 0
     assert replay.results(orders, replay.private_fills(orders, none, rate="0.5", bucket=10)).where("filled > 0").count() == 0
     assert series.m4(spark.createDataFrame([], "k int, x long, v double"), ["k"], "x", "v", 42).count() == 0
+
+
+def test_poisson_query_simulates_250_paths(spark, monkeypatch):
+    from quillspar.plans import replay_plans
+
+    seen, simulate = [], replay.poisson_paths
+    monkeypatch.setattr(replay_plans.R, "poisson_paths", lambda orders, paths: seen.append(paths) or simulate(orders, paths))
+    assert "poisson_monte_carlo" in replay_plans.PLANS and replay_plans.PLANS["poisson_monte_carlo"][0](spark, "/root/testdata/sf0.001").count() > 0
+    assert seen == [250]
