@@ -31,7 +31,7 @@ from .shared import small_batches
 from .textops import U64
 
 #: Labelled texts of each class that are learned from, at most.
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 6000
 DISCOUNT = 0.75
 #: A bigram is kept if both classes together have it so often.
 BIGRAM_COUNT = 4
@@ -40,7 +40,7 @@ PULL = 1.0
 PAIR_PULL = 10.0
 #: Nats of a ratio that say nothing: what chance and the mix of languages bring about.
 QUIET = 2.0
-FOLDS = 3
+FOLDS = 4
 REJECT_FROM = 0.7
 
 SCHEMA = "doc_id long, score double, n_words long, log_ratio double"

@@ -187,6 +187,10 @@ def test_toxicity_learns(spark, sf, odd, none):
     assert toxicity.without_toxic(odd, alone).count() == odd.count()
 
 
+def test_toxicity_sample_is_not_cut():
+    assert (toxicity.SAMPLE_ROWS, toxicity.FOLDS) == (6000, 4)
+
+
 # ---- 5 language model
 
 
