@@ -70,7 +70,7 @@ def op4_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.pmod(crc32_text("doc_id"), F.lit(3)) == 1
     model = learn(docs, labels.where(~held_out))
-    return toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= REJECT_FROM).cast("int").alias("predicted"), "n_words", "log_ratio")
+    return toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= REJECT_FROM).cast("int").alias("predicted"), "n_words", "ordinary_log", "toxic_log", "log_ratio")
 
 
 def op6_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
