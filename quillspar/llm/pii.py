@@ -109,7 +109,7 @@ def _found(rows: DataFrame, kind: str, present: Column) -> DataFrame:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Each row of ``docs`` as ``_row``, with a column ``proposed`` of spans, their votes and features."""
+    """Each row of ``docs`` as ``_row``, with a column ``proposed`` of spans, their votes and features; none for a null text."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     rows = rows.withColumn("_number", F.col("_text").rlike("[0-9]"))
     has = {"email": F.contains("_text", F.lit("@")), "phone": F.contains("_text", F.lit("+")) & F.col("_number")}
@@ -147,8 +147,13 @@ class SpanModel:
 
 
 def learn(proposed: DataFrame, *, rounds: int = EM_ROUNDS) -> SpanModel:
-    """Reliabilities by expectation maximisation, then the classifier, from all proposed spans."""
-    each = proposed.select(F.explode("proposed").alias("s")).select("s.kind", "s.votes", *[f"s.{f}" for f in FEATURES if f != "kind"])
+    """Reliabilities by expectation maximisation, then the classifier, from all proposed spans.
+
+    Spans with equal votes and features count as often as they occur, in whatever
+    order; without spans there are no reliabilities and no weights.
+    """
+    # an outer explode: from an inner one a filter of all patterns would be inferred and put on the scan
+    each = proposed.select(F.explode_outer("proposed").alias("s")).where("s is not null").select("s.kind", "s.votes", *[f"s.{f}" for f in FEATURES if f != "kind"])
     table = each.groupBy(*each.columns).count().orderBy(*each.columns).collect()  # bounded: votes and features take few values
     n = [r["count"] for r in table]
     votes = [tuple(r["votes"]) for r in table]
@@ -185,15 +190,15 @@ def learn(proposed: DataFrame, *, rounds: int = EM_ROUNDS) -> SpanModel:
     return SpanModel(reliability, prior, weights)
 
 
-def spans(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
-    """``docs`` with ``spans``: an array of (kind, start, end, base), by start, kind, end.
+def spans(docs: DataFrame, model: SpanModel | None = None, *, into: str = "spans") -> DataFrame:
+    """``docs`` with a column ``into``: an array of (kind, start, end, base), by start, kind, end.
 
     Places are code points, ends exclusive. Base spans stay whatever the
     classifier says; another span is added if its probability is high enough and
     it overlaps no base span. A null text has none; repeated rows are judged each
-    for itself; other columns are kept, ``text`` as it was, but for one named
-    ``spans``, which makes way. A table without spans teaches a model that accepts
-    nothing beyond the base.
+    for itself, and all of them teach the model; other columns are kept, ``text``
+    as it was, but for one named as ``into``, which makes way. A table without
+    spans teaches a model that accepts nothing beyond the base.
     """
     rows = candidates(docs)
     model = model or learn(rows)
@@ -203,7 +208,7 @@ def spans(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     flat = f"transform(array_sort(transform(concat(_base, {added}), s -> named_struct('start', s.start, 'nth', {order}, 'end', s.end, 'kind', s.kind, 'base', s.base))), s -> named_struct('kind', s.kind, 'start', s.start, 'end', s.end, 'base', s.base))"
     none = "cast(array() as array<struct<kind:string,start:int,end:int,base:boolean>>)"
     found = rows.withColumn("_base", F.expr(base)).select("_row", F.expr(f"if(size(proposed) = 0, {none}, {flat})").alias("_spans"))
-    return found.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != "spans"], F.col("_spans").alias("spans"))
+    return found.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != into], F.col("_spans").alias(into))
 
 
 def joined(only_base: bool = False) -> str:
@@ -211,9 +216,13 @@ def joined(only_base: bool = False) -> str:
     return f"array_join(transform({source}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
 
 
-def masked(found: DataFrame) -> DataFrame:
-    """``text`` with every span replaced by its kind in brackets; of overlapping spans the later from where the earlier ends."""
-    cut = """aggregate(spans, named_struct('at', 0, 'parts', cast(array() as array<string>)),
+def masked(found: DataFrame, *, spans: str = "spans") -> DataFrame:
+    """``text`` with every span of the column ``spans`` replaced by its kind in brackets.
+
+    Of overlapping spans the later one is replaced from where the earlier ends. A
+    row without spans, a null text included, stays as it was.
+    """
+    cut = f"""aggregate(`{spans}`, named_struct('at', 0, 'parts', cast(array() as array<string>)),
         (a, s) -> if(s.end <= a.at, a, named_struct('at', s.end, 'parts', concat(a.parts, array(substr(text, a.at + 1, greatest(s.start - a.at, 0)), concat('[', upper(s.kind), ']'))))),
         a -> concat(array_join(a.parts, ''), substr(text, a.at + 1)))"""
-    return found.withColumn("text", F.expr(f"if(size(spans) = 0, text, {cut})"))
+    return found.withColumn("text", F.expr(f"if(size(`{spans}`) = 0, text, {cut})"))

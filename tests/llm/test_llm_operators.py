@@ -468,6 +468,46 @@ def test_tails_of_overlapping_spans_are_masked(spark):
     assert {r.doc_id: r.text for r in got.collect()} == {1: "pay [CARD][EMAIL] now", 2: "[PHONE][EMAIL]"}
 
 
+def test_reliabilities_span_by_span(spark):
+    """Expectation maximisation over single spans, and the classifier's verdicts, in plain Python."""
+    texts = [f"call +49 30 123456{i:02d} or mail a{i}@b{i}.com" for i in range(8)] + [f"account number 1234567890{i:03d} and x" for i in range(9)]
+    texts += [f"token: '{'%032x' % (i * 7919 ** 9)}'" for i in range(6)] + [f"sum {'%040x' % (i * 104729 ** 9)}z {'%032x' % i ** 9}" for i in range(9)] + ["no numbers", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    proposed = pii.candidates(docs)
+    model = pii.learn(proposed)
+    each = [s for r in proposed.collect() for s in r.proposed]
+    belief = [min(0.95, max(0.05, 0.5 + 0.2 * sum(s.votes))) for s in each]
+    for _ in range(pii.EM_ROUNDS):
+        prior = {k: (1 + sum(b for s, b in zip(each, belief, strict=True) if s.kind == k)) / (2 + sum(s.kind == k for s in each)) for k in pii.KINDS}
+        rate = {}
+        for j in range(len(pii.LABELERS)):
+            for y in (0, 1):
+                mass = {v: 1 + sum((b if y else 1 - b) for s, b in zip(each, belief, strict=True) if s.votes[j] == v) for v in (-1, 0, 1)}
+                rate |= {(j, y, v): m / sum(mass.values()) for v, m in mass.items()}
+        odds = [math.log(prior[s.kind] / (1 - prior[s.kind])) + sum(math.log(rate[j, 1, v] / rate[j, 0, v]) for j, v in enumerate(s.votes)) for s in each]
+        belief = [1 / (1 + math.exp(-max(-30, min(30, o)))) for o in odds]
+    for (j, y, v), r in rate.items():
+        assert abs(model.reliability[pii.LABELERS[j], y, v] - r) < 1e-9
+    assert all(abs(model.prior[k] - p) < 1e-9 for k, p in prior.items())
+
+    def accepted(s):
+        return sum(model.weights.get(k, 0.0) for k in ("bias", *(f"{f}={s[f]}" for f in pii.FEATURES))) >= 0
+
+    want = set()
+    for r in proposed.collect():
+        base = [s for s in r.proposed if s.base]
+        want |= {(r._row.doc_id, s.kind, s.start, s.end) for s in r.proposed if s.base or (accepted(s) and not any(b.start < s.end and s.start < b.end for b in base))}
+    got = {(r.doc_id, s.kind, s.start, s.end) for r in pii.spans(docs, model).collect() for s in r.spans}
+    assert got == want and any(k == "secret" for _, k, _, _ in got)
+
+
+def test_learning_reads_each_pattern_once(spark):
+    """No filter of all patterns is inferred from the explode."""
+    proposed = pii.candidates(spark.createDataFrame([(1, "a@b.com")], SCHEMA))
+    each = proposed.select(F.explode_outer("proposed").alias("s")).where("s is not null").groupBy("s.kind").count()
+    assert each._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == len(pii.PATTERNS)
+
+
 def test_secrets_are_added(spark):
     rows = [(i, f'words before token = "{hashlib.sha1(str(i).encode()).hexdigest()}" and after') for i in range(50)]
     got = pii.spans(spark.createDataFrame(rows, SCHEMA)).select(F.expr(pii.joined()).alias("s")).collect()
