@@ -18,30 +18,46 @@ from quillspar.llm.textops import crc32_text
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the Kneser-Ney models score below the rejection level."""
+    """Rows that the class-conditional Kneser-Ney models score below the rejection level.
+
+    A null or wordless text scores as one unknown word does, and stays; repeated
+    rows stay or go together; an empty table gives an empty one.
+    """
     labels = table(spark, sf_dir, "labels").where(F.pmod(crc32_text("doc_id"), F.lit(3)) != 1)
     return toxicity.without_toxic(docs, toxicity.learn(docs, labels))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of the n-gram Jaccard join, under op10's contract: 4 words, 85 %."""
-    return jaccard.one_of_each(docs)
+    """One row of each component of the n-gram Jaccard join: shingles of 5 words, 80 % or more.
+
+    Null and wordless texts are linked with nothing and stay. Where ids repeat or
+    are missing, rows are told apart by a number, so of repeated rows one stays.
+    """
+    return jaccard.one_of_each(docs, gram=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the winnowing join with the benchmark finds clean."""
+    """Rows that the winnowing join with the benchmark finds clean: null texts, and all rows if the benchmark is empty, among them."""
     return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind; n_chars follows the text."""
-    found = pii.masked(pii.spans(docs))
-    return found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("spans")
+    """Personal data replaced by its kind; n_chars, if there, follows the text.
+
+    Every row and column stays, null texts null. Repeated rows are masked alike.
+    """
+    name = "spans"
+    while name.lower() in map(str.lower, docs.columns):
+        name = f"_{name}"
+    found = pii.masked(pii.spans(docs, into=name), spans=name)
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.size(f"`{name}`") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return found.drop(name)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Power-of-two pieces of each remaining document."""
-    return packing.power_of_two_pieces(docs, word_tokenizer())
+    """Power-of-two pieces of each remaining document, with their token ids; a null or empty text is its closing id alone."""
+    return packing.power_of_two_pieces(docs, word_tokenizer(), with_ids=True)
 
 
 STAGES = [
