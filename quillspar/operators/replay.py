@@ -5,14 +5,14 @@ deadline, tif. Trades: trade_id, market_id, asset_id, side, price, size, block.
 Orders meet trades of their own market and asset in [arrival, deadline] only, so
 both are laid out over buckets of the block axis and equi-joined: no range join.
 Where every order has the tape to itself its fills are a running sum; where orders
-share it the fold runs in order of order_index for each market and asset, and
-long tapes are folded in the executors' memory one market and asset at a time.
+share it the fold runs in order of order_index over each run of linked windows of a
+market, asset and side.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
@@ -161,17 +161,40 @@ def shared_fold(orders: list[dict], trades: list[dict], rate: Decimal, buffer: D
             yield {"order_index": order["order_index"], "trade_id": trade_id, "exec_price": price, "qty": qty, "block": block}
 
 
+#: Blocks of a bucket in which runs of orders meet the tape.
+RUN_BUCKET = 1000
+
+
+def runs(orders: DataFrame, keys: Sequence[str], unit: int = 1) -> DataFrame:
+    """Orders with ``run``: those of a key whose windows are linked by shared units of ``unit`` blocks have one number."""
+    low, high = F.floor(F.col("arrival") / unit) * unit, F.floor(F.col("deadline") / unit) * unit + unit - 1
+    w = Window.partitionBy(*keys).orderBy("_low", "_high", "order_index")
+    reach = F.max("_high").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = orders.withColumns({"_low": low, "_high": high}).withColumn("_new", F.when(reach.isNull() | (F.col("_low") > reach), 1).otherwise(0))
+    return marked.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
 def shared_fills(orders: DataFrame, trades: DataFrame, *, rate: str, buffer: str = "0", window_cap: str | None = None, window_blocks: int = 1) -> DataFrame:
-    """``shared_fold`` for each market and asset; all its keys nest inside them."""
+    """``shared_fold`` for each run of orders that can meet the same prints or caps.
+
+    An order meets prints of its own market, asset and side inside its window
+    only, so orders whose windows aren't linked (by whole cap windows, if there is
+    a cap) never share anything: they are folded apart, and a hot market is many
+    tasks wherever its orders leave a pause. Prints outside all windows never move.
+    """
     limits = (Decimal(rate), Decimal(buffer), None if window_cap is None else Decimal(window_cap), window_blocks)
+    keys = ["market_id", "asset_id", "side"]
+    a = runs(orders.select("order_index", *keys, "limit_price", "size", "arrival", "deadline", "tif"), keys, 1 if window_cap is None else window_blocks)
+    spans = a.groupBy(*[F.col(k).alias(k) for k in (*keys, "run")]).agg(F.min("_low").alias("_low"), F.max("_high").alias("_high")).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_low") / RUN_BUCKET), F.floor(F.col("_high") / RUN_BUCKET))))
+    b = trades.select("trade_id", *keys, "price", "size", "block").withColumn("_bucket", F.floor(F.col("block") / RUN_BUCKET))
+    b = b.join(spans, [*keys, "_bucket"]).where("block between _low and _high").select("trade_id", "price", "size", "block", *[F.col(k).alias(k) for k in (*keys, "run")])
 
     def fold(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         rows = list(shared_fold(a.to_dict("records"), b.to_dict("records"), *limits))
         return pd.DataFrame(rows, columns=["order_index", "trade_id", "exec_price", "qty", "block"])
 
-    a = orders.select("order_index", "market_id", "asset_id", "side", "limit_price", "size", "arrival", "deadline", "tif").groupBy("market_id", "asset_id")
-    b = trades.select("trade_id", "market_id", "asset_id", "side", "price", "size", "block").groupBy("market_id", "asset_id")
-    return a.cogroup(b).applyInPandas(fold, "order_index long, trade_id long, exec_price decimal(11,10), qty decimal(38,10), block long")
+    group = [*keys, "run"]
+    return a.drop("_low", "_high").groupBy(*group).cogroup(b.groupBy(*group)).applyInPandas(fold, "order_index long, trade_id long, exec_price decimal(11,10), qty decimal(38,10), block long")
 
 
 def variants(orders: DataFrame, rates: list[str]) -> DataFrame:

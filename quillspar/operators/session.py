@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .replay import IMMEDIATE, candidates
 
 #: Order of events of one time: market data, then own cancels, then own submissions, then timers.
 PRIORITY = {"trade": 0, "cancel": 1, "submit": 2, "expire": 3}
@@ -39,24 +41,25 @@ def limit_fold(order: dict, trades: Iterable[dict], *, rate: float, decay: float
             yield {"order_index": order["order_index"], "trade_id": t["trade_id"], "qty": qty}
 
 
-def limit_replay(orders: DataFrame, trades: DataFrame, *, rate: float = 0.25, decay: float = 0.98, queue_factor: float = 0.9) -> DataFrame:
-    """``limit_fold`` for every order of each market and asset; whole-or-nothing orders drop partial fills."""
-
-    def fold(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out, tape = [], sorted(b.to_dict("records"), key=lambda t: (t["block"], t["trade_id"]))
-        blocks = [t["block"] for t in tape]
-        for order in a.to_dict("records"):
-            seen = tape[bisect_left(blocks, order["arrival"]) : bisect_right(blocks, order["deadline"])]
-            fills = list(limit_fold(order, seen, rate=rate, decay=decay, queue_factor=queue_factor))
-            if order["tif"] != "FOK" or sum(f["qty"] for f in fills) >= order["size"] - 1e-9:
-                out.extend(fills)
-        return pd.DataFrame(out, columns=["order_index", "trade_id", "qty"])
-
-    double = lambda df: df.select(*[df[c].cast("double").alias(c) if t.startswith("decimal") else df[c] for c, t in df.dtypes])
-    keys = ["market_id", "asset_id"]
-    a = double(orders.select("order_index", *keys, "side", "limit_price", "size", "arrival", "deadline", "tif"))
-    b = double(trades.select("trade_id", *keys, "side", "price", "size", "block"))
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(fold, "order_index long, trade_id long, qty double")
+def limit_replay(orders: DataFrame, trades: DataFrame, *, rate: float = 0.25, decay: float = 0.98, queue_factor: float = 0.9, bucket: int = 100) -> DataFrame:
+    """What ``limit_fold`` gives for every order; whole-or-nothing orders drop partial fills.
+
+    Orders are independent: each meets its prints by market, asset and bucket of
+    blocks, and the fold runs over an order's own prints inside the JVM.
+    """
+    met = candidates(orders, trades, bucket=bucket).repartition("order_index")
+    once = met.groupBy("order_index", "tif", "size", "arrival", "trade_id").agg(F.min(F.struct("block", "trade_size")).alias("t"))
+    gain = F.col("t.trade_size").cast("double") * rate * F.pow(F.lit(decay), F.col("t.block") - F.col("arrival")) * queue_factor
+    prints = F.array_sort(F.collect_list(F.struct(F.col("t.block").alias("block"), "trade_id", gain.alias("gain"))))
+    own = once.groupBy("order_index", "tif", F.col("size").cast("double").alias("size")).agg(prints.alias("prints"))
+    first = ", ".join(f"'{t}'" for t in IMMEDIATE)
+    own = own.withColumn("prints", F.expr(f"if(tif in ({first}), filter(prints, t -> t.block = prints[0].block), prints)"))
+    got = F.expr("""aggregate(prints, named_struct('left', size, 'fills', cast(array() as array<struct<trade_id:bigint,qty:double>>)),
+        (a, t) -> if(a.left <= 1e-9D or least(a.left, t.gain * (0.5D + 0.5D * a.left / size)) <= 1e-9D, a,
+            named_struct('left', a.left - least(a.left, t.gain * (0.5D + 0.5D * a.left / size)),
+                'fills', array_append(a.fills, named_struct('trade_id', t.trade_id, 'qty', least(a.left, t.gain * (0.5D + 0.5D * a.left / size)))))))""")
+    done = own.withColumn("got", got).where("tif <> 'FOK' or aggregate(got.fills, 0D, (n, f) -> n + f.qty) >= size - 1e-9D")
+    return done.select("order_index", F.explode("got.fills").alias("f")).select("order_index", "f.trade_id", "f.qty")
 
 
 def session_fold(events: Iterable[dict], latency: int) -> Iterator[dict]:

@@ -49,21 +49,31 @@ fills as (select * from fills0 union all select tx_hash, log_index, market_id, t
 canon as (select * exclude (rn) from (select *, row_number() over (partition by tx_hash, log_index, market_id, token_id, maker, taker, side_code order by ingested_at desc, size desc) as rn from fills) where rn = 1)"""
 
 
+def over_blocks(spark: SparkSession, sf_dir: str, df: DataFrame, key: str) -> DataFrame:
+    """``df`` with a block of the whole tape for each row, as ``at``."""
+    last = table(spark, sf_dir, "events").agg(F.coalesce(F.max("event_id"), F.lit(0).cast("long")).alias("_last"))
+    return df.crossJoin(F.broadcast(last)).withColumn("at", F.col(key) % (F.col("_last") + 1)).drop("_last")  # one row
+
+
+#: The same in SQL.
+AT = "o_orderkey % ((select coalesce(max(event_id), 0) from events) + 1)"
+
+
 def replay_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders against the tape: arrival and deadline in blocks, limits around the middle, four kinds of time in force."""
-    o = table(spark, sf_dir, "orders")
+    """Orders over the whole tape: arrival and deadline in blocks, limits around the middle, four kinds of time in force."""
+    o = over_blocks(spark, sf_dir, table(spark, sf_dir, "orders"), "o_orderkey")
     users = 15
     asset = F.col("o_custkey") % users
     limit = F.when(F.col("o_orderkey") % 2 == 0, F.lit("0.30")).otherwise(F.lit("0.05")).cast(PRICE)
     return o.select(
         F.col("o_orderkey").alias("order_index"), (asset % 4).alias("market_id"), asset.alias("asset_id"), F.when(F.col("o_orderkey") % 2 == 0, "BUY").otherwise("SELL").alias("side"), limit.alias("limit_price"),
-        (F.col("o_custkey") % 40 + 1).cast(SIZE).alias("size"), (F.col("o_orderkey") % 700).alias("arrival"), (F.col("o_orderkey") % 700 + 20 + F.col("o_custkey") % 200).alias("deadline"),
+        (F.col("o_custkey") % 40 + 1).cast(SIZE).alias("size"), F.col("at").alias("arrival"), (F.col("at") + 20 + F.col("o_custkey") % 200).alias("deadline"),
         F.when(F.substring("o_orderpriority", 1, 1) == "1", "FOK").when(F.substring("o_orderpriority", 1, 1) == "2", "IOC").otherwise("GTC").alias("tif"), (F.col("o_custkey") % 90).cast(SIZE).alias("queue_ahead"),
     )
 
 
-ORDERS = """ords as (select o_orderkey as order_index, (o_custkey % 15) % 4 as market_id, o_custkey % 15 as asset_id, case when o_orderkey % 2 = 0 then 'BUY' else 'SELL' end as side,
-    cast(case when o_orderkey % 2 = 0 then 0.30 else 0.05 end as decimal(11,10)) as limit_price, cast(o_custkey % 40 + 1 as decimal(26,10)) as size, o_orderkey % 700 as arrival, o_orderkey % 700 + 20 + o_custkey % 200 as deadline,
+ORDERS = f"""ords as (select o_orderkey as order_index, (o_custkey % 15) % 4 as market_id, o_custkey % 15 as asset_id, case when o_orderkey % 2 = 0 then 'BUY' else 'SELL' end as side,
+    cast(case when o_orderkey % 2 = 0 then 0.30 else 0.05 end as decimal(11,10)) as limit_price, cast(o_custkey % 40 + 1 as decimal(26,10)) as size, {AT} as arrival, {AT} + 20 + o_custkey % 200 as deadline,
     case when o_orderpriority like '1%' then 'FOK' when o_orderpriority like '2%' then 'IOC' else 'GTC' end as tif, cast(o_custkey % 90 as decimal(26,10)) as queue_ahead from orders)"""
 
 

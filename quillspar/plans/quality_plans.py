@@ -71,7 +71,7 @@ def _residual(s, d):
     e = table(s, d, "events")
     price = (F.floor(F.col("value") % 40) + 5) / 100
     book = e.select((F.col("user_id") % 12).alias("condition_id"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 53 == 0, "book").otherwise("delta").alias("kind"), F.when(F.col("event_id") % 3 == 0, "NO").otherwise("YES").alias("outcome"), F.when(F.col("event_id") % 2 == 0, "BID").otherwise("ASK").alias("side"), F.when(F.col("event_id") % 2 == 0, price).otherwise(price + 0.5).alias("price"), F.when(F.col("event_type") == "error", 0.0).otherwise(F.col("value")).alias("size"), F.lit(-1).cast("long").alias("order_id"))
-    take = replay_orders(s, d).select((F.col("asset_id") % 12).alias("condition_id"), (F.col("arrival") * 10).alias("seq"), F.lit("take").alias("kind"), F.lit("YES").alias("outcome"), "side", F.when(F.col("side") == "BUY", 0.8).otherwise(0.2).alias("price"), F.col("size").cast("double").alias("size"), F.col("order_index").alias("order_id"))
+    take = replay_orders(s, d).select((F.col("asset_id") % 12).alias("condition_id"), F.col("arrival").alias("seq"), F.lit("take").alias("kind"), F.lit("YES").alias("outcome"), "side", F.when(F.col("side") == "BUY", 0.8).otherwise(0.2).alias("price"), F.col("size").cast("double").alias("size"), F.col("order_index").alias("order_id"))
     return B.residual_fills(book.unionByName(take), 0.5)
 
 

@@ -9,12 +9,12 @@ from ..sources import scans as S
 from ..sources import sinks as W
 from ..sources.shared import fresh
 from ..streaming import streams as R
-from .adapters import TAPE, plan, raw_fills, table, tape
+from .adapters import AT, TAPE, over_blocks, plan, raw_fills, table, tape
 
 
 def _windows(s, d):
-    o = table(s, d, "orders")
-    return o.select((F.col("o_custkey") % 15).alias("asset_id"), (F.col("o_orderkey") % 900).alias("start"), (F.col("o_orderkey") % 900 + 60).alias("end"))
+    o = over_blocks(s, d, table(s, d, "orders").where("o_custkey % 4 = 0"), "o_orderkey")
+    return o.select((F.col("o_custkey") % 15).alias("asset_id"), F.col("at").alias("start"), (F.col("at") + 5 + F.col("o_custkey") % 60).alias("end"))
 
 
 def _upserted(s, d):
@@ -62,7 +62,7 @@ PLANS = {
     "block_range_scan": plan(lambda s, d: S.block_range(raw_fills(s, d), 100, 900, markets=[1, 2]).groupBy("market_id").agg(F.count("*").alias("n")), "with f as (select l_orderkey, l_partkey % 7 as market_id from lineitem union all select l_orderkey, l_partkey % 7 from lineitem where l_orderkey % 10 = 0) select market_id, count(*) as n from f where l_orderkey between 100 and 900 and market_id in (1, 2) group by 1"),
     "window_scan": plan(
         lambda s, d: S.windows_scan(tape(s, d).withColumn("asset_id", F.col("asset_id") % 15), _windows(s, d), ["asset_id"], "block", 100).select("trade_id", "asset_id", "block"),
-        f"with {TAPE}, w as (select o_custkey % 15 as asset_id, o_orderkey % 900 as s, o_orderkey % 900 + 60 as e from orders) select trade_id, asset_id % 15 as asset_id, block from tape where exists (select 1 from w where w.asset_id = tape.asset_id % 15 and block >= s and block < e)",
+        f"with {TAPE}, w as (select o_custkey % 15 as asset_id, {AT} as s, {AT} + 5 + o_custkey % 60 as e from orders where o_custkey % 4 = 0) select trade_id, asset_id % 15 as asset_id, block from tape where exists (select 1 from w where w.asset_id = tape.asset_id % 15 and block >= s and block < e)",
     ),
     "sample_grid": plan(lambda s, d: S.sample_grid(s, 0, 1003, 50), "select unnest(range(0, 1004, 50)) as x union select 1003"),
     "hour_grid": plan(lambda s, d: S.hours(s, "2024-01-01 00:00:00", "2024-01-03 12:00:00"), "select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-03 12:00:00', interval 1 hour)) as hour"),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspar.functions import numeric
-from quillspar.operators import asof, book, features, intervals, ledger, prefix, replay, series
+from quillspar.operators import asof, book, features, intervals, ledger, prefix, replay, series, session
 
 
 def rows(df, *columns):
@@ -83,6 +83,33 @@ def test_shared_fills_use_up_the_tape_in_order(spark):
         assert total == wanted[i]["size"] if wanted[i].tif == "FOK" else total <= wanted[i]["size"]
 
 
+@pytest.mark.parametrize("cap", [None, "5"])
+def test_runs_of_a_hot_market_are_folded_apart(spark, cap):
+    """One market and asset, with pauses: several runs, and the fills of one fold over everything."""
+    rng = random.Random(5)
+    at = [100 * rng.randrange(12) + rng.randrange(30) for _ in range(80)]
+    orders = spark.createDataFrame([(i, 0, 0, rng.choice(["BUY", "SELL"]), D("0.50"), D(rng.randint(1, 9)), x, x + rng.randrange(12), rng.choice(["GTC", "FOK"])) for i, x in enumerate(at)], "order_index long, market_id int, asset_id int, side string, limit_price decimal(11,10), size decimal(26,10), arrival long, deadline long, tif string")
+    trades = spark.createDataFrame([(i, 0, 0, rng.choice(["BUY", "SELL"]), D("0.50"), D(rng.randint(1, 6)), rng.randrange(1300)) for i in range(600)], "trade_id long, market_id int, asset_id int, side string, price decimal(11,10), size decimal(26,10), block long")
+    got = replay.shared_fills(orders, trades, rate="0.5", window_cap=cap, window_blocks=7)
+    want = list(replay.shared_fold([r.asDict() for r in orders.collect()], [r.asDict() for r in trades.collect()], D("0.5"), D(0), None if cap is None else D(cap), 7))
+    assert sorted((r.order_index, r.trade_id, r.qty) for r in got.collect()) == sorted((f["order_index"], f["trade_id"], f["qty"]) for f in want) and want
+    assert replay.runs(orders, ["market_id", "asset_id", "side"]).select("side", "run").distinct().count() > 10
+
+
+def test_limit_replay_is_the_fold_of_each_order(spark):
+    orders, trades = tape(spark)
+    tape_rows = [r.asDict() for r in trades.collect()]
+    plain = lambda r: {k: float(v) if isinstance(v, D) else v for k, v in r.items()}
+    want = {}
+    for o in orders.collect():
+        own = [plain(t) for t in tape_rows if (t["market_id"], t["asset_id"]) == (o.market_id, o.asset_id)]
+        fills = list(session.limit_fold(plain(o.asDict()), own, rate=0.25, decay=0.98, queue_factor=0.9))
+        if o.tif != "FOK" or sum(f["qty"] for f in fills) >= float(o["size"]) - 1e-9:
+            want |= {(f["order_index"], f["trade_id"]): f["qty"] for f in fills}
+    got = {(r.order_index, r.trade_id): r.qty for r in session.limit_replay(orders, trades).collect()}
+    assert got.keys() == want.keys() and want and all(abs(got[k] - q) < 1e-9 for k, q in want.items())
+
+
 def test_window_cap_holds(spark):
     orders, trades = tape(spark)
     fills = replay.shared_fills(orders, trades, rate="1", window_cap="5", window_blocks=10).collect()
