@@ -49,13 +49,13 @@ def _stream(s, d):
 
 def _stream_bars(s, d):
     rows = _stream(s, d).select(F.col("user_id").alias("asset_id"), "ts", "event_id", F.col("value").alias("price"), F.lit(1).cast("long").alias("size"))
-    got = R.to_end(R.bars(rows, "1 day", "1 day"), f"bars_{fresh(s, 'q').rsplit('-', 1)[1]}", "complete", fresh(s, "stream"))
+    got = R.to_end(R.bars(rows, "1 day", "1 day"), "complete", fresh(s, "stream"))
     return got.withColumn("bar_start", F.col("bar_start").cast("timestamp_ntz"))
 
 
 def _stream_ledger(s, d):
     rows = _stream(s, d).select(F.col("user_id").alias("account"), F.col("event_id").alias("seq"), F.col("value").alias("cash"))
-    return R.to_end(R.running_ledger(rows), f"ledger_{fresh(s, 'q').rsplit('-', 1)[1]}", "append", fresh(s, "stream")).groupBy("account").agg(F.count("*").alias("n"), F.max_by("balance", "entry").cast("decimal(18,4)").alias("balance"))
+    return R.to_end(R.running_ledger(rows), "append", fresh(s, "stream")).groupBy("account").agg(F.count("*").alias("n"), F.max_by("balance", "entry").cast("decimal(18,4)").alias("balance"))
 
 
 PLANS = {

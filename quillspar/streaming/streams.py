@@ -53,8 +53,16 @@ def running_ledger(stream: DataFrame) -> DataFrame:
     return stream.select("account", "seq", "cash").groupBy("account").applyInPandasWithState(fold, "account long, seq long, cash double, balance double, entry long", "balance double, entries long", "append", "NoTimeout")
 
 
-def to_end(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run over all that is there and read the result."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def to_end(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Run over all that is there and read what was written under ``folder``; the driver holds none of it.
+
+    A batch that is run again writes its own folder again. In complete mode the
+    last batch is the result.
+    """
+    out = f"{folder}/out"
+    query = stream.writeStream.outputMode(mode).foreachBatch(lambda rows, i: rows.write.mode("overwrite").parquet(f"{out}/batch={i}")).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if query.lastProgress is None:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    rows = stream.sparkSession.read.schema(stream.schema).option("basePath", out)
+    return rows.parquet(f"{out}/batch={query.lastProgress['batchId']}" if mode == "complete" else f"{out}/batch=*").select(*stream.columns)

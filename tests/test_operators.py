@@ -229,7 +229,7 @@ def test_sessions_on_two_clocks():
 
 def test_catalog_resumes_and_prunes(spark, tmp_path):
     from quillspar.sources.catalog import TradeCatalog
-    from quillspar.sources.sinks import ParquetTable, Receipts
+    from quillspar.sources.sinks import ParquetTable
 
     rows = [(i, i, f"2024-01-{1 + i // 10:02d} 00:00:00") for i in range(100)]
     t = spark.createDataFrame(rows, "trade_id long, block long, at string").withColumn("block_time", F.col("at").cast("timestamp_ntz")).drop("at")
@@ -240,11 +240,57 @@ def test_catalog_resumes_and_prunes(spark, tmp_path):
     one = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
     assert table.upsert_changed(one) == 2 and table.upsert_changed(one) == 0
     assert table.upsert_changed(spark.createDataFrame([(2, "b"), (3, "c")], "k int, v string")) == 2 and table.read().count() == 3
-    receipts = Receipts(spark, f"file://{tmp_path}/r")
-    assert receipts.run("x", lambda: one, lambda df: True) and not receipts.run("x", lambda: one, lambda df: True)
-    assert not receipts.run("y", lambda: one, lambda df: False)
-    receipts.revoke("x")
-    assert not receipts.done("x")
+    both = spark.createDataFrame([(None, "n"), (None, "m"), (3, "d")], "k int, v string")
+    table.upsert(both)
+    assert {(r.k, r.v) for r in table.read().collect()} == {(1, "a"), (2, "b"), (3, "d"), (None, "n")}
+    before = table.latest().files
+    table.append(one)
+    assert table.latest().files[: len(before)] == before and table.read().count() == 6
+
+
+def test_a_lost_writer_and_a_faster_one(spark, tmp_path, monkeypatch):
+    """A reader between a writer's two steps sees the old version; a writer that finds its number taken starts again."""
+    from quillspar.sources import sinks
+
+    monkeypatch.setattr(sinks, "PATIENCE", 0.3)
+    make = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k int")
+    table = sinks.ParquetTable(spark, f"file://{tmp_path}/t", ["k"])
+    table.append(make(1))
+    table.write_files(make(2))  # lost before its manifest
+    fs, path = table._fs(table._number_file(2))
+    fs.create(path, False).close()  # lost within its manifest
+    assert [r.k for r in table.read().collect()] == [1]
+    table.append(make(3))
+    assert sorted(r.k for r in table.read().collect()) == [1, 3]
+    put, raced = sinks.ParquetTable._put, []
+
+    def race(self, manifest):
+        if not raced:
+            raced.append(1)
+            table.append(make(4))
+        return put(self, manifest)
+
+    monkeypatch.setattr(sinks.ParquetTable, "_put", race)
+    table.insert_absent(make(4, 5))
+    assert sorted(r.k for r in table.read().collect()) == [1, 3, 4, 5]
+    assert table.vacuum() >= 1 and sorted(r.k for r in table.read().collect()) == [1, 3, 4, 5]
+
+
+def test_receipts_publish_after_the_check_and_revoke_overlaps(spark, tmp_path):
+    from quillspar.sources.sinks import ParquetTable, Receipts
+
+    make = lambda low, high: spark.range(low, high).withColumnRenamed("id", "block")
+    table = ParquetTable(spark, f"file://{tmp_path}/t", ["block"])
+    receipts = Receipts(table)
+    blocks = lambda: [] if table.read() is None else sorted(r.block for r in table.read().collect())
+    assert not receipts.run("a", 0, 5, lambda: make(0, 5), lambda df: df.count() == 6) and blocks() == [] and receipts.receipts() == {}
+    assert receipts.run("a", 0, 5, lambda: make(0, 5), lambda df: df.count() == 5) and blocks() == [0, 1, 2, 3, 4]
+    assert not receipts.run("a", 0, 5, lambda: make(0, 5), lambda df: True)
+    assert receipts.run("b", 5, 9, lambda: make(5, 9), lambda df: True) and receipts.missing(["a", "b", "c"]) == ["c"]
+    assert receipts.run("c", 4, 6, lambda: make(4, 6), lambda df: True) and blocks() == [4, 5] and list(receipts.receipts()) == ["c"]
+    receipts.revoke(5, 100)
+    assert blocks() == [] and receipts.receipts() == {}
+    assert receipts.run("d", 20, 21, lambda: make(20, 20), lambda df: True) and receipts.receipts()["d"]["rows"] == 0
 
 
 def test_prior_and_strata(spark):
