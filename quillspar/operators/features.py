@@ -65,10 +65,10 @@ def hierarchical_prior(rows: DataFrame, levels: Sequence[str], label: str, stren
     overall rate is the root.
     """
     keys = list(levels)
-    sets = [keys[:i] for i in range(len(keys) + 1)]
+    every = rows.rollup(*keys).agg((len(keys) - F.bit_count(F.grouping_id())).cast("int").alias("depth"), F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("hits"))
     cells = None
-    for i, own in enumerate(sets):
-        got = rows.groupBy(*own).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("hits")).select(*[F.col(k) if k in own else F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in keys], F.lit(i).alias("depth"), "n", "hits")
+    for i in range(len(keys) + 1):
+        got = every.where(F.col("depth") == i).select(*[F.col(k).alias(k) for k in keys], "depth", "n", "hits")
         if i == 0:
             out = got.withColumn("rate", F.col("hits") / F.col("n"))
             cells = out

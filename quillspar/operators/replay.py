@@ -128,7 +128,8 @@ def _q(x: Decimal) -> Decimal:
 def shared_fold(orders: list[dict], trades: list[dict], rate: Decimal, buffer: Decimal, window_cap: Decimal | None = None, window_blocks: int = 1) -> Iterator[dict]:
     """Fills of orders that share the tape, in order of order_index.
 
-    A print's share is used up by earlier orders, and so is a window's cap.
+    A print's share is used up by earlier orders, and so is a window's cap. The
+    print that an order's signal was read from, its source_trade_id, is not for it.
     An order that must fill whole uses up nothing unless it does.
     """
     used: dict = {}
@@ -140,7 +141,7 @@ def shared_fold(orders: list[dict], trades: list[dict], rate: Decimal, buffer: D
         for t in trades[bisect_left(blocks, order["arrival"]) : bisect_right(blocks, order["deadline"])]:
             if left <= 0:
                 break
-            if t["side"] != order["side"]:
+            if t["side"] != order["side"] or t["trade_id"] == order.get("source_trade_id"):
                 continue
             price = min(Decimal(1), max(Decimal(0), t["price"] + (buffer if buy else -buffer)))
             if any((p > order["limit_price"]) if buy else (p < order["limit_price"]) for p in (t["price"], price)):
@@ -184,7 +185,8 @@ def shared_fills(orders: DataFrame, trades: DataFrame, *, rate: str, buffer: str
     """
     limits = (Decimal(rate), Decimal(buffer), None if window_cap is None else Decimal(window_cap), window_blocks)
     keys = ["market_id", "asset_id", "side"]
-    a = runs(orders.select("order_index", *keys, "limit_price", "size", "arrival", "deadline", "tif"), keys, 1 if window_cap is None else window_blocks)
+    source = ["source_trade_id"] if "source_trade_id" in orders.columns else []
+    a = runs(orders.select("order_index", *keys, "limit_price", "size", "arrival", "deadline", "tif", *source), keys, 1 if window_cap is None else window_blocks)
     spans = a.groupBy(*[F.col(k).alias(k) for k in (*keys, "run")]).agg(F.min("_low").alias("_low"), F.max("_high").alias("_high")).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_low") / RUN_BUCKET), F.floor(F.col("_high") / RUN_BUCKET))))
     b = trades.select("trade_id", *keys, "price", "size", "block").withColumn("_bucket", F.floor(F.col("block") / RUN_BUCKET))
     b = b.join(spans, [*keys, "_bucket"]).where("block between _low and _high").select("trade_id", "price", "size", "block", *[F.col(k).alias(k) for k in (*keys, "run")])

@@ -39,20 +39,6 @@ def _through(s, d):
     return rows.select("order_index", F.when(F.col("tif").isin(*R.IMMEDIATE), "UNOBSERVABLE").when(F.col("flow").isNull(), "UNFILLED").otherwise("FILLED").alias("outcome"), "first_block", F.when(~F.col("tif").isin(*R.IMMEDIATE), F.least(F.coalesce("flow", F.lit(0).cast("decimal(38,10)")), F.col("size").cast("decimal(38,10)"))).alias("filled"))
 
 
-#: Named bundles of execution parameters.
-PROFILES = [("strict", "0.0250", "0.0100"), ("balanced", "0.1000", "0.0050"), ("loose", "0.5000", "0.0000")]
-
-
-def _profiles(s, d):
-    table_ = s.createDataFrame([(n, r, b) for n, r, b in PROFILES], "profile string, rate string, buffer string")
-    o = replay_orders(s, d).crossJoin(F.broadcast(table_))  # three rows
-    met = R.candidates(o.withColumn("rate", F.col("rate").cast("decimal(6,4)")), _trades(s, d), bucket=BUCKET)
-    worse = F.when(F.col("side") == "BUY", F.col("trade_price") + F.col("buffer").cast("decimal(5,4)")).otherwise(F.col("trade_price") - F.col("buffer").cast("decimal(5,4)")).cast("decimal(12,10)")
-    met = met.where(R.within_limit(F.col("side"), worse, F.col("limit_price")))
-    per = met.groupBy("profile", "order_index", "size").agg(F.sum((F.col("trade_size") * F.col("rate")).cast("decimal(38,10)")).alias("cap"))
-    return per.groupBy("profile").agg(F.count("*").alias("touched"), F.count_if(F.col("cap") >= F.col("size")).alias("whole"))
-
-
 def _session_events(s, d):
     o = replay_orders(s, d)
     submit = o.select(F.col("asset_id").alias("condition_id"), F.col("arrival").alias("ts"), F.col("order_index").alias("seq"), F.lit("submit").alias("kind"), F.col("order_index").alias("order_id"), "side", F.col("limit_price").cast("double").alias("price"), F.col("size").cast("double").alias("size"), (F.col("deadline") - F.col("arrival")).alias("ttl"))
@@ -103,13 +89,6 @@ PLANS = {
             select o.order_index, case when tif in ('IOC', 'FOK', 'FAK') then 'UNOBSERVABLE' when flow is null then 'UNFILLED' else 'FILLED' end as outcome, first_block, case when tif not in ('IOC', 'FOK', 'FAK') then cast(least(coalesce(flow, 0), size) as decimal(38,10)) end as filled from ords o left join g on g.order_index = o.order_index""",
         "filled",
     ),
-    "execution_profiles": plan(
-        _profiles,
-        f"""with {_MET}, pf as (select * from (values ('strict', cast(0.025 as decimal(6,4)), cast(0.01 as decimal(5,4))), ('balanced', cast(0.1 as decimal(6,4)), cast(0.005 as decimal(5,4))), ('loose', cast(0.5 as decimal(6,4)), cast(0 as decimal(5,4)))) t(profile, rate, buf)),
-            m as (select profile, o.order_index, o.size, sum(cast(trade_size * rate as decimal(38,10))) as cap from ords o cross join pf join tr on tr.market_id = o.market_id and tr.asset_id = o.asset_id and block between arrival and deadline and trade_side = side
-              where {_within('trade_price')} and case when side = 'BUY' then trade_price + buf <= limit_price else trade_price - buf >= limit_price end group by 1, 2, 3)
-            select profile, count(*) as touched, count(*) filter (where cap >= size) as whole from m group by 1""",
-    ),
     "wallet_fill_orders": plan(
         lambda s, d: tape(s, d).where("asset_id = 3").select(F.col("trade_id").alias("order_index"), "side", F.col("price").alias("limit_price"), "size", (F.col("block") - 1).alias("signal_block"), F.lit("observed").alias("source")),
         f"with {TAPE} select trade_id as order_index, side, price as limit_price, size, block - 1 as signal_block, 'observed' as source from tape where asset_id = 3", "limit_price size",

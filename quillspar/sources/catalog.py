@@ -47,3 +47,30 @@ class TradeCatalog:
         if not found:
             return self.spark.read.parquet(self.manifest.read().first().file).where("false")
         return self.spark.read.parquet(*found).where(F.col(axis).between(low, high))
+
+
+class DayPartitions:
+    """A table by partition: a part that is written again replaces its partitions and no others, and ``finish`` holds it to be whole."""
+
+    def __init__(self, spark: SparkSession, path: str, column: str):
+        self.spark, self.path, self.column = spark, path.rstrip("/"), column
+
+    def part(self, rows: DataFrame) -> None:
+        rows.repartition(self.column).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.column).parquet(f"{self.path}/data")
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/data")
+
+    def days(self, low: str, high: str) -> DataFrame:
+        """Rows of the partitions in [low, high]; others are not opened."""
+        return self.read().where(F.col(self.column).between(low, high))
+
+    def finish(self, wanted: Sequence[str]) -> DataFrame:
+        """The rows of each wanted partition, written down as the table's manifest; an error if one is missing."""
+        counts = self.read().where(F.col(self.column).isin(list(wanted))).groupBy(F.col(self.column).cast("string").alias(self.column)).agg(F.count("*").alias("rows"))
+        there = {r[0] for r in counts.select(self.column).collect()}  # a row a partition
+        if missing := sorted(set(wanted) - there):
+            raise ValueError(f"no rows of {', '.join(missing)}")
+        manifest = ParquetTable(self.spark, f"{self.path}/manifest", [self.column])
+        manifest.upsert(counts)
+        return manifest.read()

@@ -60,6 +60,48 @@ def parquet_files(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(*paths).withColumn("source_file", F.col("_metadata.file_path"))
 
 
+def api_trades(df: DataFrame, start: int, end: int, *, markets: Sequence[int] = (), tokens: Sequence[str] = ()) -> DataFrame:
+    """Trades of a source that gives time twice, in seconds and as a timestamp: both bounds are put on the scan, with what a valid trade has."""
+    at = lambda seconds: F.timestamp_seconds(F.lit(seconds)).cast(df.schema["trade_time"].dataType)
+    out = df.where(F.col("trade_timestamp").between(start, end) & F.col("trade_time").between(at(start), at(end)) & F.col("price").between(0, 1) & (F.col("size") > 0))
+    out = out.where(F.col("market_id").isin(list(markets))) if markets else out
+    return out.where(F.col("token_id").isin(list(tokens))) if tokens else out
+
+
+#: Names that raw book rows of either schema go by.
+RAW_NAMES = {"kind": ("event_type", "update_type"), "asset_id": ("asset_id", "token_id"), "price": ("price", "px"), "size": ("size", "qty")}
+
+
+def raw_books(parts: Sequence[DataFrame], kinds: Sequence[str]) -> DataFrame:
+    """Raw book rows of any known schema as one, of the asked kinds; the filter is put on each part's own column."""
+    out = None
+    for part in parts:
+        own = {name: next(a for a in aliases if a in part.columns) for name, aliases in RAW_NAMES.items()}
+        rows = part.where(F.col(own["kind"]).isin(list(kinds))).select(*[F.col(c).alias(name) for name, c in own.items()])
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_LEVELS = "array<struct<price:string,size:string>>"
+MESSAGE = f"event_type string, asset_id string, timestamp string, side string, price string, size string, bids {_LEVELS}, asks {_LEVELS}, price_changes array<struct<asset_id:string,side:string,price:string,size:string>>"
+
+
+def book_messages(df: DataFrame, raw: str) -> DataFrame:
+    """Messages of a book feed, a row a level: kind (snapshot, delta, trade), token, side, price, size and place in the message.
+
+    Items without a token, a known side or numbers are left out, as is what isn't JSON.
+    """
+    m = df.withColumn("_m", F.from_json(raw, MESSAGE))
+    side = lambda s: f"case upper({s}) when 'BUY' then 'BID' when 'SELL' then 'ASK' end"
+    row = lambda kind, token, s, x, i: f"named_struct('kind', '{kind}', 'token_id', {token}, 'side', {s}, 'price', try_cast({x}.price as decimal(11,10)), 'size', try_cast({x}.size as decimal(26,10)), 'place', {i})"
+    levels = lambda name, s: f"transform(coalesce(_m.{name}, array()), (x, i) -> {row('snapshot', '_m.asset_id', repr(s), 'x', 'i')})"
+    items = f"""case _m.event_type when 'book' then concat({levels('bids', 'BID')}, {levels('asks', 'ASK')})
+        when 'price_change' then transform(coalesce(_m.price_changes, array()), (x, i) -> {row('delta', 'x.asset_id', side('x.side'), 'x', 'i')})
+        when 'last_trade_price' then array({row('trade', '_m.asset_id', side('_m.side'), '_m', '0')}) end"""
+    rows = m.select(*df.columns, F.expr("try_cast(_m.timestamp as bigint)").alias("event_ms"), F.explode(F.expr(items)).alias("x")).select(*df.columns, "event_ms", "x.*")
+    return rows.where("token_id is not null and side is not null and price is not null and size is not null")
+
+
 def hours(spark: SparkSession, start: str, end: str) -> DataFrame:
     return spark.sql(f"select explode(sequence(timestamp_ntz '{start}', timestamp_ntz '{end}', interval 1 hour)) as hour")
 
