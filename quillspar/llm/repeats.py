@@ -99,9 +99,15 @@ def _runs(length: int, gram: int):
             if not len(parse.low):
                 continue
             base = at[parse.text] - begin[parse.text]
+            # one of the equal strings of a slice stands for all of them, which repeat: they are dealt out by place
+            codes = pd.factorize(parse.string)[0]
+            several = np.bincount(codes)[codes] > 1
+            later = np.ones(len(codes), bool)
+            later[np.unique(codes, return_index=True)[1]] = False
+            deal = np.where(later, textops.mix(parse.anchor + textops.mix(np.arange(len(codes), dtype=U64))), parse.anchor)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(parse.anchor.view(np.int64)), pa.array(parse.string.view(np.int64)), batch.column(0).take(pa.array(parse.text)), pa.array(parse.low - base), pa.array(parse.high - base)],
-                names=["anchor", "string", "row", "low", "high"],
+                [pa.array(deal.view(np.int64)), pa.array(later), pa.array(parse.anchor.view(np.int64)), pa.array(parse.string.view(np.int64)), batch.column(0).take(pa.array(parse.text)), pa.array(parse.low - base), pa.array(parse.high - base), pa.array(several)],
+                names=["deal", "later", "anchor", "string", "row", "low", "high", "several"],
             )
 
     return run
@@ -129,18 +135,18 @@ def _three(before, batch, after):
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of runs sorted by anchor and string: those that repeat whole, and those whose windows are to be compared."""
+    """Of runs sorted by anchor and string, after those that another of their slice stands for: those that repeat whole, and those whose windows are to be compared."""
     for whole, skip, rows in _neighbours(batches):
-        anchor, string = whole.column(0).to_numpy(), whole.column(1).to_numpy()
-        near = anchor[1:] == anchor[:-1]
+        first, anchor, string, several = (whole.column(n).to_numpy(zero_copy_only=False) for n in ("later", "anchor", "string", "several"))
+        near = (anchor[1:] == anchor[:-1]) & ~first[1:] & ~first[:-1]
         same = near & (string[1:] == string[:-1])
         pad = lambda x: (np.concatenate([[False], x]), np.concatenate([x, [False]]))
         (near_before, near_after), (same_before, same_after) = pad(near), pad(same)
-        repeats = same_before | same_after
+        repeats = same_before | same_after | several
         compared = (near_before & ~same_before) | (near_after & ~same_after)
         keep = np.flatnonzero((repeats | compared)[skip : skip + rows]) + skip
         taken = whole.take(pa.array(keep))
-        yield pa.RecordBatch.from_arrays([taken.column(0), *taken.columns[2:5], pa.array(repeats[keep]), pa.array(compared[keep])], names=["anchor", "row", "low", "high", "repeats", "compared"])
+        yield pa.RecordBatch.from_arrays([*(taken.column(n) for n in ("anchor", "row", "low", "high")), pa.array(repeats[keep]), pa.array(compared[keep])], names=["anchor", "row", "low", "high", "repeats", "compared"])
 
 
 def _strings(length: int):
@@ -291,8 +297,8 @@ def without_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     unique = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
     rows = docs.select(F.col("doc_id").alias("row"), "doc_id", "text") if unique else settle(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "repeats-rows")
-    runs = rows.select("row", "text").mapInArrow(_runs(length, gram), "anchor long, string long, row long, low long, high long")
-    marks = settle(runs.repartition(parts, "anchor").sortWithinPartitions("anchor", "string").mapInArrow(_settled, "anchor long, row long, low long, high long, repeats boolean, compared boolean"), "repeats-marks")
+    runs = rows.select("row", "text").mapInArrow(_runs(length, gram), "deal long, later boolean, anchor long, string long, row long, low long, high long, several boolean")
+    marks = settle(runs.repartition(parts, "deal").sortWithinPartitions(F.desc("later"), "anchor", "string").mapInArrow(_settled, "anchor long, row long, low long, high long, repeats boolean, compared boolean"), "repeats-marks")
     compared = marks.where("compared")
     sizes = compared.groupBy("anchor").agg(F.count("*").alias("runs")).where(F.col("runs") > group_runs).select("anchor", F.lit(True).alias("hot"))
     compared = settle(compared.join(sizes, "anchor", "left").select("anchor", "row", "low", "high", F.coalesce("hot", F.lit(False)).alias("hot")), "repeats-compared")
