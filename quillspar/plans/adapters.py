@@ -88,3 +88,11 @@ def plan(query, sql: str | None, exact: str = ""):
         return df.withColumns({c: F.col(c).cast("double") for c in names})
 
     return plain, sql and f"select * replace ({', '.join(f'cast({c} as double) as {c}' for c in names)}) from ({sql})"
+
+
+def near(query, sql: str, columns: str, places: int = 7):
+    """A query and its SQL twin; the doubles named in ``columns`` come from sums in no fixed order and are given to ``places``."""
+    names = columns.split()
+    # a double rounded through a decimal is the same in both engines; adding 0 makes -0 a 0
+    rounded = lambda spark, sf_dir: (lambda df: df.withColumns({c: F.round(F.col(c), places) + F.lit(0.0) for c in names}))(query(spark, sf_dir))
+    return rounded, f"select * replace ({', '.join(f'round({c}, {places}) + 0.0::double as {c}' for c in names)}) from ({sql})"

@@ -10,7 +10,7 @@ from ..functions import numeric as N
 from ..operators import book as B
 from ..operators import features as X
 from ..operators import ledger as L
-from .adapters import TAPE, plan, replay_orders, table, tape
+from .adapters import TAPE, near, plan, replay_orders, table, tape
 from .replay_plans import _MET, BUCKET, _trades
 
 
@@ -84,6 +84,14 @@ def _regimes(s, d):
     return long.groupBy("dimension", "bucket").agg(F.count("*").alias("n")).withColumn("ready", F.col("n") >= 2000)
 
 
+#: The features of each order in SQL, as doubles.
+FEATURES_SQL = f"""{_MET}, fg as (select o.order_index, count(*) as n_pre, count(*) filter (where trade_side = side) as n_same, cast(sum(trade_size) as double) as volume_pre, cast(sum(trade_size) filter (where trade_side = side) as double) as volume_same, cast(max_by(trade_price, (block, trade_id)) as double) as last_price,
+    cast(max_by(trade_price, (block, trade_id)) filter (where trade_side = 'BUY') as double) as last_buy, cast(max_by(trade_price, (block, trade_id)) filter (where trade_side = 'SELL') as double) as last_sell, max(block) as lb from ords o join tr on tr.market_id = o.market_id and tr.asset_id = o.asset_id and block between arrival - 150 and arrival - 1 group by 1),
+    ft as (select o.order_index, o.side, cast(o.size as double) as size, coalesce(n_pre, 0) as n_pre, coalesce(n_same, 0) as n_same, volume_pre, volume_same, last_price, last_buy, last_sell, arrival - lb as age from ords o left join fg on fg.order_index = o.order_index)"""
+SYNTHETIC_SQL = """sy as (select *, coalesce((last_buy + last_sell) / 2, last_price) as mid, coalesce(abs(last_buy - last_sell), 0.01::double) as spread, volume_same * 0.025::double as rate, least(1.0::double, size / greatest(1e-9::double, volume_pre)) as share from ft),
+    sa as (select order_index, case when n_pre >= 2 then greatest(0.0::double, least(1.0::double, mid + case when side = 'BUY' then 1 else -1 end * (spread / 2 + greatest(1.0::double, 100 * share * share) * 0.01::double))) end as expected_price,
+        case when n_pre >= 2 then least(size, 0.5::double * coalesce(rate, 0.0::double)) end as q10, case when n_pre >= 2 then least(size, 1.0::double * coalesce(rate, 0.0::double)) end as q50, case when n_pre >= 2 then least(size, 2.0::double * coalesce(rate, 0.0::double)) end as q90, case when n_pre < 2 then 'MODEL_DOMAIN_ABSTAIN' end as abstained from sy)"""
+
 PLANS = {
     "ledger_running": plan(lambda s, d: L.running(_cash(s, d), ["account"], ["seq"], ["cash"]).select("account", "seq", "cash", "cash_balance"), f"with {_ENT} select account, seq, cash, cast(sum(cash) over (partition by account order by seq rows unbounded preceding) as decimal(38,10)) as cash_balance from cf", "cash cash_balance"),
     "cashflow_summary": plan(lambda s, d: _cash(s, d).groupBy("account").pivot("kind", ["BUY", "SELL", "REDEEM", "REBATE", "SPLIT"]).agg(F.sum("cash").cast("decimal(38,10)")), f"with {_ENT} select account, " + ", ".join(f"cast(sum(cash) filter (where kind = '{k}') as decimal(38,10)) as \"{k}\"" for k in ("BUY", "SELL", "REDEEM", "REBATE", "SPLIT")) + " from cf group by 1", "BUY SELL REDEEM REBATE SPLIT"),
@@ -132,7 +140,11 @@ PLANS = {
         _regimes,
         "with r as (select case when o_totalprice < 100000 then 'small' when o_totalprice < 250000 then 'medium' else 'large' end as size, o_orderpriority as priority, strftime(o_orderdate, '%Y') as year from orders), l as (select 'size' as dimension, size as bucket from r union all select 'priority', priority from r union all select 'year', year from r) select dimension, bucket, count(*) as n, count(*) >= 2000 as ready from l group by 1, 2",
     ),
-    "walk_forward": plan(lambda s, d: L.walk_forward(table(s, d, "events").select((F.col("user_id") % 6).alias("cell"), "event_id", F.col("event_id").alias("signal"), (F.col("event_id") + 40).alias("available"), (F.col("event_type") == "purchase").cast("int").alias("won"), F.lit(0.2).alias("price")), ["cell"], "signal", "available", "won", "price", 20.0, 1.0, 0.005).select("event_id", "n_known", "net_edge"), None),
+    "walk_forward": near(
+        lambda s, d: L.walk_forward(table(s, d, "events").select((F.col("user_id") % 6).alias("cell"), "event_id", F.col("event_id").alias("signal"), (F.col("event_id") + 40).alias("available"), (F.col("event_type") == "purchase").cast("int").alias("won"), F.lit(0.2).alias("price")), ["cell"], "signal", "available", "won", "price", 20.0, 1.0, 0.005).select("event_id", "n_known", "net_edge"),
+        """with r as (select user_id % 6 as cell, event_id as signal, event_id + 40 as available, case when event_type = 'purchase' then 1.0::double else 0.0::double end - 0.2::double as edge from events),
+           u as (select cell, available as known_at, 1 as learned, edge, null as id from r union all select cell, signal, 0, null, signal from r), w as (select *, count(edge) over x as n_known, coalesce(sum(edge) over x, 0.0::double) as e from u window x as (partition by cell order by known_at, learned rows unbounded preceding)),
+           p as (select id as event_id, n_known, 0.2::double + e / (n_known + 20.0::double) as q from w where learned = 0) select event_id, n_known, q - 1.0::double * sqrt(q * (1 - q) / (n_known + 20.0::double + 1)) - 0.2::double - 0.005::double as net_edge from p""", "net_edge"),
     "arrival_features": plan(
         lambda s, d: _features(s, d).select("order_index", "n_pre", "n_same", "volume_pre", "last_price", "last_buy", "last_sell", "high_pre", "low_pre", "age"),
         f"""with {_MET}, g as (select o.order_index, count(*) as n_pre, count(*) filter (where trade_side = side) as n_same, cast(sum(trade_size) as decimal(38,10)) as volume_pre, max_by(trade_price, (block, trade_id)) as last_price, max_by(trade_price, (block, trade_id)) filter (where trade_side = 'BUY') as last_buy,
@@ -145,12 +157,32 @@ PLANS = {
         f"with {_MET}, g as (select o.order_index, cast(sum(trade_size) as decimal(38,10)) as v from ords o join tr on tr.market_id = o.market_id and tr.asset_id = o.asset_id and block between arrival and deadline and trade_side = side group by 1) select o.order_index, coalesce(v, 0) as future_volume, case when v is null then 0 else 1 end as label from ords o left join g on g.order_index = o.order_index",
         "future_volume",
     ),
-    "fill_probability": plan(lambda s, d: X.probability(_features(s, d), {"n_pre": (0.8, 5.0, 4.0), "n_same": (0.4, 2.0, 2.0), "age": (-0.3, 40.0, 40.0)}, -0.2, [(0.0, 0.05), (0.3, 0.2), (0.7, 0.8), (1.0, 0.95)]).select("order_index", "raw_probability", "probability"), None),
-    "hierarchical_prior": plan(lambda s, d: X.hierarchical_prior(table(s, d, "orders").select(F.col("o_orderpriority").alias("category"), (F.col("o_custkey") % 7).alias("cell"), (F.col("o_orderstatus") == "F").cast("int").alias("hit")), ["category", "cell"], "hit", 25.0), None),
-    "synthetic_arrival": plan(lambda s, d: X.synthetic_arrival(_features(s, d), participation=0.025, tick=0.01), None),
-    "lob_validity": plan(lambda s, d: X.lob_validity(_features(s, d), trades=5.0, volume=200.0, age=30.0), None),
-    "strata_lookup": plan(lambda s, d: X.strata_lookup(table(s, d, "part").select("p_partkey", "p_brand", "p_type"), table(s, d, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"), F.avg(F.col("p_size").cast("double")).alias("value")), ["p_brand", "p_type"], "value", 12), None),
-    "execution_router": plan(lambda s, d: X.routed(replay_orders(s, d), X.fill_label(replay_orders(s, d), _trades(s, d), bucket=BUCKET).where("label = 1").select("order_index", F.col("future_volume").cast("double").alias("filled")), X.synthetic_arrival(_features(s, d), participation=0.025, tick=0.01).where("abstained is null").select("order_index", F.col("q50").alias("filled"))), None),
+    "fill_probability": near(
+        lambda s, d: X.probability(_features(s, d), {"n_pre": (0.8, 5.0, 4.0), "n_same": (0.4, 2.0, 2.0), "age": (-0.3, 40.0, 40.0)}, -0.2, [(0.0, 0.05), (0.3, 0.2), (0.7, 0.8), (1.0, 0.95)]).select("order_index", "raw_probability", "probability"),
+        f"""with {FEATURES_SQL}, z as (select order_index, 1 / (1 + exp(-(-0.2::double + 0.8::double * (n_pre - 5.0::double) / 4.0::double + 0.4::double * (n_same - 2.0::double) / 2.0::double - 0.3::double * (coalesce(age, 40)::double - 40.0::double) / 40.0::double))) as raw_probability from ft)
+            select order_index, raw_probability, case when raw_probability >= 0.7 then 0.8::double + (raw_probability - 0.7::double) * 0.5::double when raw_probability >= 0.3 then 0.2::double + (raw_probability - 0.3::double) * 1.5::double else 0.05::double + raw_probability * 0.5::double end as probability from z""",
+        "raw_probability probability"),
+    "hierarchical_prior": near(
+        lambda s, d: X.hierarchical_prior(table(s, d, "orders").select(F.col("o_orderpriority").alias("category"), (F.col("o_custkey") % 7).alias("cell"), (F.col("o_orderstatus") == "F").cast("int").alias("hit")), ["category", "cell"], "hit", 25.0),
+        """with o as (select o_orderpriority as category, o_custkey % 7 as cell, case when o_orderstatus = 'F' then 1 else 0 end as hit from orders), r0 as (select count(*) as n, cast(sum(hit) as bigint) as hits, sum(hit)::double / count(*) as rate from o),
+           r1 as (select category, count(*) as n, cast(sum(hit) as bigint) as hits, (sum(hit) + 25.0::double * (select rate from r0)) / (count(*) + 25.0::double) as rate from o group by 1),
+           r2 as (select o.category, cell, count(*) as n, cast(sum(hit) as bigint) as hits, (sum(hit) + 25.0::double * max(r1.rate)) / (count(*) + 25.0::double) as rate from o join r1 on r1.category = o.category group by 1, 2)
+           select null as category, null as cell, 0 as depth, n, hits, rate from r0 union all select category, null, 1, n, hits, rate from r1 union all select category, cell, 2, n, hits, rate from r2""", "rate"),
+    "synthetic_arrival": near(lambda s, d: X.synthetic_arrival(_features(s, d), participation=0.025, tick=0.01), f"with {FEATURES_SQL}, {SYNTHETIC_SQL} select * from sa", "expected_price q10 q50 q90"),
+    "lob_validity": near(
+        lambda s, d: X.lob_validity(_features(s, d), trades=5.0, volume=200.0, age=30.0),
+        f"""with {FEATURES_SQL}, v as (select order_index, least(1.0::double, n_pre / 5.0::double, coalesce(volume_pre, 0.0::double) / 200.0::double, coalesce(least(1.0::double, 30.0::double / greatest(1.0::double, age::double)), 0.0::double)) as score from ft)
+            select order_index, score, case when score >= 0.8::double then 'eligible' when score >= 0.4::double then 'review' else 'ineligible' end as tier from v""", "score"),
+    "strata_lookup": near(
+        lambda s, d: X.strata_lookup(table(s, d, "part").select("p_partkey", "p_brand", "p_type"), table(s, d, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"), F.avg(F.col("p_size").cast("double")).alias("value")), ["p_brand", "p_type"], "value", 12),
+        """with t as (select p_brand, p_type, count(*) as n, avg(p_size::double) as v from part group by 1, 2), l1 as (select p_brand, sum(n) as n, sum(n * v) / sum(n) as v from t group by 1 having sum(n) >= 12), l0 as (select sum(n * v) / sum(n) as v from t having sum(n) >= 12)
+           select p.p_partkey, p.p_brand, p.p_type, coalesce(t.v, l1.v, l0.v) as estimate, case when t.v is not null then 2 when l1.v is not null then 1 when l0.v is not null then 0 end as depth
+           from part p left join (select * from t where n >= 12) t on t.p_brand = p.p_brand and t.p_type = p.p_type left join l1 on l1.p_brand = p.p_brand left join l0 on true""", "estimate"),
+    "execution_router": near(
+        lambda s, d: X.routed(replay_orders(s, d), X.fill_label(replay_orders(s, d), _trades(s, d), bucket=BUCKET).where("label = 1").select("order_index", F.col("future_volume").cast("double").alias("filled")), X.synthetic_arrival(_features(s, d), participation=0.025, tick=0.01).where("abstained is null").select("order_index", F.col("q50").alias("filled"))),
+        f"""with {FEATURES_SQL}, {SYNTHETIC_SQL}, c as (select o.order_index, cast(sum(trade_size) as double) as c from ords o join tr on tr.market_id = o.market_id and tr.asset_id = o.asset_id and block between arrival and deadline and trade_side = side group by 1)
+            select o.order_index, coalesce(c, q50, 0.0::double) as filled, case when c is not null then 'SOURCE' when q50 is not null then 'MODEL' else 'NONE' end as route, coalesce(c, 0.0::double) as lower, greatest(coalesce(c, 0.0::double), coalesce(q50, 0.0::double)) as upper
+            from ords o left join c on c.order_index = o.order_index left join sa on sa.order_index = o.order_index""", "filled lower upper"),
     "book_reconstruction": plan(lambda s, d: B.reconstruct(_book_events(s, d)), None),
     "book_latest_levels": plan(lambda s, d: B.latest_levels(_book_events(s, d)), f"with {_BOOK}, k as (select asset_id, side, price, max_by(size, seq) as size from bk group by 1, 2, 3) select * from k where size > 0"),
     "book_fused": plan(

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import classify as C
 from ..operators import asof as A
 from ..operators import series as S
-from .adapters import TAPE, plan, table, tape
+from .adapters import TAPE, near, plan, table, tape
 
 
 def _points(s, d):
@@ -158,9 +158,17 @@ PLANS = {
         lambda s, d: table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k")).groupBy("k").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.col("event_id") % 5)).alias("classes")),
         "select cast(json_extract_string(props, '$.k') as bigint) as k, count(*) as n, list_sort(list_distinct(list(event_id % 5))) as classes from events group by 1",
     ),
-    "roll_spread": plan(lambda s, d: S.roll_spread(table(s, d, "events").select("user_id", "event_id", F.floor("value").alias("value")), ["user_id"], "event_id", "value").select("user_id", "n_pairs", F.round("roll_spread", 6).cast("decimal(18,4)").cast("double").alias("roll_spread")), None),
-    "locf_correlation": plan(lambda s, d: S.locf_correlation(table(s, d, "events").select(F.col("event_type").alias("outcome"), F.col("event_id").alias("x"), "value"), "outcome", "x", "value", 50, 10), None),
-    "ewma": plan(lambda s, d: S.ewma(_points(s, d), ["asset_id"], "x", "value", 0.35), None),
+    "roll_spread": near(
+        lambda s, d: S.roll_spread(table(s, d, "events").select("user_id", "event_id", F.floor("value").alias("value")), ["user_id"], "event_id", "value"),
+        """with m as (select user_id, event_id, floor(value) - lag(floor(value)) over w as a from events window w as (partition by user_id order by event_id)), n as (select *, lag(a) over (partition by user_id order by event_id) as b from m)
+           select user_id, count(*) as n_pairs, 2 * sqrt(greatest(0.0::double, -covar_pop(a, b))) as roll_spread from n where a is not null and b is not null group by 1""", "roll_spread", 5),
+    "locf_correlation": near(
+        lambda s, d: S.locf_correlation(table(s, d, "events").select(F.col("event_type").alias("outcome"), F.col("event_id").alias("x"), "value"), "outcome", "x", "value", 50, 10),
+        """with s as (select event_type as k, event_id as x, value from events), b as (select k, min(x) as a, max(x) as z from s group by 1), g as (select k, unnest(range(a, z + 1, 50)) as x from b),
+           v as (select g.k, g.x, s.value from g asof join s on g.k = s.k and s.x <= g.x), c as (select k, cast(floor(x / 50.0) * 50 as bigint) as y, max_by(value, x) as value from v group by 1, 2),
+           m as (select k, y, value - lag(value) over (partition by k order by y) as d from c), p as (select a.k as left_key, b.k as right_key, a.d as a, b.d as b from m a join m b on a.y = b.y and a.k < b.k where a.d is not null and b.d is not null)
+           select left_key, right_key, count(*) as n, corr(a, b) as corr from p group by 1, 2 having count(*) >= 10""", "corr"),
+    "ewma": near(lambda s, d: S.ewma(_points(s, d), ["asset_id"], "x", "value", 0.35), f"with {_POINTS} select asset_id, list_reduce(list(value order by x), lambda a, v: 0.35::double * v + 0.65::double * a) as ewma from points group by 1", "ewma"),
     "rolling_three": plan(
         lambda s, d: S.rolling_sum(_points(s, d).withColumn("value", F.col("value").cast("decimal(10,2)")), ["asset_id"], ["x"], "value", 3),
         f"with {_POINTS} select * exclude (rn) from (select asset_id, x, cast(value as decimal(10,2)) as value, sum(cast(value as decimal(10,2))) over (partition by asset_id order by x rows 2 preceding) as rolling, row_number() over (partition by asset_id order by x) as rn from points) where rn >= 3", "value rolling",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import PRICE, SIZE
 from ..operators import replay as R
 from ..operators.intervals import islands
-from .adapters import ORDERS, TAPE, plan, replay_orders, table, tape
+from .adapters import ORDERS, TAPE, near, plan, replay_orders, table, tape
 
 BUCKET = 100
 BUFFER = "0.0050"
@@ -128,7 +128,16 @@ PLANS = {
         """with r as (select o_orderkey, case when o_orderkey % 3 = 0 then 0.0::double else o_custkey::double end as sv, (o_custkey * 2)::double as bv, (o_orderkey % 64 + 1)::double as rq from orders), b as (select *, case when sv > 0 then sv else bv end * 25.0::double / 100 as available from r),
            p as (select *, least(100.0::double, 100 * available / rq) * 0.5::double as probability from b), f as (select *, least(rq, available, rq * probability / 100) as f from p) select o_orderkey, available, probability, case when f >= 1.0 then f else 0.0::double end as filled from f""",
     ),
-    "touch_survival": plan(lambda s, d: R.touch_survival(replay_orders(s, d), _trades(s, d), bucket=BUCKET, lookback=200), None),
+    "touch_survival": near(
+        lambda s, d: R.touch_survival(replay_orders(s, d), _trades(s, d), bucket=BUCKET, lookback=200),
+        f"""with {_MET}, m as (select o.order_index, arrival, deadline, side, limit_price, o.size, trade_id, block, trade_price, trade_size from ords o join tr on tr.market_id = o.market_id and tr.asset_id = o.asset_id and block between arrival - 200 and deadline and trade_side <> side where {_within('trade_price')}),
+            g as (select order_index, any_value(deadline) as dl, any_value(size)::double as sz, count(*) filter (where block < arrival) as hits_before, min(block) filter (where block >= arrival) as first_touch, min_by(trade_size, (block, trade_id)) filter (where block >= arrival) as ts,
+                count(*) filter (where block >= arrival and case when side = 'BUY' then trade_price < limit_price else trade_price > limit_price end) as crosses from m group by 1),
+            h as (select *, greatest(1e-6::double, hits_before / 200.0::double * (0.5::double + exp(-least(20.0::double, sz / ts::double)))) as hz from g)
+            select o.order_index, coalesce(hits_before, 0) as hits_before, first_touch, coalesce(crosses, 0) as crosses, case when first_touch is null then 0.0::double else 1 - exp(-hz * (dl - first_touch)) end as probability, case when crosses > 0 then 1.0::double else 0.0::double end as lower, case when first_touch is null then 0.0::double else 1.0::double end as upper
+            from ords o left join h on h.order_index = o.order_index""",
+        "probability",
+    ),
     "poisson_monte_carlo": plan(lambda s, d: R.poisson_paths(replay_orders(s, d).select("order_index", (F.col("order_index") % 13 / 100.0).alias("intensity"), (F.col("deadline") - F.col("arrival")).cast("double").alias("horizon"), F.lit(2.0).alias("clip"), F.col("size").cast("double").alias("size")), 250), None),
     "formula_slippage": plan(
         lambda s, d: replay_orders(s, d).select("order_index", F.greatest(F.lit(0).cast("decimal(12,10)"), F.least(F.lit(1).cast("decimal(12,10)"), F.when(F.col("side") == "BUY", F.col("limit_price") + F.lit("0.0150").cast("decimal(5,4)")).otherwise(F.col("limit_price") - F.lit("0.0150").cast("decimal(5,4)")).cast("decimal(12,10)"))).cast(PRICE).alias("expected_price")),
