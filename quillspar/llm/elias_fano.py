@@ -6,8 +6,8 @@ import numpy as np
 
 U64 = np.uint64
 _ONE = U64(1)
-#: Every so many ones the place of one is kept.
-SAMPLE = 64
+#: Words of a block, before each of which the ones and the zeros are counted.
+BLOCK = 8
 
 
 def _select(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -28,8 +28,11 @@ class EliasFano:
     Arrays may be memory-mapped; nothing is unpacked but what is asked for.
     """
 
-    def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray, samples: np.ndarray):
-        self.n, self.width, self.low, self.high, self.samples = n, width, low, high, samples
+    PARTS = ("shape", "low", "high", "ones", "zeros")
+
+    def __init__(self, shape: np.ndarray, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
+        self.n, self.width, self.top = (int(x) for x in shape)
+        self.low, self.high, self.ones, self.zeros = low, high, ones, zeros
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
@@ -42,56 +45,95 @@ class EliasFano:
             low = values & U64((1 << width) - 1)
             at = np.arange(n, dtype=U64) * U64(width)
             word, bit = (at >> U64(6)).astype(np.int64), at & U64(63)
-            np.bitwise_or.at(words, word, low << bit)
+            # at is ascending, so the parts of one word are a run
+            start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            words[word[start]] = np.bitwise_or.reduceat(low << bit, start)
             over = bit + U64(width) > U64(64)
-            np.bitwise_or.at(words, word[over] + 1, low[over] >> (U64(64) - bit[over]))
+            words[word[over] + 1] |= low[over] >> (U64(64) - bit[over])
         ones = (values >> U64(width)).astype(np.int64) + np.arange(n)
-        unary = np.zeros(((int(ones[-1]) if n else 0) // 64 + 2) * 64, bool)
+        unary = np.zeros(((int(ones[-1]) if n else 0) // (64 * BLOCK) + 1) * 64 * BLOCK, bool)
         unary[ones] = True
         high = np.packbits(unary, bitorder="little").view(U64)
-        return cls(n, width, words, high, ones[::SAMPLE].astype(np.int64))
+        before = np.concatenate([[0], np.cumsum(np.bitwise_count(high).reshape(-1, BLOCK).sum(1, dtype=np.int64))])
+        return cls(np.array([n, width, top >> width]), words, high, before, np.arange(len(before)) * 64 * BLOCK - before)
 
     def arrays(self) -> dict[str, np.ndarray]:
-        return {"shape": np.array([self.n, self.width]), "low": self.low, "high": self.high, "samples": self.samples}
+        return {"shape": np.array([self.n, self.width, self.top]), "low": self.low, "high": self.high, "ones": self.ones, "zeros": self.zeros}
 
     @classmethod
     def of(cls, arrays: dict[str, np.ndarray]) -> EliasFano:
-        n, width = arrays["shape"].tolist()
-        return cls(n, width, arrays["low"], arrays["high"], arrays["samples"])
+        return cls(*(np.asarray(arrays[k]) for k in cls.PARTS))  # plain views of what is mapped
 
-    def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        """Values at the places i."""
-        i = np.asarray(i, np.int64)
-        place = self.samples[i // SAMPLE].astype(np.int64)
-        rank = i % SAMPLE
-        at = place >> 6
-        word = self.high[at] & (~U64(0) << (place & 63).astype(U64))
+    def _place(self, i: np.ndarray, before: np.ndarray, flip: np.uint64) -> np.ndarray:
+        """Bits of the ones (or with all bits flipped the zeros) numbered i, by their counts before each block."""
+        block = np.searchsorted(before, i, "right") - 1
+        rank, at = i - before[block], block * BLOCK
+        word = self.high[at] ^ flip
         count = np.bitwise_count(word).astype(np.int64)
         open_ = np.flatnonzero(rank >= count)
         while len(open_):
             rank[open_] -= count[open_]
             at[open_] += 1
-            word[open_] = self.high[at[open_]]
+            word[open_] = self.high[at[open_]] ^ flip
             count[open_] = np.bitwise_count(word[open_])
             open_ = open_[rank[open_] >= count[open_]]
-        value = (at * 64 + _select(word, rank) - i).astype(U64) << U64(self.width)
-        if self.width:
-            bits = i.astype(U64) * U64(self.width)
-            cell, bit = (bits >> U64(6)).astype(np.int64), bits & U64(63)
-            low = self.low[cell] >> bit
-            over = np.flatnonzero(bit + U64(self.width) > U64(64))
-            low[over] |= self.low[cell[over] + 1] << (U64(64) - bit[over])
-            value |= low & U64((1 << self.width) - 1)
-        return value
+        return at * 64 + _select(word, rank)
 
-    def successor(self, begin: np.ndarray, end: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """First place in [begin, end) with a value of x or more; end where there is none."""
-        low, high = np.array(begin, np.int64), np.array(end, np.int64)
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        """Values at the places i."""
+        i = np.asarray(i, np.int64)
+        value = (self._place(i, self.ones, U64(0)) - i).astype(U64) << U64(self.width)
+        return value | self._low(i) if self.width else value
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        bits = i.astype(U64) * U64(self.width)
+        cell, bit = (bits >> U64(6)).astype(np.int64), bits & U64(63)
+        low = self.low[cell] >> bit
+        over = np.flatnonzero(bit + U64(self.width) > U64(64))
+        low[over] |= self.low[cell[over] + 1] << (U64(64) - bit[over])
+        return low & U64((1 << self.width) - 1)
+
+    def _before(self, high: np.ndarray) -> np.ndarray:
+        """How many values have smaller high bits."""
+        out = np.full(len(high), self.n, np.int64)
+        out[high <= 0] = 0
+        some = np.flatnonzero((high > 0) & (high <= self.top))
+        zero = high[some] - 1
+        out[some] = self._place(zero, self.zeros, ~U64(0)) - zero
+        return out
+
+    def _search(self, begin: np.ndarray, end: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First place in [begin, end) with a value of x or more, and the end of those that share x's high bits.
+
+        The high bits lead to the few values that share them; those are searched by their low bits.
+        """
+        part = np.minimum(x >> U64(self.width), U64(self.top + 1)).astype(np.int64)
+        low, last = np.clip(self._before(part), begin, end), np.clip(self._before(part + 1), begin, end)
+        if not self.width:
+            return low, last
+        want, high = x & U64((1 << self.width) - 1), last.copy()
         open_ = np.flatnonzero(low < high)
         while len(open_):
             middle = (low[open_] + high[open_]) >> 1
-            less = self[middle] < x[open_]
+            less = self._low(middle) < want[open_]
             low[open_[less]] = middle[less] + 1
             high[open_[~less]] = middle[~less]
             open_ = open_[low[open_] < high[open_]]
-        return low
+        return low, last
+
+    def successor(self, begin: np.ndarray, end: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """First place in [begin, end) with a value of x or more; end where there is none."""
+        return self._search(np.asarray(begin, np.int64), np.asarray(end, np.int64), np.asarray(x, U64))[0]
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """Place of x, -1 where it isn't: the successor, if it is x itself."""
+        order = np.argsort(x)  # neighbours share what they read
+        x = np.asarray(x, U64)[order]
+        none = np.zeros(len(x), np.int64)
+        place, last = self._search(none, none + self.n, x)
+        inside = np.flatnonzero(place < last)
+        if self.width:
+            inside = inside[self._low(place[inside]) == x[inside] & U64((1 << self.width) - 1)]
+        out = np.full(len(x), -1, np.int64)
+        out[order[inside]] = place[inside]
+        return out

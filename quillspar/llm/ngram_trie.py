@@ -1,20 +1,23 @@
-"""Language-model scoring with a compact n-gram trie.
-
-The corpus is counted exactly: every word and every pair, and each is a node. Two
-levels are built; longer n-grams are not counted. The trie's first level holds the words, its second the words
-that follow each. Successors of a node are a monotone run of the level, its bounds
-a monotone sequence of pointers; both are Elias-Fano coded, and a pair is looked
-up by successor search inside its context's run. Probabilities are smoothed with
-count-wise discounts and quantised to a byte.
-
-Each level is built and written in shards of the word space by the tasks that hold
-them, into the shared folder, and memory-mapped by the tasks that score; neither
-the driver nor a task ever holds the whole.
+"""Language-model scoring with a compact n-gram trie of three levels.
+
+The corpus is counted exactly: every word, every pair and every triple is a node.
+The first level holds the words' values, the second the words that follow each,
+the third the words that follow each pair. The children of a node are a run of the
+next level, kept as context and word in one ascending sequence; the values, the
+pointers to where a node's children begin and the children are Elias-Fano coded,
+and a child is found by a successor search inside its context's run. Probabilities
+are smoothed with count-wise discounts, each level's for the one below, and
+quantised to a byte, as is what a context discounts.
+
+Each level is built and written in shards of the first word's space by the tasks
+that hold them, into the shared folder, and memory-mapped by the tasks that score;
+neither the driver nor a task ever holds the whole.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,16 +32,15 @@ from .elias_fano import EliasFano
 from .shared import fresh, mounted, shared_uri, small_batches
 from .textops import U64
 
-#: Times a word, and a pair, must occur to be a node of the trie.
-NODE_COUNT = 1
-PAIR_COUNT = 1
 #: Log10 units of a byte of probability.
 STEP = 0.05
 #: Words that are counted or scored together.
-COUNT_WORDS = 3_000_000
-SCORE_WORDS = 1_000_000
+COUNT_WORDS = 1_500_000
+SCORE_WORDS = 700_000
 #: The end of a text, a token like any word and the context of a text's first.
 END = U64(0x5DEECE66D1234567)
+#: Discounts of counts 1, 2, and 3 or more of pairs and triples.
+JOINT_DISCOUNTS = (0.5, 0.75, 0.75)
 
 SCHEMA = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -68,43 +70,56 @@ def _shard(values: np.ndarray, bits: int) -> np.ndarray:
     return (values >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
 
 
-def _summed(batches: Iterator[pa.RecordBatch], key: str) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and total counts of one sorted shard."""
-    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def _summed(batches: Iterator[pa.RecordBatch], keys: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Keys and total counts of one shard sorted by its keys."""
+    found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in keys]
+    counts = [np.zeros(0, np.int64)]
     for batch in batches:
-        k, n = batch.column(batch.schema.get_field_index(key)).to_numpy(), batch.column(batch.schema.get_field_index("n")).to_numpy()
-        if not len(k):
+        k, n = [batch.column(key).to_numpy() for key in keys], batch.column("n").to_numpy()
+        if not len(n):
             continue
-        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        k, n = k[start], np.add.reduceat(n, start)
-        if len(keys[-1]) and keys[-1][-1] == k[0]:
+        start = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in k], axis=0)]))
+        k, n = [x[start] for x in k], np.add.reduceat(n, start)
+        if len(counts[-1]) and all(f[-1][-1] == x[0] for f, x in zip(found, k, strict=True)):
             counts[-1][-1] += n[0]
-            k, n = k[1:], n[1:]
-        keys.append(k)
-        counts.append(n)
-    return np.concatenate(keys), np.concatenate(counts)
+            k, n = [x[1:] for x in k], n[1:]
+        if len(n):
+            for f, x in zip(found, k, strict=True):
+                f.append(x)
+            counts.append(n)
+    return [np.concatenate(f) for f in found], np.concatenate(counts)
 
 
 def _write(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
     """Each array a file that appears whole; a repeated task writes the same again."""
     for part, array in arrays.items():
         path = f"{folder}/{name}.{part}.npy"
-        with open(f"{path}.{os.getpid()}", "wb") as file:
+        own = f"{path}.{uuid.uuid4().hex}"  # copies of a task may run at once
+        with open(own, "wb") as file:
             np.save(file, array)
-        os.replace(f"{path}.{os.getpid()}", path)
+        os.replace(own, path)
 
 
 def _mapped(folder: str, name: str, *parts: str) -> dict[str, np.ndarray]:
     return {part: np.load(f"{folder}/{name}.{part}.npy", mmap_mode="r") for part in parts}
 
 
-_SEQUENCE = ("shape", "low", "high", "samples")
+def _sequence(prefix: str, values: np.ndarray) -> dict[str, np.ndarray]:
+    return {f"{prefix}_{k}": v for k, v in EliasFano.encode(values).arrays().items()}
 
 
 def _quantised(log10: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-log10 / STEP), 0, 255).astype(np.uint8)
 
 
+def _discounted(n: np.ndarray, context: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Quantised log10 of each child's own mass (254 at most) and of what each context leaves to the level below."""
+    total = np.maximum(np.bincount(context, n, contexts), 1)
+    mass = (n - np.array([0.0, *JOINT_DISCOUNTS])[np.minimum(n, 3)]) / total[context]
+    left = np.maximum(1 - np.bincount(context, mass, contexts), 1e-6)
+    return np.minimum(_quantised(np.log10(np.maximum(mass, 1e-12))), 254), _quantised(np.log10(left))
+
+
 @dataclass
 class Trie:
     """Where the levels are, and the corpus figures that all shards share."""
@@ -114,70 +129,65 @@ class Trie:
     tokens: int
     words: int
     discounts: tuple[float, float, float]
-    pair_discounts: tuple[float, float, float]
-    node_base: list[int]  # nodes of the shards before each
+    base: list[int]  # words of the shards before each
 
-    def _level(self, shard: int, name: str, parts: tuple[str, ...]) -> dict[str, np.ndarray]:
+    def _level(self, shard: int, name: str, sequences: str, arrays: tuple[str, ...]) -> tuple:
+        """The mapped sequences and arrays of a shard's level."""
         key = (self.folder, shard, name)
         if key not in _OPEN:
             if len(_OPEN) > 4096:
                 _OPEN.clear()
-            _OPEN[key] = _mapped(self.folder, f"{name}-{shard:05d}", *parts)
+            got = _mapped(self.folder, f"{name}-{shard:05d}", *(f"{q}_{p}" for q in sequences for p in EliasFano.PARTS), *arrays)
+            _OPEN[key] = (*(EliasFano.of({p: got[f"{q}_{p}"] for p in EliasFano.PARTS}) for q in sequences), *(np.asarray(got[a]) for a in arrays))
         return _OPEN[key]
 
+    def _by_shard(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        order = np.argsort(shard, kind="stable")
+        bounds = np.searchsorted(shard[order], np.arange((1 << self.bits) + 1))
+        for s in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
+            yield s, order[bounds[s] : bounds[s + 1]]
+
     def counts(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Occurrences in the corpus of sorted word values, and their nodes (-1 without)."""
+        """Occurrences in the corpus of word values, and their nodes (-1 without)."""
         count, node = np.zeros(len(values), np.int64), np.full(len(values), -1, np.int64)
-        bounds = np.searchsorted(_shard(values, self.bits), np.arange((1 << self.bits) + 1))
-        for shard in range(1 << self.bits):
-            a, b = bounds[shard], bounds[shard + 1]
-            if a == b:
-                continue
-            level = self._level(shard, "words", ("values", "counts", "nodes"))
-            for table, out in (("values", count), ("nodes", node)):
-                known = level[table]
-                if not len(known):
-                    continue
-                at = np.minimum(np.searchsorted(known, values[a:b]), len(known) - 1)
-                hit = known[at] == values[a:b]
-                out[a:b] = np.where(hit, level["counts"][at] if table == "values" else at + self.node_base[shard], out[a:b])
+        for s, at in self._by_shard(_shard(values, self.bits)):
+            known, counts = self._level(s, "words", "v", ("counts",))
+            place = known.find(values[at])
+            hit = place >= 0
+            count[at[hit]], node[at[hit]] = counts[place[hit]], place[hit] + self.base[s]
         return count, node
 
     def unseen(self) -> float:
         """Probability of each word that the corpus does not have."""
-        return self.spare() / (self.words + 1)
-
-    def spare(self) -> float:
-        return _spare(self.folder)
+        return _spare(self.folder) / (self.words + 1)
 
     def word_probability(self, count: np.ndarray) -> np.ndarray:
         d = np.array([0.0, *self.discounts])[np.minimum(count, 3)]
         return (count - d) / max(self.tokens, 1) + self.unseen()
 
-    def pairs(self, context: np.ndarray, word: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Quantised log10 of (context, word) nodes' own mass, 255 without, and of the context's backoff."""
-        own, back = np.full(len(context), 255, np.uint8), np.zeros(len(context), np.uint8)
-        shard = _shard(value, self.bits)
-        order = np.argsort(shard, kind="stable")
-        bounds = np.searchsorted(shard[order], np.arange((1 << self.bits) + 1))
-        nodes = self.node_base[-1]
-        for s in range(1 << self.bits):
-            at = order[bounds[s] : bounds[s + 1]]
-            if not len(at):
-                continue
-            level = self._level(s, "pairs", (*(f"p_{x}" for x in _SEQUENCE), *(f"s_{x}" for x in _SEQUENCE), "mass", "backoff"))
-            key = ("trie", self.folder, s)
-            if key not in _OPEN:
-                _OPEN[key] = tuple(EliasFano.of({x: level[f"{k}_{x}"] for x in _SEQUENCE}) for k in "ps")
-            pointers, successors = _OPEN[key]
-            local = context[at] - self.node_base[s]
-            back[at] = level["backoff"][local]
-            begin, end = pointers[local].astype(np.int64), pointers[local + 1].astype(np.int64)
-            x = local.astype(U64) * U64(nodes) + word[at].astype(U64)
-            place = successors.successor(begin, end, x)
-            inside = np.flatnonzero(place < end)
-            hit = inside[successors[place[inside]] == x[inside]]
-            own[at[hit]] = level["mass"][place[hit]]
+    def pairs(self, shard: np.ndarray, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of (context, word) nodes: places in the context's shard (-1 without), quantised own mass (255 without) and the context's backoff."""
+        place, own, back = np.full(len(context), -1, np.int64), np.full(len(context), 255, np.uint8), np.zeros(len(context), np.uint8)
+        for s, at in self._by_shard(shard):
+            pointers, children, mass, backoff = self._level(s, "pairs", "pc", ("mass", "backoff"))
+            local = context[at] - self.base[s]
+            back[at] = backoff[local]
+            # the context is the upper part of a child's value: the search stays in its run
+            found = children.find(local.astype(U64) * U64(self.words) + word[at].astype(U64))
+            hit = found >= 0
+            place[at], own[at[hit]] = found, mass[found[hit]]
+        return place, own, back
+
+    def triples(self, shard: np.ndarray, pair: np.ndarray, word: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs (by shard and place) and words: quantised own mass (255 without) and the pair's backoff; only those ``there`` can have a node."""
+        own, back = np.full(len(pair), 255, np.uint8), np.zeros(len(pair), np.uint8)
+        for s, at in self._by_shard(shard):
+            pointers, children, mass, backoff = self._level(s, "triples", "pc", ("mass", "backoff"))
+            back[at] = backoff[pair[at]]
+            at = at[there[at]]
+            found = children.find(pair[at].astype(U64) * U64(self.words) + word[at].astype(U64))
+            hit = found >= 0
+            own[at[hit]] = mass[found[hit]]
         return own, back
 
 
@@ -201,18 +211,17 @@ def _count_words(bits: int):
     return run
 
 
-def _write_words(folder: str, node_count: int):
+def _write_words(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        values, n = _summed(batches, "value")
+        (values,), n = _summed(batches, ["value"])
         order = np.argsort(values.view(U64))  # signed order within a shard is that of values, but for a single shard
         values, n = values.view(U64)[order], n[order]
-        nodes = values[(n >= node_count) | (values == END)]
-        _write(folder, f"words-{shard:05d}", {"values": values, "counts": n.astype(np.uint32 if n.max(initial=0) < 2**32 else np.int64), "nodes": nodes})
+        _write(folder, f"words-{shard:05d}", _sequence("v", values) | {"counts": n.astype(np.uint32 if n.max(initial=0) < 2**32 else np.int64)})
         some = [int((n == k).sum()) for k in (1, 2, 3, 4)]
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, len(values), int(n.sum()), len(nodes), *some)], names=["shard", "words", "tokens", "nodes", "n1", "n2", "n3", "n4"])
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, len(values), int(n.sum()), *some)], names=["shard", "words", "tokens", "n1", "n2", "n3", "n4"])
 
     return run
 
@@ -233,43 +242,51 @@ def _before(codes: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.concatenate([[end], codes[:-1]])
 
 
-def _count_pairs(trie: Trie):
+def _count_joint(trie: Trie):
+    """Counts of (pair, next word); the end has no next word, which the number of words stands for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, values, _ in _tokens(batches, "text", COUNT_WORDS):
             codes, words, _, nodes = _nodes_of(trie, values)
+            size, end = len(words) + 1, np.searchsorted(words, END)
+            after = np.where(codes == end, size - 1, np.append(codes[1:], size - 1))
             before = _before(codes, words)
-            both = (nodes[codes] >= 0) & (nodes[before] >= 0)
-            pair = before[both] * len(words) + codes[both]
-            pair.sort()
-            start = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
-            n = np.diff(np.append(start, len(pair)))
-            h, w = np.divmod(pair[start], len(words))
-            yield pa.RecordBatch.from_arrays([pa.array(_shard(words[h], trie.bits).astype(np.int32)), pa.array(nodes[h] * trie.node_base[-1] + nodes[w]), pa.array(n.astype(np.int64))], names=["shard", "pair", "n"])
+            if size < 1 << 21:  # three codes fit in a word
+                key = np.sort((before * size + codes) * size + after)
+                start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                pair, w = np.divmod(key[start], size)
+                u, v = np.divmod(pair, size)
+            else:
+                order = np.lexsort((after, codes, before))
+                u, v, w = before[order], codes[order], after[order]
+                start = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
+                u, v, w = u[start], v[start], w[start]
+            n = np.diff(np.append(start, len(codes)))
+            nodes = np.append(nodes, trie.words)
+            yield pa.RecordBatch.from_arrays([pa.array(_shard(words[u], trie.bits).astype(np.int32)), pa.array(nodes[u] * trie.words + nodes[v]), pa.array(nodes[w]), pa.array(n.astype(np.int64))], names=["shard", "pair", "word", "n"])
 
     return run
 
 
-def _write_pairs(trie: Trie, pair_count: int):
+def _write_joint(trie: Trie):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        pair, n = _summed(batches, "pair")
-        all_nodes = trie.node_base[-1]
-        own = trie.node_base[shard + 1] - trie.node_base[shard]
-        context = pair // max(all_nodes, 1) - trie.node_base[shard]
-        level = _mapped(trie.folder, f"words-{shard:05d}", "values", "counts", "nodes")
-        total = np.asarray(level["counts"])[np.searchsorted(level["values"], level["nodes"])].astype(np.float64)
-        kept = n >= pair_count
-        context, pair, n = context[kept], pair[kept], n[kept]
-        d = np.array([0.0, *trie.pair_discounts])[np.minimum(n, 3)]
-        mass = (n - d) / total[context] if len(n) else np.zeros(0)
-        back = np.maximum(1 - np.bincount(context, mass, own), 1e-6)
-        pointers = EliasFano.encode(np.concatenate([[0], np.cumsum(np.bincount(context, minlength=own))]))
-        successors = EliasFano.encode(pair - trie.node_base[shard] * all_nodes)
-        arrays = {f"p_{k}": v for k, v in pointers.arrays().items()} | {f"s_{k}": v for k, v in successors.arrays().items()}
-        _write(trie.folder, f"pairs-{shard:05d}", arrays | {"mass": np.minimum(_quantised(np.log10(np.maximum(mass, 1e-12))), 254), "backoff": _quantised(np.log10(back))})
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(pair)], pa.int64())], names=["shard", "pairs"])
+        (pair, word), n = _summed(batches, ["pair", "word"])
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(pair))))
+        children = pair[first] - trie.base[shard] * trie.words
+        own, context = trie.base[shard + 1] - trie.base[shard], children // max(trie.words, 1)
+        mass, back = _discounted(np.add.reduceat(n, first) if len(n) else n, context, own)
+        pointers = np.concatenate([[0], np.cumsum(np.bincount(context, minlength=own))])
+        _write(trie.folder, f"pairs-{shard:05d}", _sequence("p", pointers) | _sequence("c", children) | {"mass": mass, "backoff": back})
+        has = word < trie.words
+        of, word, n = of[has], word[has], n[has]
+        mass, back = _discounted(n, of, len(first))
+        pointers = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(first)))])
+        _write(trie.folder, f"triples-{shard:05d}", _sequence("p", pointers) | _sequence("c", of * trie.words + word) | {"mass": mass, "backoff": back})
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, len(first), len(word))], names=["shard", "pairs", "triples"])
 
     return run
 
@@ -282,7 +299,7 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))
 
 
-def build(corpus: DataFrame, *, node_count: int = NODE_COUNT, pair_count: int = PAIR_COUNT) -> Trie:
+def build(corpus: DataFrame) -> Trie:
     """Count ``corpus`` (text; null is empty) and write the trie into the shared folder.
 
     An empty corpus gives a trie without words, under which all words are equally
@@ -295,25 +312,33 @@ def build(corpus: DataFrame, *, node_count: int = NODE_COUNT, pair_count: int =
     bits = max(0, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length() - 1)
     texts = small_batches(corpus).select(F.col("text").cast("string").alias("text"))
     words = texts.mapInArrow(_count_words(bits), "shard int, value long, n long").repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("value")
-    rows = sorted(words.mapInArrow(_write_words(folder, node_count), "shard long, words long, tokens long, nodes long, n1 long, n2 long, n3 long, n4 long").collect())  # a row for each shard
+    rows = sorted(words.mapInArrow(_write_words(folder), "shard long, words long, tokens long, n1 long, n2 long, n3 long, n4 long").collect())  # a row for each shard
     some = [sum(r[f"n{k}"] for r in rows) for k in (1, 2, 3, 4)]
-    nodes = {r["shard"]: r["nodes"] for r in rows}
+    of = {r["shard"]: r["words"] for r in rows}
     base = [0]
     for shard in range(1 << bits):
-        if shard not in nodes:  # an empty corpus runs no task
-            _write(folder, f"words-{shard:05d}", {"values": np.zeros(0, U64), "counts": np.zeros(0, np.uint32), "nodes": np.zeros(0, U64)})
-        base.append(base[-1] + nodes.get(shard, 0))
+        if shard not in of:  # an empty corpus runs no task
+            _write(folder, f"words-{shard:05d}", _sequence("v", np.zeros(0, U64)) | {"counts": np.zeros(0, np.uint32)})
+        base.append(base[-1] + of.get(shard, 0))
     discounts = _discounts(*some)
     tokens, kinds = sum(r["tokens"] for r in rows), sum(r["words"] for r in rows)
     counted = (some[0], some[1], kinds - some[0] - some[1])
     spare = sum(d * n for d, n in zip(discounts, counted, strict=True)) / tokens if tokens else 1.0
     np.save(f"{folder}/spare.npy", np.array(spare))
-    trie = Trie(folder, bits, tokens, kinds, discounts, (0.5, 0.75, 0.75), base)
-    pairs = texts.mapInArrow(_count_pairs(trie), "shard int, pair long, n long").repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("pair")
-    pairs.mapInArrow(_write_pairs(trie, pair_count), "shard long, pairs long").collect()
+    trie = Trie(folder, bits, tokens, kinds, discounts, base)
+    joint = texts.mapInArrow(_count_joint(trie), "shard int, pair long, word long, n long").repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("pair", "word")
+    joint.mapInArrow(_write_joint(trie), "shard long, pairs long, triples long").collect()
     return trie
 
 
+def _mixed(own: np.ndarray, back: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """log10 of own mass (quantised, 255 for none) and of what the context leaves to ``below``."""
+    out = below - STEP * back
+    some = np.flatnonzero(own < 255)
+    out[some] = np.log10(10.0 ** (-STEP * own[some].astype(float)) + 10.0 ** out[some])
+    return out
+
+
 def _score(trie: Trie):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, values, first in _tokens(batches, "text", SCORE_WORDS):
@@ -322,17 +347,26 @@ def _score(trie: Trie):
             base = np.log10((count + 1) / (trie.tokens + (trie.words + 1)))
             log = -STEP * _quantised(np.log10(trie.word_probability(count)))
             before = _before(codes, words)
-            each = log[codes].astype(np.float64)
-            has = np.flatnonzero(nodes[before] >= 0)
+            shards = _shard(words, trie.bits)
+            # distinct pairs of a known context: where they are, and their probability
+            which, distinct = pd.factorize(before * np.int64(len(words)) + codes)
+            h, w = np.divmod(distinct, len(words))
+            two, place = log[w].astype(np.float64), np.full(len(distinct), -1, np.int64)
+            has = np.flatnonzero(nodes[h] >= 0)
             if len(has):
-                pair = before[has] * len(words) + codes[has]
-                which, distinct = pd.factorize(pair)
-                h, w = np.divmod(distinct, len(words))
-                own, back = trie.pairs(nodes[h], np.maximum(nodes[w], 0), words[h])
-                own = np.where(nodes[w] >= 0, own, 255)
-                backed = -STEP * back + log[w]
-                mixed = np.where(own < 255, np.log10(10.0 ** (-STEP * own.astype(float)) + 10.0**backed), backed)
-                each[has] = mixed[which]
+                known = nodes[w[has]] >= 0
+                place[has], own, back = trie.pairs(shards[h[has]], nodes[h[has]], np.maximum(nodes[w[has]], 0))
+                place[has[~known]] = -1
+                two[has] = _mixed(np.where(known, own, 255), back, two[has])
+            each = two[which]
+            # a text's first word has no pair before it
+            pair = np.full(len(codes), -1, np.int64)
+            pair[1:] = place[which[:-1]]
+            pair[start] = -1
+            at = np.flatnonzero(pair >= 0)
+            if len(at):
+                own, back = trie.triples(shards[before[at - 1]], pair[at], np.maximum(nodes[codes[at]], 0), place[which[at]] >= 0)
+                each[at] = _mixed(own, back, each[at])
             known = count > 0
             yield pa.RecordBatch.from_arrays(
                 [

@@ -281,6 +281,9 @@ def test_elias_fano(values, asked):
     assert (e[np.arange(len(values))] == values).all()
     asked = np.array(asked, np.uint64)
     assert (e.successor(np.zeros(len(asked)), np.full(len(asked), len(values)), asked) == np.searchsorted(values, asked)).all()
+    asked = np.concatenate([asked, values])
+    there = np.isin(asked, values)
+    assert (e.find(asked) == np.where(there, np.searchsorted(values, asked), -1)).all()
 
 
 def test_language_model(spark, odd, none):
@@ -306,6 +309,56 @@ def test_language_model(spark, odd, none):
     assert ngram_trie.score(none, trie).count() == 0
 
 
+def dictionary_model(texts):
+    """log10 probability of a text under the model of three levels, with dictionaries and nothing quantised."""
+    END = None
+    tokens = [[*blank_words(t), END] for t in texts]
+    one = Counter(w for t in tokens for w in t)
+    two = Counter(p for t in tokens for p in zip([END, *t], t, strict=False))
+    three = Counter(p for t in tokens for p in zip([END, *t], t, t[1:], strict=False))
+    total, of = sum(one.values()), Counter(one.values())
+    first = ngram_trie._discounts(*(of[k] for k in (1, 2, 3, 4)))
+    off = lambda n, d: (0.0, *d)[min(n, 3)]
+    spare = sum(off(n, first) for n in one.values()) / total
+    sums, left, kids = (defaultdict(int) for _ in range(3))
+    for table in (two, three):
+        for key, n in table.items():
+            sums[key[:-1]] += n
+            kids[key[:-1]] += off(n, ngram_trie.JOINT_DISCOUNTS)
+    left = {c: max(kids[c] / sums[c], 1e-6) for c in sums}
+
+    def p(w, context):
+        if not context:
+            return (one[w] - off(one[w], first)) / total + spare / (len(one) + 1)
+        below = p(w, context[1:])
+        if context not in sums:
+            return below
+        n = (two if len(context) == 1 else three)[(*context, w)]
+        return (n - off(n, ngram_trie.JOINT_DISCOUNTS)) / sums[context] + left[context] * below if n else left[context] * below
+
+    def score(text):
+        t = [*blank_words(text), END]
+        return sum(math.log10(p(w, ((END,) if i == 0 else (t[i - 2] if i > 1 else END, t[i - 1])))) for i, w in enumerate(t))
+
+    return score, p, list(one)
+
+
+def test_trie_against_dictionaries(spark):
+    """Each token's probability within a step of quantisation a level; probabilities sum to one."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.8)) % 60}" for _ in range(rng.randint(0, 40))) for _ in range(120)] + ["", "w1", "only once here", "only once here"]
+    score, p, words = dictionary_model(texts)
+    for context in [(), ("w1",), ("w1", "w2"), ("only", "once"), (None,), (None, "w1"), ("never",)]:
+        mass = sum(p(w, context) for w in [*words, "unknown"])
+        assert abs(mass - 1) < 1e-9 or context == ("w1", "never")
+    trie = ngram_trie.build(spark.createDataFrame(list(enumerate(texts)), SCHEMA))
+    asked = [*texts[:40], "unknown w1 w2 unknown", "only once here", "once only", "", "w3 never w3 w1"]
+    got = {r.doc_id: r for r in ngram_trie.score(spark.createDataFrame(list(enumerate(asked)), SCHEMA), trie).collect()}
+    for i, text in enumerate(asked):
+        assert abs(got[i].score - score(text)) <= got[i].n_tokens * 3 * ngram_trie.STEP / 2 + 1e-6
+    assert abs(sum(got[i].score - score(t) for i, t in enumerate(asked))) < 0.02 * sum(r.n_tokens for r in got.values())
+
+
 def test_rare_pairs_are_nodes(spark):
     trie = ngram_trie.build(spark.createDataFrame([(i, "common words fill the rest") for i in range(20)] + [(20, "start rare1 rare2 stop"), (21, "start rare2 stop"), (22, "start rare1 stop")], SCHEMA))
     got = {r.doc_id: r.score for r in ngram_trie.score(spark.createDataFrame([(1, "fill rare1 rare2 fill"), (2, "fill rare2 rare1 fill")], SCHEMA), trie).collect()}
