@@ -7,11 +7,12 @@ in order; a key's events are sorted by the shuffle and read once.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 class Book:
@@ -124,20 +125,61 @@ def maker_queue(orders: DataFrame, flow: DataFrame) -> DataFrame:
     return orders.groupBy(*keys).cogroup(flow.groupBy(*keys)).applyInPandas(fold, "order_index long, flow_id long, qty double")
 
 
-def reconcile(decreases: DataFrame, trades: DataFrame, keys: list[str], x: str, window: int) -> DataFrame:
-    """Book decreases against trades within ``window`` of them: explained size and the rest, by key and bucket.
+def credit_fold(events: Iterable[dict], window: int) -> Iterator[dict]:
+    """Decreases of a level against trades on it, each unit of either used once: x, kind, id, size, group.
 
-    Credits are matched in totals of a key and a bucket of twice the window, so a
-    pair that falls on a border is met through the second, shifted bucket.
+    A trade takes what earlier decreases within ``window`` left open, the oldest
+    first, and is itself a credit for later ones; a decrease takes credits, the
+    oldest first, of its own group whatever their time. What a decrease has not
+    found when the window is over was cancelled, what a trade has not was not seen
+    in the book. Yields a row an event: matched and unmatched size.
     """
-    def totals(shift: int) -> DataFrame:
-        bucket = F.floor((F.col(x) + shift) / (2 * window)).alias("bucket")
-        a = decreases.groupBy(*keys, bucket).agg(F.sum("size").alias("decreased"))
-        b = trades.groupBy(*keys, bucket).agg(F.sum("size").alias("traded"))
-        return a.join(b, [*keys, "bucket"], "full_outer").select(*keys, "bucket", F.coalesce("decreased", F.lit(0.0)).alias("decreased"), F.coalesce("traded", F.lit(0.0)).alias("traded"))
-
-    both = totals(0).withColumn("shifted", F.lit(False)).unionByName(totals(window).withColumn("shifted", F.lit(True)))
-    return both.groupBy(*keys, "shifted").agg(F.sum(F.least("decreased", "traded")).alias("explained"), F.sum(F.greatest(F.lit(0.0), F.col("decreased") - F.col("traded"))).alias("cancelled"), F.sum(F.greatest(F.lit(0.0), F.col("traded") - F.col("decreased"))).alias("unexplained"))
+    credits: deque[list] = deque()  # x, left, index, group
+    pending: deque[list] = deque()
+    out: list[dict] = []
+    for e in sorted(events, key=lambda e: (e["x"], e["kind"] != "trade", e["id"])):
+        mine, other = (credits, pending) if e["kind"] == "trade" else (pending, credits)
+        left = e["size"]
+        while other and other[0][0] < e["x"] - window and not other[0][3]:
+            other.popleft()
+        for o in other:
+            if left <= 0:
+                break
+            linked = o[3] == e["group"] if o[3] and e["group"] else o[0] >= e["x"] - window
+            if o[1] <= 0 or not linked:
+                continue
+            take = min(left, o[1])
+            o[1] -= take
+            left -= take
+            out[o[2]]["matched"] += take
+        while other and other[0][1] <= 0:
+            other.popleft()
+        out.append({"id": e["id"], "kind": e["kind"], "size": e["size"], "matched": e["size"] - left})
+        if left > 0:
+            mine.append([e["x"], left, len(out) - 1, e["group"]])
+    yield from out
+
+
+def reconcile(events: DataFrame, level: Sequence[str], window: int) -> DataFrame:
+    """``credit_fold`` of each economic level: the level's keys, x, kind (trade or decrease), id, size and group (null: none).
+
+    Events of a level further apart than the window share nothing, so a level is
+    cut wherever it pauses for longer, and each run is folded by itself.
+    """
+    w = Window.partitionBy(*level).orderBy("x", "kind", "id")
+    gap = F.col("x") - F.lag("x").over(w)
+    # a group may link events at any distance: rows of groups stay with their level's first run
+    runs = events.withColumn("_cut", F.when(gap > window, 1).otherwise(0)).withColumn("_run", F.when(F.max(F.col("group").isNotNull()).over(Window.partitionBy(*level)), F.lit(0)).otherwise(F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    types = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in level)
+
+    def fold(key, rows: pd.DataFrame) -> pd.DataFrame:
+        records = rows.astype({"group": object}).where(rows.notna(), None).to_dict("records")
+        out = [dict(zip(level, key, strict=False)) | r for r in credit_fold(records, window)]
+        return pd.DataFrame(out, columns=[*level, "id", "kind", "size", "matched"])
+
+    rows = runs.select(*level, "_run", "x", "kind", "id", F.col("size").cast("double").alias("size"), "group")
+    return rows.groupBy(*level, "_run").applyInPandas(fold, f"{types}, id long, kind string, size double, matched double")
+
 
 
 def combined_fill(l2: DataFrame, tape: DataFrame) -> DataFrame:

@@ -50,28 +50,6 @@ def concurrent(intervals: DataFrame, keys: Sequence[str], start: str, end: str,
     return net.withColumn("open", F.sum("_delta").over(w)).groupBy(*keys).agg(F.max("open").alias("max_open"), F.count("*").alias("n_events"))
 
 
-def lots_pro_rata(entries: DataFrame) -> DataFrame:
-    """Cost basis by account and asset when sales draw on all open lots in proportion.
-
-    Entries: account, asset, seq, qty (signed), cost (of additions). Drawing on all
-    lots alike keeps one average cost, so the fold carries two numbers. A sale of
-    more than is held closes the position.
-    """
-
-    def fold(key, rows: pd.DataFrame) -> pd.DataFrame:
-        qty = cost = realised = 0.0
-        for r in rows.sort_values("seq").itertuples():
-            if r.qty >= 0:
-                qty, cost = qty + r.qty, cost + r.cost
-            else:
-                part = min(1.0, -r.qty / qty) if qty > 0 else 1.0
-                realised += r.cost - cost * part
-                qty, cost = max(0.0, qty + r.qty), cost * (1 - part)
-        return pd.DataFrame([(*key, qty, cost, realised)], columns=["account", "asset", "open_qty", "open_cost", "realised"])
-
-    return entries.select("account", "asset", "seq", F.col("qty").cast("double"), F.col("cost").cast("double")).groupBy("account", "asset").applyInPandas(fold, "account long, asset long, open_qty double, open_cost double, realised double")
-
-
 def threshold_strategy(bars: DataFrame, keys: Sequence[str], *, entry: float, exit_: float, stop: float, target: float, max_bars: int) -> DataFrame:
     """Trades of the entry/exit state machine over each key's bars (seq, price)."""
 

@@ -110,7 +110,6 @@ PLANS = {
         _fees,
         f"with {TAPE} select trade_id, case when trade_id % 5 = 0 then cast(0 as decimal(18,5)) else cast(floor(cast(cast(size as decimal(16,2)) * cast(0.02 as decimal(5,4)) as double) * cast(cast(cast(price as decimal(6,4)) as decimal(11,10)) * cast(1 - cast(cast(price as decimal(6,4)) as decimal(11,10)) as decimal(11,10)) as double) * 100000 + 1e-7) * 0.00001 as decimal(18,5)) end as fee from tape", "fee",
     ),
-    "lots_pro_rata": plan(lambda s, d: L.lots_pro_rata(_entries(s, d).select("account", (F.col("seq") % 3).alias("asset"), "seq", F.when(F.col("kind") == "SELL", -F.col("amount")).otherwise(F.col("amount")).alias("qty"), F.col("amount").alias("cost"))), None),
     "threshold_strategy": plan(lambda s, d: L.threshold_strategy(tape(s, d).select("asset_id", F.col("block").alias("seq"), "price"), ["asset_id"], entry=0.2, exit_=0.05, stop=0.15, target=0.2, max_bars=20), None),
     "reliability_bins": plan(lambda s, d: L.reliability(_scored(s, d), "score", "quality", 10, ["doc_id"]), f"with {_SCORED}, b as (select *, cast(ntile(10) over (order by score, doc_id) as integer) as bin from sc) select bin, count(*) as n, cast(sum(quality) as bigint) as hits, cast(sum(score) as decimal(38,8)) as score_sum from b group by 1", "score_sum"),
     "confusion_wilson": plan(

@@ -47,12 +47,6 @@ def _session_events(s, d):
     return submit.unionByName(cancel).unionByName(trade)
 
 
-def _reconcile(s, d):
-    e = table(s, d, "events")
-    rows = e.select((F.col("user_id") % 10).alias("asset_id"), F.col("event_id").alias("x"), F.floor("value").cast("double").alias("size"), "event_type")
-    return B.reconcile(rows.where("event_type = 'error'").drop("event_type"), rows.where("event_type = 'purchase'").drop("event_type"), ["asset_id"], "x", 50)
-
-
 def _residual(s, d):
     e = table(s, d, "events")
     price = (F.floor(F.col("value") % 40) + 5) / 100
@@ -96,13 +90,6 @@ PLANS = {
     "limit_replay": plan(lambda s, d: E.limit_replay(replay_orders(s, d), _trades(s, d)), None),
     "session_replay": plan(lambda s, d: E.sessions(_session_events(s, d), latency=2), None),
     "residual_book": plan(_residual, None),
-    "trade_delta_reconciliation": plan(
-        _reconcile,
-        """with r as (select user_id % 10 as asset_id, event_id as x, floor(value) as size, event_type from events), z as (select unnest([0, 50]) as shift),
-           a as (select asset_id, shift, cast(floor((x + shift) / 100) as bigint) as b, sum(size) as dec from r, z where event_type = 'error' group by 1, 2, 3), t as (select asset_id, shift, cast(floor((x + shift) / 100) as bigint) as b, sum(size) as trd from r, z where event_type = 'purchase' group by 1, 2, 3),
-           f as (select coalesce(a.asset_id, t.asset_id) as asset_id, coalesce(a.shift, t.shift) as shift, coalesce(dec, 0.0) as d, coalesce(trd, 0.0) as t from a full join t on a.asset_id = t.asset_id and a.shift = t.shift and a.b = t.b)
-           select asset_id, shift = 50 as shifted, sum(least(d, t)) as explained, sum(greatest(0.0, d - t)) as cancelled, sum(greatest(0.0, t - d)) as unexplained from f group by 1, 2""",
-    ),
     "combined_fill": plan(
         lambda s, d: B.combined_fill(table(s, d, "orders").select(F.col("o_orderkey").alias("order_index"), (F.col("o_custkey") % 30).cast("double").alias("filled"), F.lit(0.5).alias("price"), F.lit(1.0).alias("rebate")), table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("order_index")).agg(F.max("l_quantity").alias("filled"))),
         """with a as (select o_orderkey as order_index, (o_custkey % 30)::double as f from orders), b as (select l_orderkey, max(l_quantity) as g from lineitem group by 1), c as (select order_index, f, least(f, coalesce(g, 0.0)) as size from a left join b on l_orderkey = order_index)

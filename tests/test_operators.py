@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspar.functions import numeric
-from quillspar.operators import asof, book, features, intervals, ledger, prefix, replay, series, session
+from quillspar.operators import asof, book, features, intervals, ledger, prefix, replay, series, session, settlement
 
 
 def rows(df, *columns):
@@ -155,9 +155,47 @@ def test_m4_keeps_extremes(spark):
     assert len(values) <= 42 and min(values) == min(v for _, _, v in data) and max(values) == max(v for _, _, v in data)
 
 
-def test_lots_and_threshold(spark):
-    entries = spark.createDataFrame([(1, 1, 1, 10.0, 5.0), (1, 1, 2, 10.0, 15.0), (1, 1, 3, -10.0, 12.0)], "account long, asset long, seq long, qty double, cost double")
-    assert rows(ledger.lots_pro_rata(entries), "open_qty", "open_cost", "realised") == [(10.0, 10.0, 2.0)]
+def test_lots_draw_in_proportion_and_the_last_takes_the_rest(spark):
+    entries = [(1, 1, D(10), D(5)), (1, 2, D(20), D(16)), (1, 3, D(-10), D(0)), (1, 4, D(-50), D(0)), (1, 5, D(7), D(7)), (1, 6, D(-2), D(0)), (2, 1, D(-1), D(0)), (2, 2, D(3), D(1)), (2, 3, D(-1), D(0))]
+    got = settlement.lots(spark.createDataFrame(entries, "k long, seq long, qty decimal(18,4), cost decimal(18,4)"), ["k"])
+    found = {(r.k, r.seq): r for r in got.collect()}
+    third = found[1, 3]
+    # 10 of 30: 3.3333333333 of the first lot, what is left of the second
+    assert (third.sold, third.cost, third.open_qty, third.open_lots) == (10, D("1.6666666667") + D("5.3333333334"), 20, 2)
+    assert (found[1, 4].sold, found[1, 4].short, found[1, 4].open_lots, found[1, 4].open_cost) == (20, 30, 0, 0) and third.cost + found[1, 4].cost == 21
+    assert (found[1, 6].cost, found[1, 6].open_qty, found[2, 1].short, found[2, 1].sold, found[2, 3].open_qty) == (2, 5, 1, 0, 2)
+    rng = random.Random(2)
+    many = [(i, D(rng.randint(-40, 50)) / 10, D(rng.randint(1, 90)) / 10) for i in range(120)]
+    alone = list(settlement.lots_fold([{"seq": i, "qty": q, "cost": c} for i, q, c in many]))
+    split = settlement.lots(spark.createDataFrame([(1, *r) for r in many], "k long, seq long, qty decimal(18,4), cost decimal(18,4)"), ["k"]).orderBy("seq").collect()
+    names = ("seq", "sold", "cost", "short", "open_lots", "open_qty", "open_cost")
+    assert [tuple(r[n] for n in names) for r in split] == [tuple(r[n] for n in names) for r in alone]
+
+
+@pytest.mark.parametrize("grouped", [False, True])
+def test_trades_and_decreases_are_used_once(spark, grouped):
+    """Against a slow version that looks at every earlier event."""
+    rng = random.Random(8)
+    events = [{"k": rng.randrange(2), "x": rng.randrange(400), "kind": rng.choice(["trade", "decrease"]), "id": i, "size": float(rng.randint(1, 9)), "group": rng.choice([None, "a", "b"]) if grouped else None} for i in range(160)]
+    want = {}
+    for k in (0, 1):
+        seen = []
+        for e in sorted((e for e in events if e["k"] == k), key=lambda e: (e["x"], e["kind"] != "trade", e["id"])):
+            e = dict(e, left=e["size"])
+            for o in seen:
+                near = abs(e["x"] - o["x"]) <= 6
+                linked = o["group"] == e["group"] if o["group"] and e["group"] else near
+                if o["kind"] != e["kind"] and linked and min(e["left"], o["left"]) > 0:
+                    take = min(e["left"], o["left"])
+                    e["left"], o["left"] = e["left"] - take, o["left"] - take
+            seen.append(e)
+        want |= {e["id"]: e["size"] - e["left"] for e in seen}
+    rows_ = [(e["k"], e["x"], e["kind"], e["id"], e["size"], e["group"]) for e in events]
+    got = book.reconcile(spark.createDataFrame(rows_, "k long, x long, kind string, id long, size double, group string"), ["k"], 6)
+    assert {r.id: r.matched for r in got.collect()} == want and sum(want.values()) > 0
+
+
+def test_threshold(spark):
     bars = spark.createDataFrame([(1, i, p) for i, p in enumerate([0.1, 0.6, 0.7, 0.8, 0.5, 0.6, 0.4])], "k long, seq long, price double")
     got = rows(ledger.threshold_strategy(bars, ["k"], entry=0.58, exit_=0.44, stop=0.075, target=0.16, max_bars=96), "entry_seq", "exit_seq", "reason")
     assert got == [(1, 3, "target"), (5, 6, "stop")]
