@@ -37,6 +37,8 @@ GRAM = 80
 PART_BYTES = 8 << 20
 #: Runs of an anchor that one task brings together; bytes of a shard, and of shards merged at once.
 GROUP_RUNS = 4096
+#: Bytes of text that are parsed or cut at once; some twenty words are held for each.
+SLICE_BYTES = 1 << 20
 SHARD_BYTES = 128 << 10
 MERGE_BYTES = 512 << 10
 WORD = 8
@@ -85,7 +87,7 @@ class Parse:
 
 def _parts(batches: Iterator[pa.RecordBatch], column: str, length: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     """Rows with their bytes; a very long text comes alone and in parts, with where the part begins."""
-    for batch in textops.slices(batches, column):
+    for batch in textops.slices(batches, column, SLICE_BYTES):
         raw, at = textops.utf8(batch.column(batch.schema.get_field_index(column)))
         for begin in range(0, max(1, len(raw) - length + 1), PART_BYTES) if batch.num_rows == 1 else (0,):
             part = raw[begin : begin + PART_BYTES + length - 1] if batch.num_rows == 1 else raw
@@ -153,7 +155,7 @@ def _strings(length: int):
     """The string under each run, with its anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textops.slices(batches):
+        for batch in textops.slices(batches, limit=SLICE_BYTES):
             raw, at = textops.utf8(batch.column(batch.schema.get_field_index("text")))
             runs = batch.column(batch.schema.get_field_index("runs"))
             owner = np.repeat(np.arange(batch.num_rows), np.diff(runs.offsets.to_numpy()))
@@ -223,7 +225,7 @@ def _decided(length: int):
 
 def _windows(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textops.slices(batches):
+        for batch in textops.slices(batches, limit=SLICE_BYTES):
             raw, at = textops.utf8(batch.column(batch.schema.get_field_index("text")))
             parse = Parse.__new__(Parse)
             up, parse.down = textops.powers(len(raw) + 1)
@@ -257,7 +259,7 @@ def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _kept(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textops.slices(batches):
+        for batch in textops.slices(batches, limit=SLICE_BYTES):
             raw, at = textops.utf8(batch.column(batch.schema.get_field_index("text")))
             runs = batch.column(batch.schema.get_field_index("runs"))
             count = np.diff(runs.offsets.to_numpy())
