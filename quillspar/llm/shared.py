@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -12,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_uri(spark: SparkSession) -> str:
     """Where the cluster keeps what all executors must see.
 
-    Read from ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a folder of our own is made and set.
+    Read from ``spark.checkpoint.dir``; only where that is unset and the driver is
+    the one executor (tests) a folder of our own is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes see")
         found = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
