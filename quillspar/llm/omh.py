@@ -124,12 +124,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def _bucket(bounds: list[int], low: int, high: int) -> Column:
-    """Which range of ids a row is in, by binary search."""
-    if low == high:
-        return F.lit(low)
-    middle = (low + high) // 2
-    return F.when(F.col("doc_id") <= bounds[middle], _bucket(bounds, low, middle)).otherwise(_bucket(bounds, middle + 1, high))
+def _bucket(bounds: list[int]) -> Column:
+    """Which range of ids a row is in: a binary search of a literal array, whose plan doesn't grow with it."""
+    if not bounds:
+        return F.lit(0)
+    middle = "cast((a.low + a.high) div 2 as int)"
+    step = f"""if(a.low >= a.high, a, if(doc_id <= array({', '.join(f'{b}L' for b in bounds)})[{middle}],
+        named_struct('low', a.low, 'high', {middle}), named_struct('low', {middle} + 1, 'high', a.high)))"""
+    return F.expr(f"aggregate(sequence(1, {len(bounds).bit_length()}), named_struct('low', 0, 'high', {len(bounds)}), (a, i) -> {step}, a -> a.low)")
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +176,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0] or []
     bounds = sorted(set(cuts)) if parts > 1 else []
-    dealt = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(_bucket(bounds, 0, len(bounds))))
+    dealt = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(_bucket(bounds)))
     tops = sorted(dealt.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect(), reverse=True)  # one row a range
     before = [(row.top, tops[i - 1].bucket) for i, row in enumerate(tops)]
     first = spark.createDataFrame(before, "top long, before int")
