@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("tape_plans", "read_plans", "coverage_plans", "replay_plans", "finance_plans", "source_plans", "quality_plans", "report_plans", "evidence_plans", "governance_plans", "settlement_plans")
+MODULES = ("tape_plans", "read_plans", "coverage_plans", "replay_plans", "finance_plans", "source_plans", "quality_plans", "report_plans", "evidence_plans", "governance_plans", "settlement_plans", "metric_plans")
 
 
 def plans() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
