@@ -16,6 +16,7 @@ neither the driver nor a task ever holds the whole.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -34,9 +35,13 @@ from .textops import U64
 
 #: Log10 units of a byte of probability.
 STEP = 0.05
-#: Words that are counted or scored together.
-COUNT_WORDS = 1_500_000
-SCORE_WORDS = 700_000
+#: Words that are counted or scored together, and rows of counts that are handed on at once.
+COUNT_WORDS = 800_000
+SCORE_WORDS = 300_000
+COUNT_ROWS = 100_000
+#: Shards for each partition of a shuffle, as a power of two: what a task sorts and writes is that much smaller.
+SHARD_BITS = 2
+ALIGN = 64
 #: The end of a text, a token like any word and the context of a text's first.
 END = U64(0x5DEECE66D1234567)
 #: Discounts of counts 1, 2, and 3 or more of pairs and triples.
@@ -91,17 +96,28 @@ def _summed(batches: Iterator[pa.RecordBatch], keys: list[str]) -> tuple[list[np
 
 
 def _write(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
-    """Each array a file that appears whole; a repeated task writes the same again."""
+    """Arrays as one file that appears whole; a repeated task writes the same again."""
+    spec, at = {}, 0
     for part, array in arrays.items():
-        path = f"{folder}/{name}.{part}.npy"
-        own = f"{path}.{uuid.uuid4().hex}"  # copies of a task may run at once
-        with open(own, "wb") as file:
-            np.save(file, array)
-        os.replace(own, path)
-
-
-def _mapped(folder: str, name: str, *parts: str) -> dict[str, np.ndarray]:
-    return {part: np.load(f"{folder}/{name}.{part}.npy", mmap_mode="r") for part in parts}
+        spec[part] = (array.dtype.str, at, len(array))
+        at += -(-array.nbytes // ALIGN) * ALIGN
+    head = json.dumps(spec).encode()
+    head += b" " * (-(len(head) + 8) % ALIGN)
+    own = f"{folder}/{name}.{uuid.uuid4().hex}"  # copies of a task may run at once
+    with open(own, "wb") as file:
+        file.write(len(head).to_bytes(8, "little") + head)
+        for array in arrays.values():
+            file.write(np.ascontiguousarray(array).data)
+            file.write(b" " * (-array.nbytes % ALIGN))
+    os.replace(own, f"{folder}/{name}")
+
+
+def _mapped(folder: str, name: str) -> dict[str, np.ndarray]:
+    """The arrays of a file, as views of one mapping."""
+    raw = np.asarray(np.memmap(f"{folder}/{name}", np.uint8, "r"))
+    begin = 8 + int.from_bytes(raw[:8].tobytes(), "little")
+    spec = json.loads(raw[8:begin].tobytes())
+    return {part: raw[begin + at : begin + at + n * np.dtype(kind).itemsize].view(kind) for part, (kind, at, n) in spec.items()}
 
 
 def _sequence(prefix: str, values: np.ndarray) -> dict[str, np.ndarray]:
@@ -135,10 +151,10 @@ class Trie:
         """The mapped sequences and arrays of a shard's level."""
         key = (self.folder, shard, name)
         if key not in _OPEN:
-            if len(_OPEN) > 4096:
+            if len(_OPEN) > 30_000:  # mappings that a process may have
                 _OPEN.clear()
-            got = _mapped(self.folder, f"{name}-{shard:05d}", *(f"{q}_{p}" for q in sequences for p in EliasFano.PARTS), *arrays)
-            _OPEN[key] = (*(EliasFano.of({p: got[f"{q}_{p}"] for p in EliasFano.PARTS}) for q in sequences), *(np.asarray(got[a]) for a in arrays))
+            got = _mapped(self.folder, f"{name}-{shard:05d}")
+            _OPEN[key] = (*(EliasFano.of({p: got[f"{q}_{p}"] for p in EliasFano.PARTS}) for q in sequences), *(got[a] for a in arrays))
         return _OPEN[key]
 
     def _by_shard(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -197,16 +213,21 @@ _OPEN: dict = {}
 def _spare(folder: str) -> float:
     key = (folder, "spare")
     if key not in _OPEN:
-        _OPEN[key] = float(np.load(f"{folder}/spare.npy"))
+        _OPEN[key] = float(_mapped(folder, "spare")["spare"][0])
     return _OPEN[key]
 
 
+def _handed(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(columns[0]), COUNT_ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + COUNT_ROWS]) for c in columns], names=names)
+
+
 def _count_words(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, values, _ in _tokens(batches, "text", COUNT_WORDS):
             codes, words = pd.factorize(values)
             n = np.bincount(codes, minlength=len(words))
-            yield pa.RecordBatch.from_arrays([pa.array(_shard(words, bits).astype(np.int32)), pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], names=["shard", "value", "n"])
+            yield from _handed([_shard(words, bits).astype(np.int32), words.view(np.int64), n.astype(np.int64)], ["shard", "value", "n"])
 
     return run
 
@@ -263,7 +284,7 @@ def _count_joint(trie: Trie):
                 u, v, w = u[start], v[start], w[start]
             n = np.diff(np.append(start, len(codes)))
             nodes = np.append(nodes, trie.words)
-            yield pa.RecordBatch.from_arrays([pa.array(_shard(words[u], trie.bits).astype(np.int32)), pa.array(nodes[u] * trie.words + nodes[v]), pa.array(nodes[w]), pa.array(n.astype(np.int64))], names=["shard", "pair", "word", "n"])
+            yield from _handed([_shard(words[u], trie.bits).astype(np.int32), nodes[u] * trie.words + nodes[v], nodes[w], n.astype(np.int64)], ["shard", "pair", "word", "n"])
 
     return run
 
@@ -309,7 +330,7 @@ def build(corpus: DataFrame) -> Trie:
     shared_uri(spark)
     folder = mounted(fresh(spark, "trie"))
     os.makedirs(folder)
-    bits = max(0, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length() - 1)
+    bits = max(0, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length() - 1) + SHARD_BITS
     texts = small_batches(corpus).select(F.col("text").cast("string").alias("text"))
     words = texts.mapInArrow(_count_words(bits), "shard int, value long, n long").repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("value")
     rows = sorted(words.mapInArrow(_write_words(folder), "shard long, words long, tokens long, n1 long, n2 long, n3 long, n4 long").collect())  # a row for each shard
@@ -324,7 +345,7 @@ def build(corpus: DataFrame) -> Trie:
     tokens, kinds = sum(r["tokens"] for r in rows), sum(r["words"] for r in rows)
     counted = (some[0], some[1], kinds - some[0] - some[1])
     spare = sum(d * n for d, n in zip(discounts, counted, strict=True)) / tokens if tokens else 1.0
-    np.save(f"{folder}/spare.npy", np.array(spare))
+    _write(folder, "spare", {"spare": np.array([spare])})
     trie = Trie(folder, bits, tokens, kinds, discounts, base)
     joint = texts.mapInArrow(_count_joint(trie), "shard int, pair long, word long, n long").repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("pair", "word")
     joint.mapInArrow(_write_joint(trie), "shard long, pairs long, triples long").collect()
