@@ -77,10 +77,13 @@ def _source_confirmed(s, d):
     return V.source_confirmed(o, _trades(s, d), rate=RATE, buffer=BUFFER)
 
 
-_TOKEN = {
-    "asset_id": F.when(F.col("p_partkey") % 17 != 0, F.col("p_partkey")), "market_id": F.when(F.col("p_partkey") % 19 != 0, F.col("p_partkey") % 50), "condition_id": F.when(F.col("p_partkey") % 19 != 0, F.col("p_partkey") % 50), "placeholder": F.col("p_partkey") % 23 == 0,
-    "tokens": F.when(F.col("p_partkey") % 29 == 0, 1).otherwise(2), "active": F.col("p_partkey") % 7 != 0, "closed": F.col("p_partkey") % 11 == 0, "resolved": F.col("p_partkey") % 13 == 0, "archived": F.col("p_partkey") % 31 == 0,
-}
+def _token():
+    return {
+        "asset_id": F.when(F.col("p_partkey") % 17 != 0, F.col("p_partkey")), "market_id": F.when(F.col("p_partkey") % 19 != 0, F.col("p_partkey") % 50), "condition_id": F.when(F.col("p_partkey") % 19 != 0, F.col("p_partkey") % 50), "placeholder": F.col("p_partkey") % 23 == 0,
+        "tokens": F.when(F.col("p_partkey") % 29 == 0, 1).otherwise(2), "active": F.col("p_partkey") % 7 != 0, "closed": F.col("p_partkey") % 11 == 0, "resolved": F.col("p_partkey") % 13 == 0, "archived": F.col("p_partkey") % 31 == 0,
+    }
+
+
 _STATUSES = ["ready", "live", "one_sided", "empty", "stale", "gap", "disconnected", "no_clob_book", "probe_error", "odd", ""]
 
 
@@ -88,7 +91,7 @@ def _lifecycle(s, d):
     p = table(s, d, "part")
     status = F.element_at(F.array(*map(F.lit, _STATUSES)), (F.col("p_partkey") % 11 + 1).cast("int"))
     bid = F.when(F.col("p_size") % 5 != 0, F.lit(0.4))
-    rows = p.withColumn("blockers", I.metadata_blockers(_TOKEN)).withColumn("blocker", I.book_blocker(status, F.when(F.col("p_size") % 8 != 0, F.col("p_size").cast("long") * 30000), bid, bid))
+    rows = p.withColumn("blockers", I.metadata_blockers(_token())).withColumn("blocker", I.book_blocker(status, F.when(F.col("p_size") % 8 != 0, F.col("p_size").cast("long") * 30000), bid, bid))
     return rows.select("p_partkey", "blockers", F.when(F.col("blockers") == "", F.col("blocker")).alias("blocker"), I.lifecycle(F.col("blockers"), F.col("blocker")).alias("state"))
 
 
