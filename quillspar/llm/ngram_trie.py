@@ -35,7 +35,8 @@ from .textops import U64
 
 #: Log10 units of a byte of probability.
 STEP = 0.05
-#: Words that are counted or scored together, and rows of counts that are handed on at once.
+#: Words that are counted (alone, in triples) or scored together, and rows of counts that are handed on at once.
+WORD_WORDS = 2_500_000
 COUNT_WORDS = 800_000
 SCORE_WORDS = 300_000
 COUNT_ROWS = 100_000
@@ -224,7 +225,7 @@ def _handed(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBa
 
 def _count_words(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, values, _ in _tokens(batches, "text", COUNT_WORDS):
+        for _, values, _ in _tokens(batches, "text", WORD_WORDS):
             codes, words = pd.factorize(values)
             n = np.bincount(codes, minlength=len(words))
             yield from _handed([_shard(words, bits).astype(np.int32), words.view(np.int64), n.astype(np.int64)], ["shard", "value", "n"])
