@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import first_match
-from ..functions.numeric import q10
 from .replay import IMMEDIATE, execution_price, shared_fills, within_limit
 
 
@@ -102,21 +101,24 @@ def profile_evidence(orders: DataFrame, trades: DataFrame, *, bucket: int, block
     tape = trades.select("market_id", "asset_id", F.col("side").alias("trade_side"), "trade_id", "block", "logs", F.col("price").alias("trade_price"), F.col("size").alias("trade_size"), F.floor(F.col("block") / bucket).alias("_bucket"))
     met = laid.join(tape, ["market_id", "asset_id", "_bucket"]).where((F.col("block") >= low) & (F.col("block") <= high))
     met = met.withColumn("_source", is_source(F.col("trade_id"), F.col("logs"), F.col("source_trade_id"), F.col("source_logs"))).withColumn("_limit_ok", within_limit(F.col("side"), F.col("trade_price"), F.col("limit_price")))
+    # place in the tape as one number: a struct would make the aggregation sort
+    met = met.withColumn("_at", (F.col("block").cast("decimal(18,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)")).cast("decimal(38,0)") + F.col("trade_id").cast("decimal(19,0)"))
     wide, none = "decimal(38,10)", F.lit(0).cast("decimal(38,10)")
+    buffers = sorted({p.buffer for p in profiles})
+    for j, buffer in enumerate(buffers):
+        met = met.withColumn(f"_ok{j}", F.col("_limit_ok") & within_limit(F.col("side"), execution_price(F.col("side"), F.col("trade_price"), buffer), F.col("limit_price")))
     sums: list[Column] = []
     for i, p in enumerate(profiles):
-        arrival = F.col("signal_block") + _blocks(p.latency_seconds, block_seconds)
-        may = F.lit(True) if p.any_side else F.col("trade_side") == F.col("side")
-        may = may & ~F.col("_source") if p.exclude_source else may
-        before = may & (F.col("block") < arrival)
-        if p.quote_ttl_seconds is not None:
-            before = before & (F.col("block") >= arrival - _blocks(p.quote_ttl_seconds, block_seconds))
-        price = execution_price(F.col("side"), F.col("trade_price"), p.buffer)
-        after = may & (F.col("block") >= arrival) & (F.col("block") <= arrival + _blocks(p.horizon_seconds, block_seconds)) & F.col("_limit_ok") & within_limit(F.col("side"), price, F.col("limit_price"))
+        # as text: some hundred terms, which are parsed at once
+        arrival = f"signal_block + {_blocks(p.latency_seconds, block_seconds)}"
+        may = " and ".join([*([] if p.any_side else ["trade_side = side"]), *(["not _source"] if p.exclude_source else [])]) or "true"
+        since = "" if p.quote_ttl_seconds is None else f" and block >= {arrival} - {_blocks(p.quote_ttl_seconds, block_seconds)}"
+        before = f"{may} and block < {arrival}{since}"
+        after = f"{may} and block >= {arrival} and block <= {arrival} + {_blocks(p.horizon_seconds, block_seconds)} and _ok{buffers.index(p.buffer)}"
+        sums += [F.expr(f"max_by(trade_price, _at) filter (where {before})").alias(f"quote{i}")] if p.need_quote else []
         sums += [
-            F.max_by(F.when(before, F.col("trade_price")), F.when(before, F.struct("block", "trade_id"))).alias(f"quote{i}"), F.count_if(before & F.col("_limit_ok")).alias(f"back_n{i}"),
-            F.sum(F.when(before & F.col("_limit_ok"), F.col("trade_size"))).cast(wide).alias(f"back_v{i}"), F.count_if(after).alias(f"on_n{i}"), F.sum(F.when(after, F.col("trade_size"))).cast(wide).alias(f"on_v{i}"),
-            F.sum(F.when(after, q10(F.col("trade_size") * F.lit(p.rate).cast("decimal(6,4)")))).cast(wide).alias(f"cap{i}"),
+            F.expr(f"count(*) filter (where {before} and _limit_ok)").alias(f"back_n{i}"), F.expr(f"cast(sum(trade_size) filter (where {before} and _limit_ok) as {wide})").alias(f"back_v{i}"), F.expr(f"count(*) filter (where {after})").alias(f"on_n{i}"),
+            F.expr(f"cast(sum(trade_size) filter (where {after}) as {wide})").alias(f"on_v{i}"), F.expr(f"cast(sum(cast(trade_size * cast('{p.rate}' as decimal(6,4)) as {wide})) filter (where {after}) as {wide})").alias(f"cap{i}"),
         ]
     rows = orders.join(met.groupBy(F.col("order_index").alias("_order")).agg(*sums), F.col("order_index") == F.col("_order"), "left")
     size = F.col("size").cast(wide)
@@ -125,9 +127,10 @@ def profile_evidence(orders: DataFrame, trades: DataFrame, *, bucket: int, block
         nil = lambda c: F.coalesce(F.col(c), none)
         count = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
         may = size if max_fill is None else F.least(size, F.lit(max_fill).cast(wide))
+        quote = F.col(f"quote{i}") if p.need_quote else F.col("limit_price")
         reason = first_match(
             [
-                (F.lit(p.need_quote) & F.col(f"quote{i}").isNull(), "missing_pre_arrival_trade_quote_proxy"), (F.lit(p.need_quote) & ~within_limit(F.col("side"), F.col(f"quote{i}"), F.col("limit_price")), "pre_arrival_trade_quote_outside_limit"),
+                (quote.isNull(), "missing_pre_arrival_trade_quote_proxy"), (~within_limit(F.col("side"), quote, F.col("limit_price")), "pre_arrival_trade_quote_outside_limit"),
                 (count(f"back_n{i}") < p.min_trailing, "insufficient_trailing_same_side_trade_count"), (nil(f"back_v{i}") < (size * F.lit(p.trailing_multiple).cast("decimal(2,1)")).cast(wide), "insufficient_trailing_same_side_volume"),
                 (count(f"on_n{i}") < p.min_future, "insufficient_future_eligible_trade_count"), (nil(f"on_v{i}") < 0, "insufficient_future_eligible_volume"), (may <= 0, "fill_evidence_order_capacity_zero"),
             ]
