@@ -95,12 +95,15 @@ def missed_opportunity(orders: DataFrame, points: DataFrame, keys: Sequence[str]
     )
 
 
-def relevance(rows: DataFrame, query: str, *, slug: str, title: str, weight: Sequence[Column]) -> DataFrame:
-    """Rows with ``relevance``, ordered: the same slug, the same title, a slug or a title that has the text, the rest; heavier first, nulls last."""
+def relevance(rows: DataFrame, query: str, *, slug: str, title: str, weight: Sequence[Column], ties: Sequence[str]) -> DataFrame:
+    """Rows with ``relevance``, ordered: the same slug, the same title, a slug or a title that has the text, the rest; heavier first, nulls last.
+
+    Rows of one title and weight come in the order of ``ties``, a key of the rows.
+    """
     text = query.strip().lower()
     s, t = F.lower(slug), F.lower(title)
     place = F.when(s == text, 0).when(t == text, 1).when(F.contains(s, F.lit(text)), 2).when(F.contains(t, F.lit(text)), 3).otherwise(9)
-    return rows.withColumn("relevance", place).orderBy("relevance", *[w.desc_nulls_last() for w in weight], F.col(title).asc_nulls_last())
+    return rows.withColumn("relevance", place).orderBy("relevance", *[w.desc_nulls_last() for w in weight], F.col(title).asc_nulls_last(), *[F.asc_nulls_last(c) for c in ties])
 
 
 def calibration_samples(orders: DataFrame, events: DataFrame, *, include_open: bool = False) -> DataFrame:

@@ -290,7 +290,7 @@ PLANS = {
     ),
     "missed_opportunity": plan(_missed, f"with {_MISSED}", "reference_price missed_move missed_notional"),
     "relevance_order": plan(
-        lambda s, d: P.relevance(table(s, d, "part"), "Red Widget", slug="p_type", title="p_name", weight=[F.when(F.col("p_partkey") % 3 != 0, F.col("p_size"))]).limit(40).select("p_partkey", "relevance"),
+        lambda s, d: P.relevance(table(s, d, "part"), "Red Widget", slug="p_type", title="p_name", weight=[F.when(F.col("p_partkey") % 3 != 0, F.col("p_size"))], ties=["p_partkey"]).limit(40).select("p_partkey", "relevance"),
         "select p_partkey, relevance from (select *, cast(case when lower(p_type) = 'red widget' then 0 when lower(p_name) = 'red widget' then 1 when contains(lower(p_type), 'red widget') then 2 when contains(lower(p_name), 'red widget') then 3 else 9 end as integer) as relevance, case when p_partkey % 3 <> 0 then p_size end as w from part) order by relevance, w desc nulls last, p_name, p_partkey limit 40",
     ),
     "calibration_samples": plan(_samples, f"with {SAMPLES_SQL} select * from cs", "simulated_price simulated_size live_price live_size"),

@@ -371,3 +371,11 @@ def test_poisson_query_simulates_250_paths(spark, monkeypatch):
     monkeypatch.setattr(replay_plans.R, "poisson_paths", lambda orders, paths: seen.append(paths) or simulate(orders, paths))
     assert "poisson_monte_carlo" in replay_plans.PLANS and replay_plans.PLANS["poisson_monte_carlo"][0](spark, "/root/testdata/sf0.001").count() > 0
     assert seen == [250]
+
+
+def test_relevance_settles_ties_by_key(spark):
+    from quillspar.operators import reports
+
+    parts = spark.createDataFrame([(i, "t", "same", 1) for i in random.Random(4).sample(range(60), 60)], "id long, slug string, title string, w int").repartition(7)
+    got = reports.relevance(parts, "x", slug="slug", title="title", weight=[F.col("w")], ties=["id"]).limit(20)
+    assert [r.id for r in got.collect()] == list(range(20))
