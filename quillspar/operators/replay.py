@@ -277,7 +277,10 @@ def poisson_paths(orders: DataFrame, paths: int) -> DataFrame:
 
 
 def touch_survival(orders: DataFrame, trades: DataFrame, *, bucket: int, lookback: int) -> DataFrame:
-    """Bounds and a hazard estimate of a passive fill after its price is first touched."""
+    """Bounds and a hazard estimate of a passive fill after its price is first touched.
+
+    A first touch of no size counts as one that the order outweighs by far.
+    """
     before = orders.select("order_index", "market_id", "asset_id", "side", "limit_price", "size", "tif", F.col("arrival").alias("_arrival"), F.col("deadline").alias("_deadline"), (F.col("arrival") - lookback).alias("arrival"), "deadline")
     met = candidates(before, trades, bucket=bucket, opposite=True)
     past, now = F.col("block") < F.col("_arrival"), F.col("block") >= F.col("_arrival")
@@ -286,7 +289,7 @@ def touch_survival(orders: DataFrame, trades: DataFrame, *, bucket: int, lookbac
         F.count_if(past).alias("hits_before"), F.min(F.when(now, F.col("block"))).alias("first_touch"), F.min_by(F.when(now, F.col("trade_size")), F.when(now, F.struct("block", "trade_id"))).alias("_touch_size"), F.count_if(now & cross).alias("crosses")
     )
     rate = F.col("hits_before") / F.lit(float(lookback))
-    hazard = F.greatest(F.lit(1e-6), rate * (0.5 + F.exp(-F.least(F.lit(20.0), (F.col("size").cast("double") / F.col("_touch_size").cast("double"))))))
+    hazard = F.greatest(F.lit(1e-6), rate * (0.5 + F.exp(-F.least(F.lit(20.0), F.try_divide(F.col("size").cast("double"), F.col("_touch_size").cast("double"))))))
     p = F.when(F.col("first_touch").isNull(), 0.0).otherwise(1 - F.exp(-hazard * (F.col("_deadline") - F.col("first_touch"))))
     rows = got.select("order_index", "hits_before", "first_touch", "crosses", p.alias("probability"), F.when(F.col("crosses") > 0, 1.0).otherwise(0.0).alias("lower"), F.when(F.col("first_touch").isNull(), 0.0).otherwise(1.0).alias("upper"))
     return orders.select("order_index").join(rows, "order_index", "left").na.fill({"hits_before": 0, "crosses": 0, "probability": 0.0, "lower": 0.0, "upper": 0.0})

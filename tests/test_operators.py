@@ -1,5 +1,6 @@
 """Operators against hand-worked cases and brute force."""
 
+import math
 import random
 from decimal import Decimal as D
 
@@ -379,3 +380,13 @@ def test_relevance_settles_ties_by_key(spark):
     parts = spark.createDataFrame([(i, "t", "same", 1) for i in random.Random(4).sample(range(60), 60)], "id long, slug string, title string, w int").repartition(7)
     got = reports.relevance(parts, "x", slug="slug", title="title", weight=[F.col("w")], ties=["id"]).limit(20)
     assert [r.id for r in got.collect()] == list(range(20))
+
+
+def test_touch_of_no_size(spark):
+    """A first touch of no size is no error; the order outweighs it as far as any."""
+    orders = spark.createDataFrame([(1, 1, 1, "BUY", D("0.5"), D(4), 10, 20, "GTC")], "order_index long, market_id int, asset_id int, side string, limit_price decimal(11,10), size decimal(26,10), arrival long, deadline long, tif string")
+    trades = [(1, 1, 1, "SELL", D("0.4"), D(2), 5), (2, 1, 1, "SELL", D("0.4"), D(0), 12)]
+    made = spark.createDataFrame(trades, "trade_id long, market_id int, asset_id int, side string, price decimal(11,10), size decimal(26,10), block long")
+    (got,) = replay.touch_survival(orders, made, bucket=7, lookback=10).collect()
+    assert (got.hits_before, got.first_touch, got.crosses) == (1, 12, 1)
+    assert abs(got.probability - (1 - math.exp(-0.1 * (0.5 + math.exp(-20)) * 8))) < 1e-12
