@@ -171,10 +171,10 @@ def _describe(gram: int, percent: int):
         for batch in textops.slices(batches, rows=4000):
             values, first = shingles(batch.column(1), gram)
             n, keys = np.diff(first), set_keys(values, first)
-            # a copy in the same task enters no region again
-            fresh = np.zeros(len(n), bool)
+            # a copy in the same task enters no region again; a row without id stands for none
+            fresh, named = np.zeros(len(n), bool), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             for i, k in enumerate(keys.tolist()):
-                if n[i] and k not in seen:
+                if n[i] and named[i] and k not in seen:
                     fresh[i] = True
                     seen.add(k)
             if len(seen) > 500_000:

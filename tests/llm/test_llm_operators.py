@@ -627,6 +627,32 @@ def test_jaccard_odd(spark, odd, none):
     assert jaccard.jaccard_components(none).count() == 0 and jaccard.one_of_each(none).count() == 0
 
 
+def test_a_row_without_id_hides_no_links(spark):
+    """The first of equal texts has no id: the others still enter the regions of their set."""
+    words = [f"w{i}" for i in range(60)]
+    near, far = " ".join([*words[:-1], "z"]), " ".join(f"v{i}" for i in range(30))
+    docs = spark.createDataFrame([(None, " ".join(words)), (None, near), (3, " ".join(words)), (5, near), (7, far)], SCHEMA).coalesce(1)
+    assert {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(docs).collect()} == {(None, None), (3, 3), (5, 3), (7, 7)}
+
+
+def test_linked_sets_share_a_region():
+    """Random pairs up to the threshold, small and large and around powers of two."""
+    rng = np.random.default_rng(5)
+    sets, linked = [], []
+    for _ in range(1500):
+        base = rng.integers(0, 1 << jaccard.BITS, max(6, int(rng.choice([rng.integers(6, 40), rng.integers(6, 400), (1 << rng.integers(3, 9)) + rng.integers(-2, 3)]))), dtype=np.uint64)
+        most = jaccard.allowed(len(base))
+        other = np.concatenate([rng.permutation(base)[rng.integers(0, most + 1) :], rng.integers(0, 1 << jaccard.BITS, rng.integers(0, most + 1), dtype=np.uint64)])
+        if 0 < 100 * len(np.intersect1d(base, other)) >= 85 * len(np.union1d(base, other)) > 85 * len(np.intersect1d(base, other)):
+            linked.append(len(sets))
+            sets += [np.sort(base), np.sort(other)]
+    text, region = jaccard.regions(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    own = defaultdict(set)
+    for t, r in zip(text.tolist(), region.tolist(), strict=True):
+        own[t].add(r)
+    assert len(linked) > 500 and all(own[i] & own[i + 1] for i in linked)
+
+
 def test_components_of_a_chain(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 100), (7, 3)]
     df = spark.createDataFrame(links, "a long, b long")
