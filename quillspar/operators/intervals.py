@@ -55,8 +55,12 @@ def per_bucket(df: DataFrame, keys: Sequence[str], width: int, start: str = "sta
 
 
 def paired(markers: DataFrame, keys: Sequence[str], time: str, opens: Column, closes: Column, window_end: Column) -> DataFrame:
-    """Opening markers with the next closing one of the key, or the window's end."""
-    ahead = Window.partitionBy(*keys).orderBy(time).rowsBetween(1, Window.unboundedFollowing)
-    close = F.first(F.when(closes, F.col(time)), ignorenulls=True).over(ahead)
+    """Opening markers with the next closing one of the key, or the window's end.
+
+    Rows are read from the end: a frame that grows is carried along, one that
+    shrinks would be gone through again for every row.
+    """
+    ahead = Window.partitionBy(*keys).orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, -1)
+    close = F.last(F.when(closes, F.col(time)), ignorenulls=True).over(ahead)
     rows = markers.withColumn("_close", close).where(opens)
     return rows.select(*keys, F.col(time).alias("start"), F.coalesce("_close", window_end).alias("end"), F.col("_close").isNotNull().alias("recovered"))

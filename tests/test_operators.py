@@ -390,3 +390,13 @@ def test_touch_of_no_size(spark):
     (got,) = replay.touch_survival(orders, made, bucket=7, lookback=10).collect()
     assert (got.hits_before, got.first_touch, got.crosses) == (1, 12, 1)
     assert abs(got.probability - (1 - math.exp(-0.1 * (0.5 + math.exp(-20)) * 8))) < 1e-12
+
+
+def test_gaps_are_paired_in_one_pass(spark):
+    """Against a slow version; a frame that shrinks would be gone through again for every row."""
+    rng = random.Random(6)
+    marks = [(rng.randrange(3), t, rng.choice(["open", "close"])) for t in range(200)]
+    got = intervals.paired(spark.createDataFrame(marks, "k int, t int, kind string"), ["k"], "t", F.col("kind") == "open", F.col("kind") == "close", F.lit(999))
+    later = lambda k, t: min((x for q, x, kind in marks if q == k and x > t and kind == "close"), default=None)
+    assert rows(got, "k", "start", "end", "recovered") == sorted((k, t, 999 if later(k, t) is None else later(k, t), later(k, t) is not None) for k, t, kind in marks if kind == "open")
+    assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
