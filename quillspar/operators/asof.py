@@ -1,7 +1,8 @@
 """As-of joins without a range join: one shuffle on the key and one sort.
 
-Both sides are stacked, ordered by time in each key, and the last (or next) right
-row is carried along. A hot key would be one partition of that window, so its time
+Both sides are stacked, ordered by time in each key (from the end if forward), and
+the last right row is carried along: a frame that shrinks instead of growing would
+be gone through again for every row. A hot key would be one partition of that window, so its time
 may be cut in blocks (``block``): what is carried into a block comes from the
 blocks before it, of which there is one row each.
 """
@@ -32,19 +33,17 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, valu
     # at equal times: backward takes right rows first, strict takes them last
     last = (0 if forward else 1) if not strict else (1 if forward else 0)
     place = F.when(F.col("_left") == 1, last).otherwise(1 - last)
-    order = [F.asc("_at"), place.asc(), *[F.asc(f"_tie_{t}") for t in tie]]
+    along = F.desc if forward else F.asc
+    order = [along("_at"), along(place), *[along(f"_tie_{t}") for t in tie]]
     rows = a.unionByName(b).withColumn("_block", F.lit(0) if block is None else block(F.col("_at")))
-    w = Window.partitionBy(*keys, "_block").orderBy(*order)
-    w = w.rowsBetween(0, Window.unboundedFollowing) if forward else w.rowsBetween(Window.unboundedPreceding, 0)
-    pick = F.first if forward else F.last
-    out = rows.withColumn("_got", pick("_hit", ignorenulls=True).over(w)).where("_left = 1")
+    w = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("_got", F.last("_hit", ignorenulls=True).over(w)).where("_left = 1")
     if block is not None:
         version = F.struct("_at", *[f"_tie_{t}" for t in tie])
         best = (F.min_by if forward else F.max_by)("_hit", F.when(F.col("_left") == 0, version))
         blocks = rows.groupBy(*keys, "_block").agg(best.alias("_best"))
-        ahead = Window.partitionBy(*keys).orderBy("_block")
-        ahead = ahead.rowsBetween(1, Window.unboundedFollowing) if forward else ahead.rowsBetween(Window.unboundedPreceding, -1)
-        carried = blocks.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_block").alias("_b"), pick("_best", ignorenulls=True).over(ahead).alias("_carried"))
+        ahead = Window.partitionBy(*keys).orderBy(along("_block")).rowsBetween(Window.unboundedPreceding, -1)
+        carried = blocks.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_block").alias("_b"), F.last("_best", ignorenulls=True).over(ahead).alias("_carried"))
         same = F.col("_block") == F.col("_b")
         for k in keys:
             same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))

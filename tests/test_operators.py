@@ -400,3 +400,10 @@ def test_gaps_are_paired_in_one_pass(spark):
     later = lambda k, t: min((x for q, x, kind in marks if q == k and x > t and kind == "close"), default=None)
     assert rows(got, "k", "start", "end", "recovered") == sorted((k, t, 999 if later(k, t) is None else later(k, t), later(k, t) is not None) for k, t, kind in marks if kind == "open")
     assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+@pytest.mark.parametrize("block", [None, lambda t: F.floor(t / 7)])
+def test_asof_ahead_is_one_pass(spark, block):
+    a, b = spark.createDataFrame([(1, 2)], "k int, t int"), spark.createDataFrame([(1, 3, 4), (1, 9, 5)], "k int, t int, v int")
+    got = asof.asof(a, b, ["k"], "t", ["v"], forward=True, strict=True, block=block)
+    assert [r.v for r in got.collect()] == [4] and "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
