@@ -3,6 +3,7 @@
 import math
 import random
 from decimal import Decimal as D
+from decimal import localcontext
 
 import pytest
 from pyspark.sql import functions as F
@@ -424,3 +425,28 @@ def test_runs_of_a_level_are_no_groups_of_their_own(spark):
         own = [{"x": i * 100 if i < 2000 else i, "kind": "trade" if i % 4 < 2 else "decrease", "id": i, "size": 2.0, "group": None} for i in range(k, 3000, 2)]
         want |= {r["id"]: r["matched"] for r in book.credit_fold(own, 50)}
     assert found == want and sum(want.values()) > 0 and "FlatMapGroups" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("kind", ["cents", "units", "large", "mixed"])
+def test_lots_at_once_are_the_fold(kind):
+    """Whole units, ties and remainders as in decimals; what doubles can't hold goes on in decimals."""
+    rng = random.Random(kind)
+    draw = {"cents": lambda: (D(rng.randint(-40, 50)) / 10, D(rng.randint(0, 90)) / 10), "units": lambda: (D(rng.randint(-6, 8)).scaleb(-10), D(rng.randint(0, 5)).scaleb(-10)), "large": lambda: (D(rng.randint(-(10**15), 10**15)).scaleb(-10), D(rng.randint(0, 10**15)).scaleb(-10)), "mixed": lambda: (D(rng.randint(-(10**14), 10**14)).scaleb(rng.choice([-10, -10, -10, -6])), D(rng.randint(-10, 10**14)).scaleb(-10))}[kind]
+    unit = lambda x: int(x.scaleb(10))
+    with localcontext(prec=60):
+        for _ in range(40):
+            entries = [(i, *draw()) for i in range(rng.randint(2, 120))]
+            lots, got = settlement.Lots(), []
+            for _, qty, cost in entries:
+                if qty > 0:
+                    lots.add(unit(qty), unit(cost))
+                elif qty < 0:
+                    got.append(lots.sell(unit(-qty)))
+            want = settlement.lots_fold([{"seq": i, "qty": q, "cost": c} for i, q, c in entries])
+            assert got == [(unit(r["sold"]), unit(r["cost"]), unit(r["short"]), r["open_lots"], unit(r["open_qty"]), unit(r["open_cost"])) for r in want]
+
+
+def test_positions_are_no_groups_of_their_own(spark):
+    entries = spark.range(4000).selectExpr("id % 3 as k", "id as seq", "cast(if(id % 2 = 0, 1.5, -1.5) as decimal(18,4)) as qty", "cast(1 as decimal(18,4)) as cost")
+    got = settlement.lots(entries, ["k"])
+    assert got.count() == 2000 and "FlatMapGroups" not in got._jdf.queryExecution().optimizedPlan().toString()
