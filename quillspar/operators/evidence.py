@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import first_match
-from .replay import IMMEDIATE, execution_price, shared_fills, within_limit
+from .replay import IMMEDIATE, shared_fills
 
 
 @dataclass(frozen=True)
@@ -73,11 +77,6 @@ def standard_reason(reason: Column) -> Column:
     return F.coalesce(table[reason], reason)
 
 
-def is_source(trade_id: Column, logs: Column, source_id: Column, source_logs: Column) -> Column:
-    """Whether a print is what the order's own signal was read from: the same trade, or any shared log."""
-    return F.coalesce(trade_id == source_id, F.lit(False)) | F.coalesce(F.arrays_overlap(logs, source_logs), F.lit(False))
-
-
 def _blocks(seconds: int, block_seconds: int) -> int:
     return -(-seconds // block_seconds)
 
@@ -90,53 +89,174 @@ def profile_evidence(orders: DataFrame, trades: DataFrame, *, bucket: int, block
     size, block, logs. Seven reasons, the first that holds: no quote before arrival,
     that quote outside the limit, too few or too little trailing, too few or too
     little to come, no capacity; null if the order passes. What is filled is the
-    share of each eligible print to come, up to the order's size. The prints an
-    order may meet are joined once, by buckets, and judged for all profiles in one
-    aggregation; prints of the order's own signal don't count where the profile says.
+    share of each eligible print to come, up to the order's size. Prints of the
+    order's own signal don't count where the profile says.
+
+    Orders are dealt by stretches of blocks and go to Python with the prints of the
+    stretch and its margins; there each profile looks at the prints of its own
+    windows only, in whole units of 1e-10. ``bucket`` is the least length of a stretch.
     """
     back = max([_blocks(p.quote_ttl_seconds or 0, block_seconds) for p in profiles])
     ahead = max(_blocks(p.latency_seconds, block_seconds) + _blocks(p.horizon_seconds, block_seconds) for p in profiles)
-    low, high = F.greatest(F.lit(0), F.col("signal_block") - back), F.col("signal_block") + ahead
-    laid = orders.withColumn("_bucket", F.explode(F.sequence(F.floor(low / bucket), F.floor(high / bucket))))
-    tape = trades.select("market_id", "asset_id", F.col("side").alias("trade_side"), "trade_id", "block", "logs", F.col("price").alias("trade_price"), F.col("size").alias("trade_size"), F.floor(F.col("block") / bucket).alias("_bucket"))
-    met = laid.join(tape, ["market_id", "asset_id", "_bucket"]).where((F.col("block") >= low) & (F.col("block") <= high))
-    met = met.withColumn("_source", is_source(F.col("trade_id"), F.col("logs"), F.col("source_trade_id"), F.col("source_logs"))).withColumn("_limit_ok", within_limit(F.col("side"), F.col("trade_price"), F.col("limit_price")))
-    # place in the tape as one number: a struct would make the aggregation sort
-    met = met.withColumn("_at", (F.col("block").cast("decimal(18,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)")).cast("decimal(38,0)") + F.col("trade_id").cast("decimal(19,0)"))
-    wide, none = "decimal(38,10)", F.lit(0).cast("decimal(38,10)")
-    buffers = sorted({p.buffer for p in profiles})
-    for j, buffer in enumerate(buffers):
-        met = met.withColumn(f"_ok{j}", F.col("_limit_ok") & within_limit(F.col("side"), execution_price(F.col("side"), F.col("trade_price"), buffer), F.col("limit_price")))
-    sums: list[Column] = []
-    for i, p in enumerate(profiles):
-        # as text: some hundred terms, which are parsed at once
-        arrival = f"signal_block + {_blocks(p.latency_seconds, block_seconds)}"
-        may = " and ".join([*([] if p.any_side else ["trade_side = side"]), *(["not _source"] if p.exclude_source else [])]) or "true"
-        since = "" if p.quote_ttl_seconds is None else f" and block >= {arrival} - {_blocks(p.quote_ttl_seconds, block_seconds)}"
-        before = f"{may} and block < {arrival}{since}"
-        after = f"{may} and block >= {arrival} and block <= {arrival} + {_blocks(p.horizon_seconds, block_seconds)} and _ok{buffers.index(p.buffer)}"
-        sums += [F.expr(f"max_by(trade_price, _at) filter (where {before})").alias(f"quote{i}")] if p.need_quote else []
-        sums += [
-            F.expr(f"count(*) filter (where {before} and _limit_ok)").alias(f"back_n{i}"), F.expr(f"cast(sum(trade_size) filter (where {before} and _limit_ok) as {wide})").alias(f"back_v{i}"), F.expr(f"count(*) filter (where {after})").alias(f"on_n{i}"),
-            F.expr(f"cast(sum(trade_size) filter (where {after}) as {wide})").alias(f"on_v{i}"), F.expr(f"cast(sum(cast(trade_size * cast('{p.rate}' as decimal(6,4)) as {wide})) filter (where {after}) as {wide})").alias(f"cap{i}"),
-        ]
-    rows = orders.join(met.groupBy(F.col("order_index").alias("_order")).agg(*sums), F.col("order_index") == F.col("_order"), "left")
-    size = F.col("size").cast(wide)
-    judged = []
+    wide = max(bucket, STRETCH * (back + ahead))
+    cell = F.pmod(F.xxhash64("market_id", "asset_id"), F.lit(CELLS)).alias("_cell")
+    a = orders.select(cell, F.floor(F.col("signal_block") / wide).alias("_at"), F.col("order_index").cast("long").alias("order_index"), "market_id", "asset_id", "side", F.col("limit_price").cast(PLACES), F.col("size").cast(PLACES), F.col("signal_block").cast("long"), F.col("source_trade_id").cast("long"), "source_logs")
+    reach = F.explode(F.sequence(F.floor((F.col("block") - ahead) / wide), F.floor((F.col("block") + back) / wide))).alias("_at")
+    b = trades.where("block >= 0").select(cell, reach, F.col("trade_id").cast("long").alias("trade_id"), "market_id", "asset_id", "side", F.col("price").cast(PLACES), F.col("size").cast(PLACES), F.col("block").cast("long"), "logs")
+    most = None if max_fill is None else int(Decimal(max_fill).scaleb(10).to_integral_value(ROUND_HALF_UP))
+
+    def fold(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _judged(left, right, profiles, back, block_seconds, most)
+
+    got = a.groupBy("_cell", "_at").cogroup(b.groupBy("_cell", "_at")).applyInArrow(fold, f"order_index long, profile int, reason int, filled {PLACES}")
+    name = lambda texts, at: F.element_at(F.array(*map(F.lit, texts)), F.col(at) + 1)
+    return got.select(name([p.name for p in profiles], "profile").alias("profile"), "order_index", F.when(F.col("reason") >= 0, name(REASONS, "reason")).alias("reason"), "filled")
+
+
+PLACES = "decimal(38,10)"
+#: A stretch of blocks is so many times what an order looks at; parts of the keys that are judged apart.
+STRETCH, CELLS = 10, 4
+REASONS = (
+    "missing_pre_arrival_trade_quote_proxy", "pre_arrival_trade_quote_outside_limit", "insufficient_trailing_same_side_trade_count", "insufficient_trailing_same_side_volume",
+    "insufficient_future_eligible_trade_count", "insufficient_future_eligible_volume", "fill_evidence_order_capacity_zero", "",
+)
+
+
+def _units(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Decimals in units of 1e-10, as 64-bit numbers where their sums stay well inside them and as Python's otherwise; and which are no nulls."""
+    valid = column.is_valid().to_numpy()
+    column = column.fill_null(Decimal(0)).combine_chunks()
+    low, high = np.frombuffer(column.buffers()[1], np.int64).reshape(-1, 2)[column.offset : column.offset + len(column)].T if len(column) else (np.zeros(0, np.int64),) * 2
+    if (high == low >> 63).all() and (np.abs(low) < min(1 << 48, (1 << 59) // max(1, len(low)))).all():
+        return low.copy(), valid
+    return np.array([int(x.scaleb(10)) for x in column.to_pylist()], object), valid
+
+
+def _matches(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of equal values."""
+    order = np.argsort(right, kind="stable")
+    low, high = np.searchsorted(right[order], left, "left"), np.searchsorted(right[order], left, "right")
+    own = np.repeat(np.arange(len(left)), high - low)
+    return own, order[_within(low, high)]
+
+
+def _within(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All places from low to high, range after range."""
+    count = high - low
+    return np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
+def _listed(left: pa.ChunkedArray, right: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of both sides whose lists share a value."""
+    (x, p), (y, q) = ((np.asarray(pc.list_parent_indices(c)), pc.list_flatten(c)) for c in (left.combine_chunks(), right.combine_chunks()))
+    u, v = _coded(p, q)
+    own, at = _matches(u[u >= 0], v[v >= 0])
+    return x[u >= 0][own], y[v >= 0][at]
+
+
+def _coded(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of both sides as numbers, the same for equal ones; null is -1."""
+    whole = pa.chunked_array([*(x for c in (left, right) for x in (c.cast(left.type).chunks if isinstance(c, pa.ChunkedArray) else [c.cast(left.type)]))], left.type)
+    codes = whole.combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    return codes[: len(left)], codes[len(left) :]
+
+
+def _judged(a: pa.Table, b: pa.Table, profiles: tuple[Profile, ...], back: int, block_seconds: int, most: int | None) -> pa.Table:
+    """``profile_evidence`` of the orders of one stretch: order_index, profile, reason (-1: passed), filled."""
+    n = a.num_rows
+    number = lambda t, c: t[c].fill_null(0).to_numpy()
+    # market and asset as one number; null meets nothing
+    codes = [_coded(a[c], b[c]) for c in ("market_id", "asset_id")]
+    key, run = (np.where((m < 0) | (x < 0), -1, m * (max(y.max(initial=0) for y in codes[1]) + 1) + x) for m, x in zip(*codes, strict=True))
+    key[~a["signal_block"].is_valid().to_numpy()] = -1
+    order = np.lexsort((number(b, "trade_id"), b["trade_id"].is_valid().to_numpy(), number(b, "block"), run))
+    order = order[run[order] >= 0]
+    b, run = b.take(pa.array(order)), run[order]
+    named = b["trade_id"].is_valid().to_numpy()
+    block, signal = number(b, "block"), number(a, "signal_block")
+    base, span = (int(block.min()), int(block.max() - block.min()) + 2) if len(block) else (0, 2)
+    line = run * span + (block - base)
+
+    def until(x: np.ndarray) -> np.ndarray:
+        """Place of the first print of an order's key from a block on."""
+        return np.where(key < 0, 0, np.searchsorted(line, key * span + np.clip(x - base, 0, span - 1)))
+
+    own_side, side = _coded(a["side"], b["side"])
+    buy = a["side"].combine_chunks().fill_null("").to_numpy(zero_copy_only=False) == "BUY"
+    (limit, limited), (size, sized), (price, priced), (volume, _) = _units(a["limit_price"]), _units(a["size"]), _units(b["price"]), _units(b["size"])
+    positive = bool((volume >= 0).all())
+    # prints of an order's own signal
+    source_id, has_id = number(a, "source_trade_id"), a["source_trade_id"].is_valid().to_numpy()
+    x, y = _matches(source_id[has_id], number(b, "trade_id")[named])
+    u, v = _listed(a["source_logs"], b["logs"])
+    source = np.unique(np.stack([np.concatenate([np.flatnonzero(has_id)[x], u]), np.concatenate([np.flatnonzero(named)[y], v])], 1), axis=0) if len(x) + len(u) else np.zeros((0, 2), np.int64)
+    one = 10**10
+
+    def inside(which: np.ndarray, prices: np.ndarray, good: np.ndarray) -> np.ndarray:
+        return good & limited[which] & np.where(buy[which], prices <= limit[which], prices >= limit[which])
+
+    def pairs(low: np.ndarray, high: np.ndarray, p: Profile) -> tuple[np.ndarray, np.ndarray]:
+        """Orders and prints of a window: those that the profile lets count."""
+        high = np.maximum(low, high)
+        count = high - low
+        own, at = np.repeat(np.arange(n), count), _within(low, high)
+        keep = np.ones(len(at), bool) if p.any_side else (side[at] == own_side[own]) & (side[at] >= 0)
+        if p.exclude_source and len(source):
+            o, t = source.T
+            hit = (t >= low[o]) & (t < high[o])
+            keep[(np.cumsum(count) - count)[o[hit]] + t[hit] - low[o[hit]]] = False
+        return own[keep], at[keep]
+
+    def total(own: np.ndarray, values: np.ndarray) -> np.ndarray:
+        upto = np.concatenate([values[:0], [0], np.cumsum(values)]) if len(values) else np.zeros(1, np.int64)
+        ends = np.searchsorted(own, np.arange(n + 1))
+        return upto[ends[1:]] - upto[ends[:-1]]
+
+    out = []
     for i, p in enumerate(profiles):
-        nil = lambda c: F.coalesce(F.col(c), none)
-        count = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
-        may = size if max_fill is None else F.least(size, F.lit(max_fill).cast(wide))
-        quote = F.col(f"quote{i}") if p.need_quote else F.col("limit_price")
-        reason = first_match(
-            [
-                (quote.isNull(), "missing_pre_arrival_trade_quote_proxy"), (~within_limit(F.col("side"), quote, F.col("limit_price")), "pre_arrival_trade_quote_outside_limit"),
-                (count(f"back_n{i}") < p.min_trailing, "insufficient_trailing_same_side_trade_count"), (nil(f"back_v{i}") < (size * F.lit(p.trailing_multiple).cast("decimal(2,1)")).cast(wide), "insufficient_trailing_same_side_volume"),
-                (count(f"on_n{i}") < p.min_future, "insufficient_future_eligible_trade_count"), (nil(f"on_v{i}") < 0, "insufficient_future_eligible_volume"), (may <= 0, "fill_evidence_order_capacity_zero"),
-            ]
-        )
-        judged.append(F.struct(F.lit(p.name).alias("profile"), reason.alias("reason"), F.when(reason.isNull(), F.least(may, nil(f"cap{i}"))).otherwise(none).alias("filled")))
-    return rows.select("order_index", F.explode(F.array(*judged)).alias("j")).select("j.profile", "order_index", "j.reason", "j.filled")
+        arrival = signal + _blocks(p.latency_seconds, block_seconds)
+        since = np.maximum(0, signal - back) if p.quote_ttl_seconds is None else np.maximum(np.maximum(0, signal - back), arrival - _blocks(p.quote_ttl_seconds, block_seconds))
+        reason = np.full(n, -1)
+        found = []
+        multiple = int(Decimal(p.trailing_multiple) * 10)
+        if p.need_quote or p.min_trailing > 0 or multiple != 0 or not positive:
+            own, at = pairs(until(since), until(np.maximum(0, arrival)), p)
+            if p.need_quote:
+                last = np.full(n, -1)
+                last[own[named[at]]] = at[named[at]]  # in order: the last one stays
+                none = (last < 0) | ~np.concatenate([priced, [False]])[last]
+                found += [none, ~none & limited & ~inside(np.arange(n), np.concatenate([price, [0]])[last], limited)]
+            ok = inside(own, price[at], priced[at])
+            own, at = own[ok], at[ok]
+            trailing = total(own, volume[at])
+            if not p.need_quote:
+                found += [~limited, np.zeros(n, bool)]
+            found += [np.bincount(own, minlength=n) < p.min_trailing, sized & (trailing * 10 < size * multiple)]
+        else:
+            found += [~limited, np.zeros(n, bool), np.zeros(n, bool), sized & (size * multiple > 0)]
+        own, at = pairs(until(np.maximum(0, arrival)), until(arrival + _blocks(p.horizon_seconds, block_seconds) + 1), p)
+        ok = inside(own, price[at], priced[at])
+        own, at = own[ok], at[ok]
+        buffer = int(Decimal(p.buffer).scaleb(10))
+        ok = inside(own, np.clip(np.where(buy[own], price[at] + buffer, price[at] - buffer), 0, one), priced[at])
+        own, at = own[ok], at[ok]
+        found.append(np.bincount(own, minlength=n) < p.min_future)
+        found.append(np.zeros(n, bool) if positive else total(own, volume[at]) < 0)
+        may = size if most is None else np.minimum(size, most)
+        found.append(sized & (may <= 0))
+        for j in reversed(range(len(found))):
+            reason[found[j]] = j
+        rate = int(Decimal(p.rate).scaleb(4))
+        share = np.where(volume >= 0, (volume * rate + 5000) // 10000, -((-volume * rate + 5000) // 10000))
+        cap = total(own, share[at])
+        may = np.where(sized, np.minimum(may, cap), cap if most is None else np.minimum(cap, most))
+        out.append((reason, np.where(reason < 0, may, 0)))
+    filled = np.concatenate([f for _, f in out])
+    if filled.dtype == object:
+        filled = pa.array([Decimal(int(x)).scaleb(-10) for x in filled], pa.decimal128(38, 10))
+    else:
+        filled = pa.Array.from_buffers(pa.decimal128(38, 10), len(filled), [None, pa.py_buffer(np.stack([filled, filled >> 63], 1).astype(np.int64).tobytes())])
+    return pa.table({"order_index": pa.array(np.tile(number(a, "order_index"), len(profiles))), "profile": pa.array(np.repeat(np.arange(len(profiles)), n), pa.int32()), "reason": pa.array(np.concatenate([r for r, _ in out]), pa.int32()), "filled": filled})
 
 
 def source_confirmed(orders: DataFrame, trades: DataFrame, *, rate: str, buffer: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Evidence, identities, guards and sinks against hand-worked cases."""
 
+import random
 from decimal import Decimal as D
 
 import pytest
@@ -85,3 +86,33 @@ def test_conversions_and_states(spark):
     events = [(1, 1, "PENDING_SETTLEMENT"), (1, 2, "MINED"), (1, 3, "CONFIRMED"), (1, 4, "FAILED"), (2, 1, "CONFIRMED"), (3, 1, "PENDING_SETTLEMENT"), (3, 2, "PENDING_SETTLEMENT")]
     got = {r.fill_id: (r.state, r.rejected) for r in settlement.finality(spark.createDataFrame(events, "fill_id long, seq long, state string")).collect()}
     assert got == {1: ("CONFIRMED", 1), 2: ("MATCHED", 1), 3: ("PENDING_SETTLEMENT", 0)}
+
+
+@pytest.mark.parametrize("scale", [1, 10**20])
+def test_stretches_and_large_sizes_change_nothing(spark, monkeypatch, scale):
+    """Orders and prints are dealt by stretches of blocks and not joined pair by pair; sizes beyond 64 bits are the same case."""
+    rng = random.Random(11)
+    orders = [(i, f"m{i % 3}", i % 2, rng.choice(["BUY", "SELL"]), D(rng.randint(2, 8)) / 10, D(rng.randint(1, 30) * scale), rng.randrange(-50, 4000), rng.randrange(600), [rng.randrange(40), None]) for i in range(150)]
+    trades = [(i if i % 9 else None, f"m{i % 3}" if i % 50 else None, i % 2, rng.choice(["BUY", "SELL"]), D(rng.randint(1, 9)) / 10, D(rng.randint(0, 400) * scale), i * 6, [i % 40]) for i in range(600)]
+    a = spark.createDataFrame(orders, "order_index long, market_id string, asset_id int, side string, limit_price decimal(11,10), size decimal(36,10), signal_block long, source_trade_id long, source_logs array<long>")
+    b = spark.createDataFrame(trades, "trade_id long, market_id string, asset_id int, side string, price decimal(11,10), size decimal(36,10), block long, logs array<long>")
+
+    def slow(p, o):
+        arrival, fits = o[6] + -(-p.latency_seconds // 2), lambda price: price <= o[4] if o[3] == "BUY" else price >= o[4]
+        low, high = max(0, o[6] - 900), arrival + -(-p.horizon_seconds // 2)
+        own = [t for t in trades if t[1:3] == o[1:3] and low <= t[6] and (p.any_side or t[3] == o[3]) and not (p.exclude_source and (t[0] == o[7] or o[8][0] in t[7]))]
+        past = [t for t in own if t[6] < arrival and (p.quote_ttl_seconds is None or t[6] >= arrival - -(-p.quote_ttl_seconds // 2))]
+        moved = lambda x: min(D(1), max(D(0), x + D(p.buffer) * (1 if o[3] == "BUY" else -1)))
+        on = [t for t in own if arrival <= t[6] <= high and fits(t[4]) and fits(moved(t[4]))]
+        quote = next((t[4] for t in reversed(past) if t[0] is not None), None)
+        back = [t for t in past if fits(t[4])]
+        rules = [p.need_quote and quote is None, p.need_quote and quote is not None and not fits(quote), len(back) < p.min_trailing, sum(t[5] for t in back) < o[5] * D(p.trailing_multiple), len(on) < p.min_future]
+        reason = next((evidence.REASONS[i] for i, bad in enumerate(rules) if bad), None)
+        return reason, D(0) if reason else min(o[5], sum((t[5] * D(p.rate) for t in on), D(0)))
+
+    want = {(p.name, o[0]): slow(p, o) for p in evidence.PROFILES for o in orders}
+    for stretch in (1, 1000):
+        monkeypatch.setattr(evidence, "STRETCH", stretch)
+        got = evidence.profile_evidence(a, b, bucket=10)
+        assert {(r.profile, r.order_index): (r.reason, r.filled) for r in got.collect()} == want
+    assert len({reason for reason, _ in want.values()}) > 4 and " Join " not in got._jdf.queryExecution().optimizedPlan().toString()
