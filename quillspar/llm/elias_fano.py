@@ -93,26 +93,37 @@ class EliasFano:
         low[over] |= self.low[cell[over] + 1] << (U64(64) - bit[over])
         return low & U64((1 << self.width) - 1)
 
-    def _before(self, high: np.ndarray) -> np.ndarray:
-        """How many values have smaller high bits."""
-        out = np.full(len(high), self.n, np.int64)
-        out[high <= 0] = 0
+    def _span(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the first value with such high bits or more, and of the first with more: a zero and the next one."""
+        first, last = np.where(high > self.top, self.n, 0), np.full(len(high), self.n, np.int64)
         some = np.flatnonzero((high > 0) & (high <= self.top))
-        zero = high[some] - 1
-        out[some] = self._place(zero, self.zeros, ~U64(0)) - zero
-        return out
+        zero, begin = high[some] - 1, np.zeros(len(high), np.int64)
+        place = self._place(zero, self.zeros, ~U64(0))
+        first[some], begin[some] = place - zero, place + 1
+        inner = np.flatnonzero(high < self.top)
+        begin = begin[inner]
+        at = begin >> 6
+        word = ~self.high[at] & (~U64(0) << (begin & 63).astype(U64))
+        open_ = np.flatnonzero(word == 0)
+        while len(open_):
+            at[open_] += 1
+            word[open_] = ~self.high[at[open_]]
+            open_ = open_[word[open_] == 0]
+        last[inner] = at * 64 + np.bitwise_count((word & (~word + U64(1))) - U64(1)) - high[inner]
+        return first, last
 
-    def _search(self, begin: np.ndarray, end: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _search(self, begin: np.ndarray, end: np.ndarray, x: np.ndarray, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """First place in [begin, end) with a value of x or more, and the end of those that share x's high bits.
 
         The high bits lead to the few values that share them; those are searched by their low bits.
+        If only x itself will do, one value alone is left to be compared.
         """
         part = np.minimum(x >> U64(self.width), U64(self.top + 1)).astype(np.int64)
-        low, last = np.clip(self._before(part), begin, end), np.clip(self._before(part + 1), begin, end)
+        low, last = (np.clip(x, begin, end) for x in self._span(part))
         if not self.width:
             return low, last
         want, high = x & U64((1 << self.width) - 1), last.copy()
-        open_ = np.flatnonzero(low < high)
+        open_ = np.flatnonzero(low + exact < high)
         while len(open_):
             middle = (low[open_] + high[open_]) >> 1
             less = self._low(middle) < want[open_]
@@ -129,11 +140,15 @@ class EliasFano:
         """Place of x, -1 where it isn't: the successor, if it is x itself."""
         order = np.argsort(x)  # neighbours share what they read
         x = np.asarray(x, U64)[order]
-        none = np.zeros(len(x), np.int64)
-        place, last = self._search(none, none + self.n, x)
+        new = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])[: len(x)])
+        asked, count = x[new], np.diff(np.append(new, len(x)))
+        none = np.zeros(len(asked), np.int64)
+        place, last = self._search(none, none + self.n, asked, exact=True)
         inside = np.flatnonzero(place < last)
         if self.width:
-            inside = inside[self._low(place[inside]) == x[inside] & U64((1 << self.width) - 1)]
-        out = np.full(len(x), -1, np.int64)
-        out[order[inside]] = place[inside]
+            inside = inside[self._low(place[inside]) == asked[inside] & U64((1 << self.width) - 1)]
+        found = np.full(len(asked), -1, np.int64)
+        found[inside] = place[inside]
+        out = np.empty(len(x), np.int64)
+        out[order] = np.repeat(found, count)
         return out

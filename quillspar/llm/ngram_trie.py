@@ -159,6 +159,7 @@ class Trie:
         return _OPEN[key]
 
     def _by_shard(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        shard = shard.astype(np.int16) if self.bits < 15 else shard  # short numbers are sorted by their digits
         order = np.argsort(shard, kind="stable")
         bounds = np.searchsorted(shard[order], np.arange((1 << self.bits) + 1))
         for s in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():

@@ -659,3 +659,17 @@ def test_components_of_a_chain(spark):
     for bound in (1000, 0):
         got = {r.key: r.component for r in components.components(df, task_links=bound).collect()}
         assert all(got[i] == 0 for i in range(61))
+
+
+def test_find_asks_once_for_equal_values(monkeypatch):
+    """Repeated, absent, first and last values, and one search of the unary part for both ends of a run."""
+    rng, asked = np.random.default_rng(3), []
+    select = elias_fano.EliasFano._place
+    monkeypatch.setattr(elias_fano.EliasFano, "_place", lambda self, i, *rest: asked.append(len(i)) or select(self, i, *rest))
+    for values in (np.unique(rng.integers(0, 1 << 40, 3000)), np.arange(700), np.array([0]), np.array([5, 1 << 50]), np.concatenate([np.arange(64), [1 << 30]]), np.zeros(0, np.int64)):
+        known = elias_fano.EliasFano.encode(values.astype(np.uint64))
+        x = np.concatenate([np.repeat(values, 3), values + 1, [0, 1, 1 << 55]])
+        asked.clear()
+        at = {v: i for i, v in enumerate(values.tolist())}
+        assert known.find(x.astype(np.uint64)).tolist() == [at.get(v, -1) for v in x.tolist()]
+        assert len(asked) == 1 and asked[0] <= len(np.unique(x))
