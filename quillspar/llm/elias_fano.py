@@ -122,14 +122,15 @@ class EliasFano:
         low, last = (np.clip(x, begin, end) for x in self._span(part))
         if not self.width:
             return low, last
-        want, high = x & U64((1 << self.width) - 1), last.copy()
-        open_ = np.flatnonzero(low + exact < high)
+        open_ = np.flatnonzero(low + exact < last)
+        begin, end, want = low[open_], last[open_], x[open_] & U64((1 << self.width) - 1)
         while len(open_):
-            middle = (low[open_] + high[open_]) >> 1
-            less = self._low(middle) < want[open_]
-            low[open_[less]] = middle[less] + 1
-            high[open_[~less]] = middle[~less]
-            open_ = open_[low[open_] < high[open_]]
+            middle = (begin + end) >> 1
+            less = self._low(middle) < want
+            begin, end = np.where(less, middle + 1, begin), np.where(less, end, middle)
+            low[open_] = begin
+            left = np.flatnonzero(begin < end)
+            open_, begin, end, want = open_[left], begin[left], end[left], want[left]
         return low, last
 
     def successor(self, begin: np.ndarray, end: np.ndarray, x: np.ndarray) -> np.ndarray:

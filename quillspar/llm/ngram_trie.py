@@ -277,8 +277,10 @@ def _count_joint(trie: Trie):
             if size < 1 << 21:  # three codes fit in a word
                 key = np.sort((before * size + codes) * size + after)
                 start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                pair, w = np.divmod(key[start], size)
-                u, v = np.divmod(pair, size)
+                key = key[start]
+                pair = key // size  # a division by one number is fast, divmod is not
+                u = pair // size
+                v, w = pair - u * size, key - pair * size
             else:
                 order = np.lexsort((after, codes, before))
                 u, v, w = before[order], codes[order], after[order]
@@ -354,11 +356,15 @@ def build(corpus: DataFrame) -> Trie:
     return trie
 
 
+#: What quantised masses stand for.
+_MASSES = 10.0 ** (-STEP * np.arange(256.0))
+
+
 def _mixed(own: np.ndarray, back: np.ndarray, below: np.ndarray) -> np.ndarray:
     """log10 of own mass (quantised, 255 for none) and of what the context leaves to ``below``."""
     out = below - STEP * back
     some = np.flatnonzero(own < 255)
-    out[some] = np.log10(10.0 ** (-STEP * own[some].astype(float)) + 10.0 ** out[some])
+    out[some] = np.log10(_MASSES[own[some]] + 10.0 ** out[some])
     return out
 
 
@@ -373,7 +379,8 @@ def _score(trie: Trie):
             shards = _shard(words, trie.bits)
             # distinct pairs of a known context: where they are, and their probability
             which, distinct = pd.factorize(before * np.int64(len(words)) + codes)
-            h, w = np.divmod(distinct, len(words))
+            h = distinct // len(words)
+            w = distinct - h * len(words)
             two, place = log[w].astype(np.float64), np.full(len(distinct), -1, np.int64)
             has = np.flatnonzero(nodes[h] >= 0)
             if len(has):
