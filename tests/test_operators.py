@@ -1,5 +1,6 @@
 """Operators against hand-worked cases and brute force."""
 
+import itertools
 import math
 import random
 from decimal import Decimal as D
@@ -450,3 +451,19 @@ def test_positions_are_no_groups_of_their_own(spark):
     entries = spark.range(4000).selectExpr("id % 3 as k", "id as seq", "cast(if(id % 2 = 0, 1.5, -1.5) as decimal(18,4)) as qty", "cast(1 as decimal(18,4)) as cost")
     got = settlement.lots(entries, ["k"])
     assert got.count() == 2000 and "FlatMapGroups" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_conversions_of_an_event_come_together(spark):
+    outcomes = spark.range(600).selectExpr("id % 20 as event_id", "id as outcome_id", "id % 3 > 0 as active")
+    held = spark.range(1800).selectExpr("id % 3 as account", "cast(id / 3 as long) % 20 as event_id", "cast(id / 3 as long) as outcome_id", "cast(1 as decimal(18,2)) as quantity")
+    rows = settlement.converted(held, outcomes).withColumn("part", F.spark_partition_id()).collect()
+    assert len(rows) == 1800 * 20 - 3 * 400 and all(r["target"] != r["outcome_id"] for r in rows)
+    runs = [k for k, _ in itertools.groupby((r["part"], r["event_id"]) for r in rows)]
+    assert len(runs) == len({event for _, event in runs}) == 20
+    own, targets = [], []
+    for key, of in itertools.groupby(rows, lambda r: (r["event_id"], r["account"], r["outcome_id"])):
+        own.append(key)
+        targets.append([r["target"] for r in of])
+    assert len(own) == 1800
+    for (event, _, a), (after, _, b), x, y in zip(own, own[1:], targets, targets[1:], strict=False):
+        assert event != after or [t for t in x if t not in (a, b)] == [t for t in y if t not in (a, b)]
