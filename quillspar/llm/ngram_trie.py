@@ -42,6 +42,8 @@ SCORE_WORDS = 300_000
 COUNT_ROWS = 100_000
 #: Shards for each partition of a shuffle, as a power of two: what a task sorts and writes is that much smaller.
 SHARD_BITS = 2
+#: Bits of a count that is handed on with its word in one number, whose rows are narrower to move and to sort.
+COUNT_BITS = 24
 ALIGN = 64
 #: The end of a text, a token like any word and the context of a text's first.
 END = U64(0x5DEECE66D1234567)
@@ -76,12 +78,24 @@ def _shard(values: np.ndarray, bits: int) -> np.ndarray:
     return (values >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
 
 
-def _summed(batches: Iterator[pa.RecordBatch], keys: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Keys and total counts of one shard sorted by its keys."""
-    found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in keys]
+def _packed(word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words and their counts as one number each, and the row of each; a count of more than ``COUNT_BITS`` takes several."""
+    most = (1 << COUNT_BITS) - 1
+    times = -(-n // most)
+    row = np.repeat(np.arange(len(n)), times)
+    rank = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    return word[row] << COUNT_BITS | np.minimum(n[row] - rank * most, most), row
+
+
+def _unpacked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return packed >> COUNT_BITS, packed & ((1 << COUNT_BITS) - 1)
+
+
+def _summed(runs: Iterator[tuple[list[np.ndarray], np.ndarray]], keys: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Keys and total counts of one shard, from runs of both sorted by the keys."""
+    found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(keys)]
     counts = [np.zeros(0, np.int64)]
-    for batch in batches:
-        k, n = [batch.column(key).to_numpy() for key in keys], batch.column("n").to_numpy()
+    for k, n in runs:
         if not len(n):
             continue
         start = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in k], axis=0)]))
@@ -239,7 +253,7 @@ def _write_words(folder: str):
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        (values,), n = _summed(batches, ["value"])
+        (values,), n = _summed((([b.column("value").to_numpy()], b.column("n").to_numpy()) for b in batches), 1)
         order = np.argsort(values.view(U64))  # signed order within a shard is that of values, but for a single shard
         values, n = values.view(U64)[order], n[order]
         _write(folder, f"words-{shard:05d}", _sequence("v", values) | {"counts": n.astype(np.uint32 if n.max(initial=0) < 2**32 else np.int64)})
@@ -266,7 +280,7 @@ def _before(codes: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def _count_joint(trie: Trie):
-    """Counts of (pair, next word); the end has no next word, which the number of words stands for."""
+    """Counts of (pair, next word), word and count in one number; the end has no next word, which the number of words stands for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, values, _ in _tokens(batches, "text", COUNT_WORDS):
@@ -288,7 +302,9 @@ def _count_joint(trie: Trie):
                 u, v, w = u[start], v[start], w[start]
             n = np.diff(np.append(start, len(codes)))
             nodes = np.append(nodes, trie.words)
-            yield from _handed([_shard(words[u], trie.bits).astype(np.int32), nodes[u] * trie.words + nodes[v], nodes[w], n.astype(np.int64)], ["shard", "pair", "word", "n"])
+            following, row = _packed(nodes[w], n)
+            u, v = u[row], v[row]
+            yield from _handed([_shard(words, trie.bits).astype(np.int32)[u], nodes[u] * trie.words + nodes[v], following], ["shard", "pair", "next"])
 
     return run
 
@@ -298,7 +314,8 @@ def _write_joint(trie: Trie):
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        (pair, word), n = _summed(batches, ["pair", "word"])
+        parts = ((b.column("pair").to_numpy(), *_unpacked(b.column("next").to_numpy())) for b in batches)
+        (pair, word), n = _summed((([pair, word], n) for pair, word, n in parts), 2)
         first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
         of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(pair))))
         children = pair[first] - trie.base[shard] * trie.words
@@ -336,7 +353,7 @@ def build(corpus: DataFrame) -> Trie:
     os.makedirs(folder)
     bits = max(0, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length() - 1) + SHARD_BITS
     texts = small_batches(corpus).select(F.col("text").cast("string").alias("text"))
-    words = texts.mapInArrow(_count_words(bits), "shard int, value long, n long").repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("value")
+    words = texts.mapInArrow(_count_words(bits), "shard int, value long, n long").repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("value").select("value", "n")
     rows = sorted(words.mapInArrow(_write_words(folder), "shard long, words long, tokens long, n1 long, n2 long, n3 long, n4 long").collect())  # a row for each shard
     some = [sum(r[f"n{k}"] for r in rows) for k in (1, 2, 3, 4)]
     of = {r["shard"]: r["words"] for r in rows}
@@ -351,7 +368,7 @@ def build(corpus: DataFrame) -> Trie:
     spare = sum(d * n for d, n in zip(discounts, counted, strict=True)) / tokens if tokens else 1.0
     _write(folder, "spare", {"spare": np.array([spare])})
     trie = Trie(folder, bits, tokens, kinds, discounts, base)
-    joint = texts.mapInArrow(_count_joint(trie), "shard int, pair long, word long, n long").repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("pair", "word")
+    joint = texts.mapInArrow(_count_joint(trie), "shard int, pair long, next long").repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("pair", "next").select("pair", "next")
     joint.mapInArrow(_write_joint(trie), "shard long, pairs long, triples long").collect()
     return trie
 

@@ -343,6 +343,18 @@ def dictionary_model(texts):
     return score, p, list(one)
 
 
+def test_counts_travel_with_their_words():
+    most = (1 << ngram_trie.COUNT_BITS) - 1
+    word, n = np.array([0, 7, 7, (1 << 39) - 1]), np.array([1, most, 2 * most + 5, most + 1])
+    packed, row = ngram_trie._packed(word, n)
+    assert row.tolist() == [0, 1, 2, 2, 2, 3, 3] and (packed >= 0).all()
+    back, counts = ngram_trie._unpacked(packed)
+    assert (back == word[row]).all() and np.bincount(row, counts).astype(np.int64).tolist() == n.tolist()
+    packed = np.sort(packed)
+    (words,), total = ngram_trie._summed((([w], c) for w, c in map(ngram_trie._unpacked, np.array_split(packed, 4))), 1)
+    assert words.tolist() == [0, 7, (1 << 39) - 1] and total.tolist() == [1, 3 * most + 5, most + 1]
+
+
 def test_trie_against_dictionaries(spark):
     """Each token's probability within a step of quantisation a level; probabilities sum to one."""
     rng = random.Random(4)
