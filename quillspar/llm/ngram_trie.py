@@ -38,7 +38,7 @@ STEP = 0.05
 #: Words that are counted (alone, in triples) or scored together, and rows of counts that are handed on at once.
 WORD_WORDS = 2_500_000
 COUNT_WORDS = 800_000
-SCORE_WORDS = 300_000
+SCORE_WORDS = 500_000
 COUNT_ROWS = 100_000
 #: Shards for each partition of a shuffle, as a power of two: what a task sorts and writes is that much smaller.
 SHARD_BITS = 2
