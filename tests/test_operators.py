@@ -467,3 +467,12 @@ def test_conversions_of_an_event_come_together(spark):
     assert len(own) == 1800
     for (event, _, a), (after, _, b), x, y in zip(own, own[1:], targets, targets[1:], strict=False):
         assert event != after or [t for t in x if t not in (a, b)] == [t for t in y if t not in (a, b)]
+
+
+def test_conversions_cast_nothing_for_each_row(spark, sf):
+    """What the join multiplies is final: a holding's quantity becomes a double below it."""
+    from quillspar import catalogue
+
+    got = catalogue.queries()["neg_risk_conversion"](spark, sf)
+    above, _, below = got._jdf.queryExecution().optimizedPlan().toString().partition("Join ")
+    assert dict(got.dtypes)["quantity"] == "double" and "as double" in below and "as double" not in above
